@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that count as blanks at the ends of a referenced name.
-BLANKS = " \t\r\n\f\x0b 　"
+BLANKS = " \t\r\n\f\x0b\u00a0\u3000"
 #: Copies of each verdict row; a hot key's child rows spread over as many tasks.
 SALTS = 8
 
