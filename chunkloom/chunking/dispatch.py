@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chunkloom import config as C
 from chunkloom.chunking.cpp import chunk_cpp
@@ -36,29 +37,30 @@ def chunk_file(path: str, relative_path: str, ext: str | None, data: bytes | Non
         yield from chunk_cpp(data, relative_path)
 
 
-def _rows(files: pd.DataFrame) -> Iterator[dict]:
-    for f in files.itertuples(index=False):
-        base = {"file_path": f.path, "relative_path": f.relative_path, "file_hash": f.file_hash}
+def _rows(files: list[dict]) -> Iterator[dict]:
+    for f in files:
+        path = f["path"]
+        base = {"file_path": path, "relative_path": f["relative_path"], "file_hash": f["file_hash"]}
         try:
-            for c in chunk_file(f.path, f.relative_path or "", f.ext, f.content):
-                key = (f.path, f"p{c['page_start']}", c["symbol_name"]) if "page_start" in c else (f.path, c["start_line"])
+            for c in chunk_file(path, f["relative_path"] or "", f["ext"], f["content"]):
+                key = (path, f"p{c['page_start']}", c["symbol_name"]) if "page_start" in c else (path, c["start_line"])
                 yield {"chapter": "", **base, **c, "chunk_id": short_id(*key)}
         except Exception as e:  # the file is reported, the run goes on
             yield base | {"error": f"{type(e).__name__}: {e}"[:500]}
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = CHUNKS.fieldNames()
-    for files in batches:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(CHUNKS)
+    for batch in batches:
         rows, size = [], 0
-        for row in _rows(files):
+        for row in _rows(batch.to_pylist()):
             rows.append(row)
             size += len(row.get("content") or "")
             if size > 4_000_000:
-                yield pd.DataFrame(rows).reindex(columns=names)
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows, size = [], 0
         if rows:
-            yield pd.DataFrame(rows).reindex(columns=names)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
@@ -68,7 +70,4 @@ def chunk_files(files: DataFrame) -> DataFrame:
     """
     ext = F.coalesce("ext", F.regexp_extract("path", r"(\.[^./]+)$", 1))
     src = files.where(F.col("path").isNotNull()).select("path", "relative_path", ext.alias("ext"), "content", "file_hash")
-    out = src.mapInPandas(_batches, CHUNKS)
-    for c in ("start_line", "end_line", "page_start", "page_end", "level", "file_start_line"):
-        out = out.withColumn(c, F.col(c).cast("int"))
-    return out
+    return src.mapInArrow(_batches, CHUNKS)
