@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import docpairs, tokenize
+from chunkloom.llm import docpairs, leak, tokenize
 from chunkloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,9 @@ def p6_ids(spark, d):
 def p6_roundtrip(spark, d):
     """Problem 6: encoding and decoding give every text back."""
     return tokenize.decode_corpus(p6_ids(spark, d)).select("doc_id", F.col("text"))
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    """Problem 7: documents that carry a passage of an evaluation item."""
+    return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
