@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import docpairs, leak, tokenize
+from chunkloom.llm import docpairs, leak, sentences, tokenize
 from chunkloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,9 @@ def p6_roundtrip(spark, d):
 def p7_found(spark, d):
     """Problem 7: documents that carry a passage of an evaluation item."""
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    """Problem 8: the end of every sentence of every document."""
+    return sentences.sentence_boundaries(table(spark, d, "documents")).distinct()
