@@ -44,7 +44,8 @@ OPEN = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "
 CLOSERS = "\"”“’'»›」』）)\\]】》*_`~"
 WIDE = "。！？｡「」『』"
 _INVISIBLE = "​‌‍⁠﻿­‎‏"
-_WORD = re.compile(r"[^\W_]+(?:[.'’\-]+[^\W_]+)*")
+_LETTER = r"(?:[^\W_]|[̀-ًͯ-ٰٟऀ-ःऺ-ॏॢॣั-ฺ็-๎])"  # with vowel signs
+_WORD = re.compile(rf"{_LETTER}+(?:[.'’\-]+{_LETTER}+)*")
 _JOINED = re.compile(r"(?<=[^\W\d_]{2})\.(?=[A-ZÀ-ÞА-Я][a-zß-ÿа-я])")  # a missing blank after a stop
 _CAND = re.compile(rf"[{re.escape(STOPS)}](?:[{re.escape(STOPS)}{_INVISIBLE}]|(?<=\.) (?=\.))*(?:[{CLOSERS}{_INVISIBLE}]|[\s  ]»)*")
 _NEXT = re.compile(r"[\w]")
@@ -262,7 +263,7 @@ def features(c: Candidate, counts: Counts) -> list[int]:
         f"rs={max(-5, min(4, round(starter)))}",
         f"ro={max(-3, min(1, round(opener)))}",
         f"rd={right[:1].isdigit()}",
-        f"sc={_script(c.left[-1:]) if not c.left[-1:].isdigit() else ''}",
+        "bias" if not c.left[-1:].isalpha() else f"sc={_script(c.left[-1:])}",
         f"rsc={_script(c.right[:1])}",
         f"m={c.marks[:3]}",
     )
