@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import docpairs, leak, sentences, tokenize
+from chunkloom.llm import docpairs, leak, sentences, syntax, tokenize
 from chunkloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,15 @@ def p7_found(spark, d):
 def p8_found(spark, d):
     """Problem 8: the end of every sentence of every document."""
     return sentences.sentence_boundaries(table(spark, d, "documents")).distinct()
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    """Problem 5: source files that are no valid text of the language of their extension."""
+    return syntax.unparsable_files(table(spark, d, "files")).select("file_path").distinct()
+
+
+@query("p5_rates")
+def p5_rates(spark, d):
+    """Problem 5: share of files that do not parse, per directory and language."""
+    return syntax.parse_rates(table(spark, d, "files"))
