@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import docpairs, leak, sentences, syntax, tokenize
+from chunkloom.llm import docpairs, handwritten, leak, sentences, syntax, tokenize
 from chunkloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,15 @@ def p5_found(spark, d):
 def p5_rates(spark, d):
     """Problem 5: share of files that do not parse, per directory and language."""
     return syntax.parse_rates(table(spark, d, "files"))
+
+
+@query("p2_found")
+def p2_found(spark, d):
+    """Problem 2: source files that nobody wrote by hand in their repository."""
+    return handwritten.not_handwritten(table(spark, d, "files")).select("file_path")
+
+
+@query("p2_reasons")
+def p2_reasons(spark, d):
+    """Problem 2: the same files with the reason."""
+    return handwritten.not_handwritten(table(spark, d, "files"))
