@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import docpairs, handwritten, leak, sentences, syntax, tokenize
+from chunkloom.llm import docpairs, handwritten, knn, leak, sentences, syntax, tokenize
 from chunkloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,15 @@ def p2_found(spark, d):
 def p2_reasons(spark, d):
     """Problem 2: the same files with the reason."""
     return handwritten.not_handwritten(table(spark, d, "files"))
+
+
+#: Numbers of a usable embedding, and neighbours asked for.
+P1_DIM = 96
+P1_K = 10
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    """Problem 1: pairs of chunks of which one is among the other's ten most similar."""
+    pairs = knn.similar_pairs(table(spark, d, "code_chunks").select("chunk_id", "embeddings"), "chunk_id", "embeddings", P1_DIM, P1_K)
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
