@@ -4,7 +4,8 @@ Equal vectors are one class; the graph is built over classes.  Two random-projec
 bounded sample, put every vector into one block each; brute force inside the blocks gives the first
 neighbour lists.  NN-descent rounds then join neighbours with their neighbours: a block asks once for each
 neighbour of a neighbour of its members (and for their reverse neighbours), so a vector travels once to
-every block that needs it instead of once for every pair.  Rounds end when few lists change.
+every block that needs it instead of once for every pair.  Rounds end when the lists of a few probe vectors
+agree with brute force.
 
 Sizes: a task holds one block (about ``BLOCK`` vectors) and its asked-for vectors, compared in slices; the
 driver holds the sample and the trees only.
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from chunkloom.operators.orphans import salted_join
 from chunkloom.session import cut_lineage
 
 #: Vectors of a block, and the most before it is split further by hash.
@@ -33,11 +33,14 @@ MOST = 4 * BLOCK
 #: Vectors of the sample that the trees are fitted on; the index holds all rows.
 SAMPLE = 16_384
 #: Neighbours kept in the graph beyond the k asked for, and reverse neighbours taken of each vector.
-SPARE = 4
-REVERSE = 20
-#: Most rounds of NN-descent, and the share of changed lists below which it ends.
+SPARE = 2
+REVERSE = 10
+#: Most rounds of NN-descent, and the recall that ends them, measured by brute force on ``PROBES`` vectors.
 ROUNDS = 4
-CHANGED = 0.02
+RECALL = 0.98
+PROBES = 256
+#: A class with more than one of so many members is joined by broadcast: there are at most so many of them.
+HOT_SHARE = 256
 #: Columns of one slice of a block's comparisons.
 SLICE = 4096
 
@@ -82,10 +85,14 @@ def leaves(tree: Tree, x: np.ndarray) -> np.ndarray:
     return node
 
 
+#: Unit vectors travel as 16-bit integers of this scale: an error of about 1e-5 in a similarity.
+SCALE = 32_767
+
+
 def matrix(column) -> np.ndarray:
     """Stacked vectors of a column of bytes."""
     values = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
-    return np.frombuffer(b"".join(values), "f4").reshape(len(values), -1) if values else np.zeros((0, 1), "f4")
+    return np.frombuffer(b"".join(values), "i2").reshape(len(values), -1).astype("f4") / SCALE if values else np.zeros((0, 1), "f4")
 
 
 def usable_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -104,8 +111,8 @@ def usable_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> Data
             norm = np.sqrt((x * x).sum(1))
             good = np.isfinite(norm) & (norm > 0)
             unit = (x[good] / norm[good, None]).astype("f4")
-            vec = [v.tobytes() for v in unit]
-            keys = [xxhash.xxh3_128_digest(v) for v in vec]
+            keys = [xxhash.xxh3_128_digest(v.tobytes()) for v in unit]
+            vec = [v.tobytes() for v in np.rint(unit * SCALE).astype("i2")]
             ids = batch.column(0).filter(pa.array(good))
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(vec, pa.binary())], names=["id", "key", "vec"])
 
@@ -171,7 +178,7 @@ def build_graph(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int, se
     n = classes.count()
     if not n:
         return None
-    members = vectors.select("id", "key").groupBy("id").agg(F.min("key").alias("key")).join(classes.select("key", "pid"), "key").select("id", "pid")
+    members = cut_lineage(vectors.select("id", "key").groupBy("id").agg(F.min("key").alias("key")).join(classes.select("key", "pid"), "key").select("id", "pid"))
     depth = max(0, int(np.ceil(np.log2(n / BLOCK))))
     sample = matrix([r[0] for r in classes.select("vec", F.xxhash64("key").alias("h")).orderBy("h").limit(SAMPLE).select("vec").collect()])
     trees = [fit_tree(sample, depth, seed + t) for t in range(2)]
@@ -202,17 +209,40 @@ def build_graph(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int, se
 
     first = cut_lineage(blocks.groupBy("block").applyInArrow(inside, _GRAPH))
     points = classes.select("pid", "vec").join(first.where("home % 2 = 0").select("pid", "home"), "pid")
-    edges = _merged(first, width)
+    edges = cut_lineage(_merged(first, width))
+    probes = _exact_probes(classes, n, k)
     for _ in range(ROUNDS):
-        new = cut_lineage(_round(points, edges, width))
-        both = new.select("pid", "nbrs").join(edges.select("pid", F.col("nbrs").alias("old")), "pid")
-        changed = both.agg(F.avg((F.size(F.array_except("nbrs", "old")) > 0).cast("double"))).first()[0]
-        edges = new
-        if changed is None or changed < CHANGED:
+        if _recall(edges, probes, k) >= RECALL:
             break
+        edges = cut_lineage(_round(points, edges, width))
     return Graph(points, edges, members, trees)
 
 
+def _exact_probes(classes: DataFrame, n: int, k: int) -> dict[int, list[int]]:
+    """The true neighbours of ``PROBES`` vectors, the first by hash; every task compares them with its vectors."""
+    rows = classes.select("pid", "vec", F.xxhash64("key").alias("h")).orderBy("h").limit(PROBES).collect()
+    pids, x = np.array([r.pid for r in rows]), matrix([r.vec for r in rows])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sims = np.full((len(pids), 0), -1, "i8"), np.full((len(pids), 0), -2.0, "f4")
+        for batch in batches:
+            i, s = _top(x, pids, matrix(batch.column(1)), np.asarray(batch.column(0)), k)
+            ids, sims = np.hstack([ids, i]), np.hstack([sims, s])
+            pick = np.lexsort((ids, -sims), axis=1)[:, :k]
+            ids, sims = np.take_along_axis(ids, pick, 1), np.take_along_axis(sims, pick, 1)
+        keep = ids >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(pids, keep.sum(1))), pa.array(ids[keep]), pa.array(sims[keep])], names=["pid", "nbr", "s"])
+
+    best = classes.select("pid", "vec").mapInArrow(scan, "pid bigint, nbr bigint, s float").groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "nbr"))), 1, k).alias("p"))
+    return {r.pid: [p.nbr for p in r.p] for r in best.collect()}
+
+
+def _recall(edges: DataFrame, probes: dict[int, list[int]], k: int) -> float:
+    found = edges.where(F.col("pid").isin(list(probes))).select("pid", F.slice("nbrs", 1, k).alias("nbrs")).collect()
+    hits = sum(len(set(r.nbrs) & set(probes[r.pid])) for r in found)
+    return hits / max(1, sum(map(len, probes.values())))
+
+
 def _merged(lists: DataFrame, width: int) -> DataFrame:
     """One list a class from those of its two blocks; the home block is that of the first tree."""
     pairs = F.transform(F.arrays_zip("nbrs", "sims"), lambda x: F.struct((-x["sims"]).alias("d"), x["nbrs"].alias("i")))
@@ -223,15 +253,12 @@ def _merged(lists: DataFrame, width: int) -> DataFrame:
 def _round(points: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     """One NN-descent round: every block compares its members with the neighbours of their neighbours."""
     links = edges.select("pid", "home", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("pid", "home", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
-    asked = links.select("home", "u").distinct()
     lists = edges.select(F.col("pid").alias("u"), "nbrs", F.col("home").alias("u_home"))
-    reach = asked.join(lists, "u")
-    # neighbours, neighbours of neighbours, and reverse neighbours of a block's members
-    forward = reach.where("home <> u_home").select("home", F.explode(F.concat(F.array("u"), "nbrs")).alias("pid"))
-    near = links.withColumn("k", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "pid"))).where(F.col("k") <= REVERSE)
-    backward = near.join(lists.select("u", "u_home"), "u").where("home <> u_home").select(F.col("u_home").alias("home"), "pid")
-    second = backward.join(edges.select("pid", "nbrs"), "pid").select("home", F.explode(F.concat(F.array("pid"), "nbrs")).alias("pid"))
-    wanted = forward.unionByName(second).distinct().withColumnRenamed("home", "target")
+    met = links.join(lists, "u").where("home <> u_home")  # links that leave their block
+    forward = met.groupBy("home", "u").agg(F.first("nbrs").alias("nbrs")).select("home", F.explode(F.concat(F.array("u"), "nbrs")).alias("pid"))
+    near = met.withColumn("k", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "pid"))).where(F.col("k") <= REVERSE)
+    backward = near.select(F.col("u_home").alias("home"), "pid")
+    wanted = forward.unionByName(backward).distinct().withColumnRenamed("home", "target")
     guests = wanted.join(points, "pid").where("home <> target").select("pid", "vec", F.col("target").alias("block"), F.lit(False).alias("own"))
     hosts = points.select("pid", "vec", F.col("home").alias("block"), F.lit(True).alias("own"))
 
@@ -250,13 +277,18 @@ def neighbours(graph: Graph, k: int) -> DataFrame:
 
     Members of one class share their list, made of the ``k + 1`` smallest ids of the class itself and of each
     neighbouring class; a class that holds a third of all rows costs ``k + 1`` rows there, and its members
-    fetch the list over a salted join.
+    fetch the list by a broadcast join: at most ``HOT_SHARE`` classes are that large.
     """
     few = graph.members.withColumn("n", F.row_number().over(W.partitionBy("pid").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("pid").alias("u"), F.col("id").alias("other"))
     links = graph.edges.select("pid", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("pid", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
     own = graph.edges.select("pid", F.col("pid").alias("u"), F.lit(1.0).cast("float").alias("s"))
     near = links.unionByName(own).join(few, "u").groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("other").alias("i")))), 1, k + 1).alias("near"))
-    listed = salted_join(graph.members, near, "pid", "id")
+    sizes = graph.members.groupBy("pid").agg(F.count(F.lit(1)).alias("c"))
+    total = graph.members.count()
+    hot = sizes.where(F.col("c") > max(1000, total // HOT_SHARE)).select("pid", F.lit(True).alias("hot"))
+    marked = graph.members.join(F.broadcast(hot), "pid", "left")
+    rest = marked.where("hot is null").drop("hot").join(near, "pid")
+    listed = rest.unionByName(marked.where("hot").drop("hot").join(F.broadcast(near.join(F.broadcast(hot.select("pid")), "pid", "left_semi")), "pid"))
     mine = F.slice(F.filter("near", lambda x: x["i"] != F.col("id")), 1, k)
     return listed.select("id", F.posexplode(mine).alias("rank", "x")).select("id", F.col("x.i").alias("neighbour"), (-F.col("x.d")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
