@@ -303,3 +303,50 @@ def similar_pairs(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int)
         return rows.select(F.col(id_col).alias("id_a"), F.col(id_col).alias("id_b")).limit(0)
     n = neighbours(graph, k)
     return n.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+#: Points of a query's block that a search starts from, points kept while it runs, and its most rounds.
+STARTS = 8
+BEAM = 48
+SEARCH_ROUNDS = 12
+
+
+def greedy_search(graph: Graph, queries: DataFrame, id_col: str, vec_col: str, dim: int, k: int) -> DataFrame:
+    """``query_id, id, similarity, rank``: for each query the ``k`` most similar members that greedy search finds.
+
+    A query starts at points of the block its vector falls into; every round expands the best ``BEAM`` points
+    seen so far along the graph's links, for all queries in one join, until no query has a new one among its
+    best.  Queries without a usable vector have no rows; a query that is itself a member finds itself.
+    """
+    wanted = cut_lineage(usable_vectors(queries, id_col, vec_col, dim).groupBy("id").agg(F.min(F.struct("key", "vec")).alias("x")).select(F.col("id").alias("q"), F.col("x.vec").alias("qvec")))
+    tree = graph.trees[0]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = leaves(tree, matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf * (1 << 17), pa.int64())], names=["q", "home"])
+
+    id_type = dict(wanted.dtypes)["q"]
+    entry = graph.points.withColumn("n", F.row_number().over(W.partitionBy("home").orderBy("pid"))).where(F.col("n") <= STARTS).select("home", "pid")
+    new = wanted.mapInArrow(place, f"q {id_type}, home bigint").join(entry, "home").select("q", "pid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = (matrix(batch.column(2)) * matrix(batch.column(3))).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.astype("f4"))], names=["q", "pid", "s"])
+
+    best = W.partitionBy("q").orderBy(F.desc("s"), "pid")
+    seen = None
+    for n in range(SEARCH_ROUNDS):
+        scored = new.join(graph.points.select("pid", "vec"), "pid").join(wanted, "q").select("q", "pid", "qvec", "vec").mapInArrow(compare, f"q {id_type}, pid bigint, s float").withColumn("at", F.lit(n))
+        seen = cut_lineage(scored if seen is None else seen.unionByName(scored))
+        fresh = seen.withColumn("k", F.row_number().over(best)).where((F.col("k") <= BEAM) & (F.col("at") == n))
+        steps = fresh.select("q", "pid").join(graph.edges.select("pid", "nbrs"), "pid").select("q", F.explode("nbrs").alias("pid")).distinct()
+        new = cut_lineage(steps.join(seen.select("q", "pid"), ["q", "pid"], "left_anti"))
+        if new.isEmpty():
+            break
+    top = seen.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).select("q", "pid", "s")
+    few = graph.members.withColumn("n", F.row_number().over(W.partitionBy("pid").orderBy("id"))).where(F.col("n") <= k).select("pid", "id")
+    order = W.partitionBy("q").orderBy(F.desc("s"), "id")
+    found = top.join(few, "pid").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select(F.col("q").alias("query_id"), "id", F.col("s").alias("similarity"), "rank")

@@ -95,3 +95,11 @@ def p1_found(spark, d):
     """Problem 1: pairs of chunks of which one is among the other's ten most similar."""
     pairs = knn.similar_pairs(table(spark, d, "code_chunks").select("chunk_id", "embeddings"), "chunk_id", "embeddings", P1_DIM, P1_K)
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+@query("p1_search")
+def p1_search(spark, d):
+    """Problem 1: greedy graph search; every vector whose id is divisible by 100, against all vectors."""
+    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
+    graph = knn.build_graph(emb, "vec_id", "embedding", 64, P1_K)
+    return knn.greedy_search(graph, emb.where("vec_id % 100 = 0"), "vec_id", "embedding", 64, P1_K)

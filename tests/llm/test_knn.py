@@ -53,3 +53,20 @@ def test_tree_leaves_agree_with_depth():
     t = knn.fit_tree(x, 9, 1)
     assert len(t.planes) == 5 and len(t.extra) == 4
     assert knn.leaves(t, x).max() < 512
+
+
+def test_greedy_search_recall(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((12, 16))
+    x = (centres[rng.integers(0, 12, 800)] + 0.5 * rng.standard_normal((800, 16))).astype("f4")
+    ids = np.array([f"c{i:05d}" for i in range(800)])
+    df = frame(spark, ids, x)
+    g = knn.build_graph(df, "id", "v", 16, 8)
+    q = df.where("substr(id, 5, 2) = '00'").union(frame(spark, ["q1", "q2", None], [None, [0.0] * 16, [1.0] * 16]))
+    got: dict = {}
+    for r in knn.greedy_search(g, q, "id", "v", 16, 8).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {i: set(ids[np.argsort(-(unit @ unit[n]))[:8]]) for n, i in enumerate(ids) if i in got}
+    assert len(got) == 8 and np.mean([len(got[i] & want[i]) / 8 for i in got]) > 0.9
