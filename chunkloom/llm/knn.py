@@ -32,12 +32,19 @@ BLOCK = 1024
 MOST = 4 * BLOCK
 #: Vectors of the sample that the trees are fitted on; the index holds all rows.
 SAMPLE = 16_384
-#: Neighbours kept in the graph beyond the k asked for, and reverse neighbours taken of each vector.
+#: Directions tried for a split, and how far from the ends of the projections it may cut.
+TRIES = 12
+MIDDLE = 0.1
+#: Neighbours kept in the graph beyond the k asked for.
 SPARE = 2
-REVERSE = 10
+#: A round follows the first ``NEAR`` links of each vector, from there the first ``NEXT``, and back the best
+#: ``REVERSE``; the rest of a list is left to later rounds.
+NEAR = 6
+NEXT = 4
+REVERSE = 6
 #: Most rounds of NN-descent, and the recall that ends them, measured by brute force on ``PROBES`` vectors.
 ROUNDS = 4
-RECALL = 0.98
+RECALL = 0.95
 PROBES = 256
 #: A class with more than one of so many members is joined by broadcast: there are at most so many of them.
 HOT_SHARE = 256
@@ -46,40 +53,75 @@ SLICE = 4096
 
 
 class Tree(NamedTuple):
-    """Split planes by level: node ``i`` at a level has children ``2 i`` and ``2 i + 1`` at the next."""
+    """Split planes: node ``i`` sends vectors to ``children[i, 0]`` or ``children[i, 1]``, a leaf has -1 there."""
 
-    planes: list[np.ndarray]
-    offsets: list[np.ndarray]
-    extra: np.ndarray  # data-independent planes below the fitted levels
+    planes: np.ndarray
+    offsets: np.ndarray
+    children: np.ndarray
+    extra: np.ndarray  # data-independent planes, where leaves of the fitted part are still too large
 
 
-def fit_tree(sample: np.ndarray, depth: int, seed: int) -> Tree:
-    """Median splits along differences of two sample points while a node has 16 points of the sample."""
+#: Points of the sample that a leaf has at least.
+LEAF_SAMPLE = 8
+
+
+def _cut(proj: np.ndarray) -> tuple[float, float]:
+    """``(gain, offset)`` of the thinnest place in the middle of some projections: cuts there part few neighbours."""
+    s = np.sort(proj)
+    n = len(s)
+    step = max(1, n // 64)
+    lo, hi = int(n * MIDDLE), max(int(n * MIDDLE) + 1, int(n * (1 - MIDDLE)) - step)
+    at = np.arange(lo, min(hi, n - step)) if n > step else np.zeros(1, "i8")
+    if not len(at):
+        return 0.0, float(np.median(s))
+    width = s[at + step] - s[at]
+    k = int(width.argmax())
+    inner = s[at[k] : at[k] + step + 1]
+    gap = int(np.diff(inner).argmax()) if len(inner) > 1 else 0
+    return float(width[k] / (s.std() + 1e-9)), float((inner[gap] + inner[min(gap + 1, len(inner) - 1)]) / 2)
+
+
+def fit_tree(sample: np.ndarray, n: int, seed: int) -> Tree:
+    """A tree over ``n`` vectors from a sample: nodes are split while they stand for more than ``BLOCK``.
+
+    Of ``TRIES`` directions, differences of two sample points, the one with the thinnest place between its
+    quantiles ``MIDDLE`` and ``1 - MIDDLE`` is taken and cut there.
+    """
     rng = np.random.default_rng(seed)
-    fitted = min(depth, max(0, int(np.log2(max(1, len(sample) / 16)))))
-    planes, offsets = [], []
-    node = np.zeros(len(sample), "i8")
-    for level in range(fitted):
-        w = np.zeros((1 << level, sample.shape[1]), "f4")
-        b = np.zeros(1 << level, "f4")
-        for i in range(1 << level):
-            mine = np.flatnonzero(node == i)
-            if len(mine) >= 2:
-                a, c = rng.choice(mine, 2, replace=False)
-                w[i] = sample[a] - sample[c]
-            if not w[i].any():
-                w[i] = rng.standard_normal(sample.shape[1])
-            b[i] = np.median(sample[mine] @ w[i]) if len(mine) else 0.0
-        planes.append(w)
-        offsets.append(b)
-        node = 2 * node + ((sample * w[node]).sum(1) > b[node])
-    return Tree(planes, offsets, rng.standard_normal((depth - fitted, sample.shape[1])).astype("f4"))
+    most = max(LEAF_SAMPLE, int(BLOCK * len(sample) / max(1, n)))
+    planes, offsets, children = [], [], []
+    todo = [(np.arange(len(sample)), -1, 0)]
+    while todo:
+        mine, parent, side = todo.pop()
+        me = len(children)
+        children.append([-1, -1])
+        planes.append(np.zeros(sample.shape[1], "f4"))
+        offsets.append(0.0)
+        if parent >= 0:
+            children[parent][side] = me
+        best = -1.0
+        for _ in range(TRIES if len(mine) > most else 0):
+            one, two = rng.choice(mine, 2, replace=False)
+            d = sample[one] - sample[two]
+            gain, cut = _cut(sample[mine] @ d)
+            if d.any() and gain > best:
+                best, planes[me], offsets[me] = gain, d, cut
+        if best >= 0:
+            right = sample[mine] @ planes[me] > offsets[me]
+            if right.any() and not right.all():
+                todo += [(mine[right], me, 1), (mine[~right], me, 0)]
+    bits = max(0, int(np.ceil(np.log2(max(1.0, most / max(1, len(sample)) * n / BLOCK)))))
+    return Tree(np.array(planes, "f4"), np.array(offsets, "f4"), np.array(children), rng.standard_normal((bits, sample.shape[1])).astype("f4"))
 
 
 def leaves(tree: Tree, x: np.ndarray) -> np.ndarray:
     node = np.zeros(len(x), "i8")
-    for w, b in zip(tree.planes, tree.offsets, strict=True):
-        node = 2 * node + ((x * w[node]).sum(1) > b[node])
+    open_ = np.arange(len(x)) if tree.children[0, 0] >= 0 else np.zeros(0, "i8")
+    while len(open_):
+        at = node[open_]
+        side = (x[open_] * tree.planes[at]).sum(1) > tree.offsets[at]
+        node[open_] = tree.children[at, side.astype("i8")]
+        open_ = open_[tree.children[node[open_], 0] >= 0]
     for w in tree.extra:
         node = 2 * node + (x @ w > 0)
     return node
@@ -145,10 +187,10 @@ def _top(own: np.ndarray, own_ids: np.ndarray, all_: np.ndarray, all_ids: np.nda
     return best_i, best_s
 
 
-_GRAPH = T.StructType([T.StructField("pid", T.LongType()), T.StructField("home", T.LongType()), T.StructField("nbrs", T.ArrayType(T.LongType())), T.StructField("sims", T.ArrayType(T.FloatType()))])
+_GRAPH = T.StructType([T.StructField("pid", T.LongType()), T.StructField("home", T.LongType()), T.StructField("nbrs", T.ArrayType(T.LongType())), T.StructField("sims", T.ArrayType(T.FloatType())), T.StructField("vec", T.BinaryType())])
 
 
-def _lists(pids: np.ndarray, homes: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pa.Table:
+def _lists(pids: np.ndarray, homes: np.ndarray, ids: np.ndarray, sims: np.ndarray, vec=None) -> pa.Table:
     keep = ids >= 0
     offsets = pa.array(np.concatenate([[0], np.cumsum(keep.sum(1))]).astype("i4"))
     return pa.table(
@@ -157,10 +199,22 @@ def _lists(pids: np.ndarray, homes: np.ndarray, ids: np.ndarray, sims: np.ndarra
             "home": pa.array(homes, pa.int64()),
             "nbrs": pa.ListArray.from_arrays(offsets, pa.array(ids[keep], pa.int64())),
             "sims": pa.ListArray.from_arrays(offsets, pa.array(sims[keep], pa.float32())),
+            "vec": pa.nulls(len(pids), pa.binary()) if vec is None else vec,
         }
     )
 
 
+def _padded(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of a graph table as matrices, -1 and -2 where a list is shorter."""
+    ids, sims = np.full((len(table), width), -1, "i8"), np.full((len(table), width), -2.0, "f4")
+    nbrs, s = table.column("nbrs").combine_chunks(), table.column("sims").combine_chunks()
+    size = np.diff(np.asarray(nbrs.offsets))
+    row = np.repeat(np.arange(len(size)), size)
+    col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    ids[row, col], sims[row, col] = np.asarray(nbrs.flatten()), np.asarray(s.flatten())
+    return ids, sims
+
+
 class Graph(NamedTuple):
     """``points``: ``pid, vec, home`` of each class; ``edges``: ``pid, home, nbrs, sims``; ``members``: ``id, pid``."""
 
@@ -179,9 +233,8 @@ def build_graph(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int, se
     if not n:
         return None
     members = cut_lineage(vectors.select("id", "key").groupBy("id").agg(F.min("key").alias("key")).join(classes.select("key", "pid"), "key").select("id", "pid"))
-    depth = max(0, int(np.ceil(np.log2(n / BLOCK))))
-    sample = matrix([r[0] for r in classes.select("vec", F.xxhash64("key").alias("h")).orderBy("h").limit(SAMPLE).select("vec").collect()])
-    trees = [fit_tree(sample, depth, seed + t) for t in range(2)]
+    sample = matrix([r.vec for r in _first_by_hash(classes, SAMPLE, n)])
+    trees = [fit_tree(sample, n, seed + t) for t in range(2)]
     shared = spark.sparkContext.broadcast(trees)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,22 +258,30 @@ def build_graph(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int, se
         x, ids = matrix(table.column("vec")), np.asarray(table.column("pid"))
         near, sims = _top(x, ids, x, ids, width)
         home = np.asarray(table.column("block"))
-        return _lists(ids, home, near, sims)
+        return _lists(ids, home, near, sims, table.column("vec") if not len(home) or home[0] % 2 == 0 else None)
 
     first = cut_lineage(blocks.groupBy("block").applyInArrow(inside, _GRAPH))
-    points = classes.select("pid", "vec").join(first.where("home % 2 = 0").select("pid", "home"), "pid")
     edges = cut_lineage(_merged(first, width))
     probes = _exact_probes(classes, n, k)
     for _ in range(ROUNDS):
         if _recall(edges, probes, k) >= RECALL:
             break
-        edges = cut_lineage(_round(points, edges, width))
-    return Graph(points, edges, members, trees)
+        edges = cut_lineage(_round(edges, width))
+    return Graph(edges.select("pid", "vec", "home"), edges.select("pid", "home", "nbrs", "sims"), members, trees)
+
+
+def _first_by_hash(classes: DataFrame, count: int, n: int) -> list:
+    """The ``count`` classes first by hash of their key, in that order; only about as many leave their tasks."""
+    h = F.xxhash64("key")
+    few = classes.select("pid", "vec", h.alias("h"))
+    if n > 2 * count:
+        few = few.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * 1.5 * count / n)))
+    return few.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(count).collect()
 
 
 def _exact_probes(classes: DataFrame, n: int, k: int) -> dict[int, list[int]]:
     """The true neighbours of ``PROBES`` vectors, the first by hash; every task compares them with its vectors."""
-    rows = classes.select("pid", "vec", F.xxhash64("key").alias("h")).orderBy("h").limit(PROBES).collect()
+    rows = _first_by_hash(classes, PROBES, n)
     pids, x = np.array([r.pid for r in rows]), matrix([r.vec for r in rows])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,28 +307,37 @@ def _recall(edges: DataFrame, probes: dict[int, list[int]], k: int) -> float:
 def _merged(lists: DataFrame, width: int) -> DataFrame:
     """One list a class from those of its two blocks; the home block is that of the first tree."""
     pairs = F.transform(F.arrays_zip("nbrs", "sims"), lambda x: F.struct((-x["sims"]).alias("d"), x["nbrs"].alias("i")))
-    both = lists.withColumn("pairs", pairs).groupBy("pid").agg(F.max(F.when(F.col("home") % 2 == 0, F.col("home"))).alias("home"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))), 1, width).alias("p"))
-    return both.select("pid", "home", F.transform("p", lambda x: x["i"]).alias("nbrs"), F.transform("p", lambda x: -x["d"]).alias("sims"))
+    both = lists.withColumn("pairs", pairs).groupBy("pid").agg(F.max(F.when(F.col("home") % 2 == 0, F.col("home"))).alias("home"), F.max("vec").alias("vec"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))), 1, width).alias("p"))
+    return both.select("pid", "home", F.transform("p", lambda x: x["i"]).alias("nbrs"), F.transform("p", lambda x: -x["d"]).alias("sims"), "vec")
 
 
-def _round(points: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+def _round(edges: DataFrame, width: int) -> DataFrame:
     """One NN-descent round: every block compares its members with the neighbours of their neighbours."""
-    links = edges.select("pid", "home", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("pid", "home", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
-    lists = edges.select(F.col("pid").alias("u"), "nbrs", F.col("home").alias("u_home"))
+    links = edges.select("pid", "home", F.explode(F.slice(F.arrays_zip("nbrs", "sims"), 1, NEAR)).alias("e")).select("pid", "home", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
+    lists = edges.select(F.col("pid").alias("u"), F.slice("nbrs", 1, NEXT).alias("nbrs"), F.col("home").alias("u_home"))
     met = links.join(lists, "u").where("home <> u_home")  # links that leave their block
     forward = met.groupBy("home", "u").agg(F.first("nbrs").alias("nbrs")).select("home", F.explode(F.concat(F.array("u"), "nbrs")).alias("pid"))
     near = met.withColumn("k", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "pid"))).where(F.col("k") <= REVERSE)
     backward = near.select(F.col("u_home").alias("home"), "pid")
     wanted = forward.unionByName(backward).distinct().withColumnRenamed("home", "target")
-    guests = wanted.join(points, "pid").where("home <> target").select("pid", "vec", F.col("target").alias("block"), F.lit(False).alias("own"))
-    hosts = points.select("pid", "vec", F.col("home").alias("block"), F.lit(True).alias("own"))
+    none = lambda c: F.lit(None).cast(dict(edges.dtypes)[c]).alias(c)
+    guests = wanted.join(edges.select("pid", "home", "vec"), "pid").where("home <> target").select("pid", "vec", F.col("target").alias("block"), none("nbrs"), none("sims"))
+    hosts = edges.select("pid", "vec", F.col("home").alias("block"), "nbrs", "sims")
 
     def local(table: pa.Table) -> pa.Table:
         x, ids = matrix(table.column("vec")), np.asarray(table.column("pid"))
-        own = np.asarray(table.column("own"))
-        home = np.full(int(own.sum()), table.column("block")[0].as_py(), "i8")
+        own = ~np.asarray(table.column("nbrs").is_null())
+        mine = table.filter(pa.array(own))
+        home = np.full(len(mine), table.column("block")[0].as_py(), "i8")
         near_, sims = _top(x[own], ids[own], x, ids, width)
-        return _lists(ids[own], home, near_, sims)
+        old_ids, old_sims = _padded(mine, width)
+        near_, sims = np.hstack([near_, old_ids]), np.hstack([sims, old_sims])
+        order = np.lexsort((-sims, near_), axis=1)
+        near_, sims = np.take_along_axis(near_, order, 1), np.take_along_axis(sims, order, 1)
+        sims[:, 1:][near_[:, 1:] == near_[:, :-1]] = -2.0
+        order = np.lexsort((near_, -sims), axis=1)[:, :width]
+        near_, sims = np.take_along_axis(near_, order, 1), np.take_along_axis(sims, order, 1)
+        return _lists(ids[own], home, np.where(sims <= -1.5, -1, near_), sims, mine.column("vec"))
 
     return hosts.unionByName(guests).groupBy("block").applyInArrow(local, _GRAPH)
 
@@ -280,7 +350,7 @@ def neighbours(graph: Graph, k: int) -> DataFrame:
     fetch the list by a broadcast join: at most ``HOT_SHARE`` classes are that large.
     """
     few = graph.members.withColumn("n", F.row_number().over(W.partitionBy("pid").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("pid").alias("u"), F.col("id").alias("other"))
-    links = graph.edges.select("pid", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("pid", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
+    links = graph.edges.select("pid", F.explode(F.slice(F.arrays_zip("nbrs", "sims"), 1, k)).alias("e")).select("pid", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
     own = graph.edges.select("pid", F.col("pid").alias("u"), F.lit(1.0).cast("float").alias("s"))
     near = links.unionByName(own).join(few, "u").groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("other").alias("i")))), 1, k + 1).alias("near"))
     sizes = graph.members.groupBy("pid").agg(F.count(F.lit(1)).alias("c"))

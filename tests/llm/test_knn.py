@@ -47,12 +47,14 @@ def test_tiny(spark, n):
     assert knn.similar_pairs(df, "id", "v", 2, 10).count() == n // 2
 
 
-def test_tree_leaves_agree_with_depth():
+def test_tree_parts_all_points(monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 32)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((512, 8)).astype("f4")
-    t = knn.fit_tree(x, 9, 1)
-    assert len(t.planes) == 5 and len(t.extra) == 4
-    assert knn.leaves(t, x).max() < 512
+    sizes = np.bincount(knn.leaves(knn.fit_tree(x, 512, 1), x))
+    assert sizes.sum() == 512 and sizes.max() <= 32
+    large = knn.fit_tree(x, 1 << 20, 1)
+    assert len(large.extra) == 9 and knn.leaves(knn.fit_tree(x[:1], 1, 1), x).max() == 0
 
 
 def test_greedy_search_recall(spark, monkeypatch):
