@@ -36,7 +36,7 @@ SAMPLE = 16_384
 TRIES = 12
 MIDDLE = 0.1
 #: Neighbours kept in the graph beyond the k asked for.
-SPARE = 2
+SPARE = 1
 #: A round follows the first ``NEAR`` links of each vector, from there the first ``NEXT``, and back the best
 #: ``REVERSE``; the rest of a list is left to later rounds.
 NEAR = 6
@@ -246,19 +246,24 @@ def build_graph(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int, se
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.array(salt & 0xFFFF, pa.int64())], names=["pid", "vec", "b0", "b1", "salt"])
 
     coded = classes.select("pid", "vec").mapInArrow(code, "pid bigint, vec binary, b0 bigint, b1 bigint, salt bigint")
-    placed = coded.select("pid", "vec", F.explode(F.array(F.struct(F.lit(0).alias("tree"), F.col("b0").alias("leaf")), F.struct(F.lit(1).alias("tree"), F.col("b1").alias("leaf")))).alias("p"), "salt").select("pid", "vec", "p.tree", "p.leaf", "salt")
     # leaves that the sample did not split well are cut by hash: their number is bounded by n / MOST
-    big = placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST).withColumn("cuts", F.ceil(F.col("c") / BLOCK))
-    big = big.select("tree", "leaf", "cuts")
-    block = (F.col("leaf") * F.lit(1 << 16) + F.coalesce(F.pmod("salt", "cuts"), F.lit(0))) * 2 + F.col("tree")
-    blocks = placed.join(F.broadcast(big), ["tree", "leaf"], "left").select("pid", "vec", "tree", block.alias("block"))
+    for t in range(2):
+        big = coded.groupBy(f"b{t}").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST).select(f"b{t}", F.ceil(F.col("c") / BLOCK).alias(f"cuts{t}"))
+        coded = coded.join(F.broadcast(big), f"b{t}", "left")
+    block = [(F.col(f"b{t}") * F.lit(1 << 16) + F.coalesce(F.pmod("salt", f"cuts{t}"), F.lit(0))) * 2 + t for t in range(2)]
+    blocks = coded.select("pid", "vec", block[0].alias("home"), F.explode(F.array(*block)).alias("block"))
     width = k + SPARE
 
     def inside(table: pa.Table) -> pa.Table:
         x, ids = matrix(table.column("vec")), np.asarray(table.column("pid"))
         near, sims = _top(x, ids, x, ids, width)
-        home = np.asarray(table.column("block"))
-        return _lists(ids, home, near, sims, table.column("vec") if not len(home) or home[0] % 2 == 0 else None)
+        own = np.asarray(table.column("block"))
+        if own[0] % 2 == 0:
+            return _lists(ids, own, near, sims, table.column("vec"))
+        home = np.asarray(table.column("home"))  # neighbours in the same block of the first tree are listed there
+        order = np.argsort(ids)
+        theirs = home[order][np.minimum(np.searchsorted(ids[order], near), len(ids) - 1)]
+        return _lists(ids, own, np.where(theirs == home[:, None], -1, near), sims)
 
     first = cut_lineage(blocks.groupBy("block").applyInArrow(inside, _GRAPH))
     edges = cut_lineage(_merged(first, width))

@@ -29,7 +29,6 @@ GOOD_PY = [
     "try:\n    pass\nexcept* (A, B) as e:\n    raise X from e\nelse:\n    pass\nfinally:\n    pass\n",
     "x[1:2, ::3, ...] = y @ z ** -1\n*a, b = c\ndel a[0], b\n",
     "from . import a\nfrom .b import (c as d, e,)\nimport f.g as h, i\n",
-    "async\xa0= 1\n".replace("async\xa0", "nosync "),
 ]
 BAD_PY = ["print 'x'\n", "exec a in b\n", "def f(:\n  pass\n", "if x\n    pass\n", "x = (1\n", "x = 1)\n", "async = 1\n", "<<<<<<< HEAD\nx\n", "def f():\nreturn 1\n", "  x = 1\n", "if a:\n\tx\n        y\n", "x = 'abc\n", "a\0b\n", "x = = 1\n", "for x in y\n  pass\n", "class A\n  pass\n", "<html>\n", "f'{x'\n", "return = 1\n", "x = 5 y = 6\n", "match x:\n    pass\n"]
 
