@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: set[str] = set()
+
 
 def build_session(app: str = "chunkloom", master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; for tests and the command line."""
@@ -40,10 +44,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone; a temporary folder is left to the system
+        pass
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, eagerly."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table to the shared checkpoint folder and read back.
+
+    A written table is evaluated once (``checkpoint()`` computes its last stage twice), is read by column,
+    and outlives the loss of any executor.  The application's tables are removed when its driver ends.
+    """
+    spark = df.sparkSession
+    root = f"{ensure_checkpoint_dir(spark)}/chunkloom-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
