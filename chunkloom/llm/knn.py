@@ -347,37 +347,59 @@ def _round(edges: DataFrame, width: int) -> DataFrame:
     return hosts.unionByName(guests).groupBy("block").applyInArrow(local, _GRAPH)
 
 
-def neighbours(graph: Graph, k: int) -> DataFrame:
-    """``id, neighbour, similarity, rank``: for each member its ``k`` most similar others, ties by smaller id.
+def _links(edges: DataFrame, k: int) -> DataFrame:
+    e = edges.select("pid", F.explode(F.slice(F.arrays_zip("nbrs", "sims"), 1, k)).alias("e"))
+    return e.select("pid", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
+
+
+def _ranked(edges: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """``id, pid, neighbour, u, similarity, rank`` of the members of the classes in ``edges``.
 
     Members of one class share their list, made of the ``k + 1`` smallest ids of the class itself and of each
     neighbouring class; a class that holds a third of all rows costs ``k + 1`` rows there, and its members
     fetch the list by a broadcast join: at most ``HOT_SHARE`` classes are that large.
     """
-    few = graph.members.withColumn("n", F.row_number().over(W.partitionBy("pid").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("pid").alias("u"), F.col("id").alias("other"))
-    links = graph.edges.select("pid", F.explode(F.slice(F.arrays_zip("nbrs", "sims"), 1, k)).alias("e")).select("pid", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
-    own = graph.edges.select("pid", F.col("pid").alias("u"), F.lit(1.0).cast("float").alias("s"))
-    near = links.unionByName(own).join(few, "u").groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("other").alias("i")))), 1, k + 1).alias("near"))
-    sizes = graph.members.groupBy("pid").agg(F.count(F.lit(1)).alias("c"))
-    total = graph.members.count()
-    hot = sizes.where(F.col("c") > max(1000, total // HOT_SHARE)).select("pid", F.lit(True).alias("hot"))
-    marked = graph.members.join(F.broadcast(hot), "pid", "left")
+    few = members.withColumn("n", F.row_number().over(W.partitionBy("pid").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("pid").alias("u"), F.col("id").alias("other"))
+    own = edges.select("pid", F.col("pid").alias("u"), F.lit(1.0).cast("float").alias("s"))
+    entry = F.struct((-F.col("s")).alias("d"), F.col("other").alias("i"), "u")
+    near = _links(edges, k).unionByName(own).join(few, "u").groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("near"))
+    total = members.count()
+    hot = members.groupBy("pid").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(1000, total // HOT_SHARE)).select("pid", F.lit(True).alias("hot"))
+    marked = members.join(F.broadcast(hot), "pid", "left")
     rest = marked.where("hot is null").drop("hot").join(near, "pid")
     listed = rest.unionByName(marked.where("hot").drop("hot").join(F.broadcast(near.join(F.broadcast(hot.select("pid")), "pid", "left_semi")), "pid"))
     mine = F.slice(F.filter("near", lambda x: x["i"] != F.col("id")), 1, k)
-    return listed.select("id", F.posexplode(mine).alias("rank", "x")).select("id", F.col("x.i").alias("neighbour"), (-F.col("x.d")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+    return listed.select("id", "pid", F.posexplode(mine).alias("rank", "x")).select("id", "pid", F.col("x.i").alias("neighbour"), F.col("x.u").alias("u"), (-F.col("x.d")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+
+
+def neighbours(graph: Graph, k: int) -> DataFrame:
+    """``id, neighbour, similarity, rank``: for each member its ``k`` most similar others, ties by smaller id."""
+    return _ranked(graph.edges, graph.members, k).select("id", "neighbour", "similarity", "rank")
 
 
 def similar_pairs(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int) -> DataFrame:
     """Distinct ``id_a, id_b`` (``id_a < id_b``) of which at least one is among the other's ``k`` nearest.
 
     Repeated rows count once; rows without a usable vector take no part (see :func:`usable_vectors`).
+    Pairs of classes of one member each are made distinct by their numbers and named afterwards; only lists
+    that touch a class of several members are worked out by name.
     """
     graph = build_graph(rows, id_col, vec_col, dim, k)
     if graph is None:
         return rows.select(F.col(id_col).alias("id_a"), F.col(id_col).alias("id_b")).limit(0)
-    n = neighbours(graph, k)
-    return n.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+    links = _links(graph.edges, k).select("pid", "u")
+    several = cut_lineage(graph.members.groupBy("pid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("pid"))
+    touched = cut_lineage(links.join(several.select(F.col("pid").alias("u")), "u", "left_semi").select("pid").unionByName(several).distinct())
+    named = _ranked(graph.edges.join(touched, "pid", "left_semi"), graph.members, k)
+    both = several.select(F.col("pid").alias("pid"), F.lit(True).alias("more"))
+    named = cut_lineage(named.join(both, "pid", "left").join(both.select(F.col("pid").alias("u"), F.col("more").alias("u_more")), "u", "left"))
+    single = F.col("more").isNull() & F.col("u_more").isNull()
+    plain = links.join(touched, "pid", "left_anti").unionByName(named.where(single).select("pid", "u"))
+    numbers = plain.select(F.least("pid", "u").alias("a"), F.greatest("pid", "u").alias("b")).distinct()
+    names = graph.members
+    pairs = numbers.join(names.select(F.col("pid").alias("a"), F.col("id").alias("x")), "a").join(names.select(F.col("pid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b"))
+    return ordered(pairs, "x", "y").unionByName(ordered(named.where(~single), "id", "neighbour").distinct())
 
 
 #: Points of a query's block that a search starts from, points kept while it runs, and its most rounds.
