@@ -50,7 +50,7 @@ type_param: ('*' | '**') NAME ['=' test] | NAME [':' test] ['=' test]
 compound: 'if' named ':' block ('elif' named ':' block)* ['else' ':' block] | 'while' named ':' block ['else' ':' block]
     | for_stmt | with_stmt | try_stmt | func | klass | '@' named NEWLINE ('@' named NEWLINE)* (func | klass | 'async' func)
     | 'async' (func | for_stmt | with_stmt) | MATCH star_list ':' NEWLINE INDENT case+ DEDENT
-case: CASE star_list ['if' named] ':' block
+case: CASE star_list [GUARD named] ':' block
 for_stmt: 'for' targets 'in' star_list ':' block ['else' ':' block]
 with_stmt: 'with' (with_item (',' with_item)* | WOPEN with_item (',' with_item)* [','] WCLOSE) ':' block
 with_item: test ['as' target]

@@ -31,12 +31,20 @@ class Table:
         self._rules = set(bodies)
         self._nfa: list[list[tuple[str | None, int]]] = []
         self._dfa: dict[str, list[tuple[dict[str, int], bool]]] = {}
+        ends: dict[str, tuple[int, int]] = {}
         for rule, body in bodies.items():
             toks = [m[0] for m in _LEX.finditer(body) if m.lastgroup]
             a, z, n = self._alt(toks, 0)
             if n != len(toks):
                 raise ValueError(f"rule {rule}: {toks[n:]}")
-            self._dfa[rule] = self._subset(a, z)
+            ends[rule] = (a, z)
+        self._nullable: set[str] = set()
+        while True:
+            more = {rule for rule, (a, z) in ends.items() if rule not in self._nullable and z in self._close([a])}
+            if not more:
+                break
+            self._nullable |= more
+        self._dfa = {rule: self._subset(a, z) for rule, (a, z) in ends.items()}
         self._first: dict[str, set[str]] = {}
         for rule in self._dfa:
             self._first_of(rule, ())
@@ -108,14 +116,14 @@ class Table:
         return a, z, n
 
     def _close(self, states: Iterable[int]) -> list[int]:
-        """States reachable without a token, in grammar order."""
+        """States reachable without a token, past rules that may be empty too, in grammar order."""
         out: list[int] = []
         todo = list(states)[::-1]
         while todo:
             s = todo.pop()
             if s not in out:
                 out.append(s)
-                todo.extend(t for label, t in reversed(self._nfa[s]) if label is None)
+                todo.extend(t for label, t in reversed(self._nfa[s]) if label is None or label[0] == "&" and label[1:] in self._nullable)
         return out
 
     def _subset(self, a: int, z: int):

@@ -48,8 +48,11 @@ class Grammar:
             self.rules[name] = self._rule(name, expr)
 
     def parse(self, text: str, start: str | None = None) -> Node | None:
-        """The tree of the longest prefix that the start rule matches, or None."""
-        got = self.rules[start or self.start](text, 0, {})
+        """The tree of the prefix that the start rule matches, or None; also None if nested too deeply for the stack."""
+        try:
+            got = self.rules[start or self.start](text, 0, {})
+        except RecursionError:
+            return None
         return got[1][0] if got else None
 
     def _rule(self, name: str, expr: Matcher) -> Matcher:

@@ -106,9 +106,13 @@ def _soft_words(labels: list[str], texts: list[str]) -> None:
                     labels[i] = "MATCH"
                 elif texts[i] == "case":
                     labels[i] = "CASE"
+                    depth, guard = 0, False
                     for k in range(i + 1, end):
-                        if labels[k] == "as":
+                        depth += (labels[k] in ("(", "[", "{")) - (labels[k] in (")", "]", "}"))
+                        if labels[k] == "as" and not guard:
                             labels[k] = "OP"
+                        elif labels[k] == "if" and not depth and not guard:
+                            labels[k], guard = "GUARD", True
         begin = label in ("NEWLINE", "INDENT", "DEDENT")
 
 
@@ -401,7 +405,7 @@ def _brace_init(labels: list[str]) -> bool:
     for label in reversed(labels[-60:]):
         if label in ("class", "struct", "union", "enum", "namespace"):
             return False
-        if label in (";", "{", "}", "(", "ASSIGN", "return", ")", "BRACED", ","):
+        if label in (";", "{", "}", "(", "ASSIGN", "return", ")", "BRACED"):
             break
     return True
 
