@@ -71,7 +71,7 @@ def test_expansion_depths(spark):
 
 
 def test_expansion_limit_comes_before_duplicates(spark):
-    chunks = store(spark).withColumn("file_path", F.when(F.col("chunk_id") == "g1", F.lit("/p")).otherwise(F.col("file_path")))
+    chunks = store(spark).withColumn("file_path", F.when(F.col("chunk_id") == "p", F.lit("/g1")).otherwise(F.col("file_path")))
     seeds = chunks.where("chunk_id = 'p'").withColumn("distance", F.lit(0.1)).withColumn("pos", F.lit(0))
     got = [r.chunk_id for r in expand.expand_dependencies(chunks, seeds, 1).orderBy("depth", "pos").collect()]
     assert got == ["p", "g2", "g3", "h1"]
