@@ -291,6 +291,18 @@ def align(a: list[str], a_at: np.ndarray, b: list[str], b_at: np.ndarray, lo: in
     return bool((s[MIN_WORDS:] - low[: len(s) - MIN_WORDS] >= 0).any())
 
 
+#: Letters of a word that may have lost its blanks; such words are cut at the item's words.
+LONG_WORD = 32
+
+
+def _parted(words: list[str], item: list[str]) -> list[str]:
+    """``words`` with the long ones cut into words of the item and what lies between them."""
+    if max(map(len, words)) < LONG_WORD:
+        return words
+    known = re.compile("(" + "|".join(sorted(map(re.escape, set(item)), key=len, reverse=True)) + ")")
+    return [x for w in words for x in (known.split(w) if len(w) >= LONG_WORD else (w,)) if x]
+
+
 #: Letters of the documents that are searched in one pass.
 PASS_LETTERS = 1_000_000
 
@@ -299,10 +311,11 @@ def leaks_in(index: Items, texts: list[str | None]) -> Iterator[tuple[int, objec
     """``(position in texts, item id)`` of each item of which a passage stands in a text."""
     group: list[tuple[int, list[str], str]] = []
     size = 0
+    least = int(index.least.min()) + Q - 1
     for n, text in enumerate(texts):
         words = canonical_words(text)
         letters = "".join(words)
-        if len(words) >= MIN_WORDS // 2 and len(letters) >= Q:
+        if len(letters) >= least:
             group.append((n, words, letters))
             size += len(letters)
         if size >= PASS_LETTERS:
@@ -320,6 +333,7 @@ def _leaks_in(index: Items, group) -> Iterator[tuple[int, object]]:
         n, words, _ = group[doc]
         if (n, item) in found:
             continue
+        words = _parted(words, index.words[item])
         at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
         off = int(starts[doc])
         if align(index.words[item], index.starts[item], words, at, lo - off, hi - off):

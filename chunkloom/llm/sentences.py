@@ -252,7 +252,7 @@ def features(c: Candidate, counts: Counts) -> list[int]:
     starter = math.log((counts.first[br] + 0.5) / (counts.inner[br] + 0.5)) if right else 0.0
     opener = math.log((counts.first[br] + 0.5) / (counts.after[br] + 0.5)) if right else 0.0
     seen = counts.stop[bl] + counts.free[bl]
-    names = (
+    names = [
         "bias",
         f"l={left}",
         f"ls={_shape(c.left)}",
@@ -266,7 +266,11 @@ def features(c: Candidate, counts: Counts) -> list[int]:
         "bias" if not c.left[-1:].isalpha() else f"sc={_script(c.left[-1:])}",
         f"rsc={_script(c.right[:1])}",
         f"m={c.marks[:3]}",
-    )
+    ]
+    if left and not seen:  # a new word tells by its shape and script only
+        names[1] = names[3] = names[4] = names[5] = "bias"
+    if right and not counts.first[br] + counts.inner[br] + counts.after[br]:
+        names[6] = names[7] = names[8] = "bias"
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
