@@ -455,11 +455,12 @@ def train(documents: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.int32())], names=["x", "y"])
 
     rows = sample.select("doc_id", "text", "doc_type").mapInArrow(run, "x array<int>, y int").toArrow()
-    x = np.asarray(rows.column("x").combine_chunks().flatten()) if rows.num_rows else np.zeros(0, "i8")
-    x = x.reshape(rows.num_rows, -1)
+    if not rows.num_rows:
+        return Model(counts, np.zeros(FEATURES))
+    x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(rows.num_rows, -1)
     y = np.asarray(rows.column("y"))
-    order = np.lexsort((*x.T, y)) if rows.num_rows else []
-    return Model(counts, fit(list(x[order]), list(y[order])) if rows.num_rows else np.zeros(FEATURES))
+    order = np.lexsort((*x.T, y))
+    return Model(counts, fit(list(x[order]), list(y[order])))
 
 
 def sentence_boundaries(documents: DataFrame, model: Model | None = None) -> DataFrame:
