@@ -8,7 +8,7 @@ file: (NEWLINE | stmt)* END
 stmt: small (';' small)* [';'] NEWLINE | compound
 small: expr_stmt | 'del' targets | 'pass' | 'break' | 'continue' | 'return' [star_list] | 'raise' [test ['from' test]]
     | ('global' | 'nonlocal') NAME (',' NAME)* | 'assert' test [',' test] | 'import' dotted_as (',' dotted_as)*
-    | 'from' ('.' | '...')* from_rest | TYPE NAME [type_params] '=' test
+    | 'from' (('.' | '...')+ from_rest | dotted 'import' imports) | TYPE NAME [type_params] '=' test
 from_rest: dotted 'import' imports | 'import' imports
 imports: '*' | '(' import_as (',' import_as)* [','] ')' | import_as (',' import_as)*
 import_as: NAME ['as' NAME]
@@ -37,8 +37,7 @@ args: arg (',' arg)* [',']
 arg: '*' test | '**' test | named ['=' test | comp_for]
 subs: sub (',' sub)* [',']
 sub: '*' arith | named [':' [test] [':' [test]]] | ':' [test] [':' [test]]
-comp_for: ['async'] 'for' targets 'in' logic (['async'] 'for' targets 'in' logic | 'if' cond)*
-cond: 'lambda' [lambda_params] ':' cond | logic [':=' test]
+comp_for: ['async'] 'for' targets 'in' logic (['async'] 'for' targets 'in' logic | 'if' logic)*
 fstring: FSTART (FMIDDLE | fhole)* FEND
 fhole: '{' (yield_expr | star_list) ['='] ['!' NAME] [':' (FMIDDLE | fhole)*] '}'
 lambda_params: lambda_param (',' lambda_param)* [',']
@@ -50,13 +49,21 @@ type_param: ('*' | '**') NAME ['=' test] | NAME [':' test] ['=' test]
 compound: 'if' named ':' block ('elif' named ':' block)* ['else' ':' block] | 'while' named ':' block ['else' ':' block]
     | for_stmt | with_stmt | try_stmt | func | klass | '@' named NEWLINE ('@' named NEWLINE)* (func | klass | 'async' func)
     | 'async' (func | for_stmt | with_stmt) | MATCH star_list ':' NEWLINE INDENT case+ DEDENT
-case: CASE star_list [GUARD named] ':' block
+case: CASE patterns [GUARD named] ':' block
+patterns: star_pattern (',' star_pattern)* [',']
+star_pattern: '*' NAME | pattern
+pattern: closed_pattern (BAR closed_pattern)* [AS NAME]
+closed_pattern: [SIGN] NUMBER [SIGN NUMBER] | (STRING | fstring)+ | 'None' | 'True' | 'False' | dotted ['(' [class_pattern (',' class_pattern)* [',']] ')']
+    | '(' [patterns] ')' | '[' [patterns] ']' | '{' [map_pattern (',' map_pattern)* [',']] '}'
+class_pattern: pattern ['=' pattern]
+map_pattern: '**' NAME | closed_pattern ':' pattern
 for_stmt: 'for' targets 'in' star_list ':' block ['else' ':' block]
 with_stmt: 'with' (with_item (',' with_item)* | WOPEN with_item (',' with_item)* [','] WCLOSE) ':' block
 with_item: test ['as' target]
-try_stmt: 'try' ':' block (except+ ['else' ':' block] ['finally' ':' block] | 'finally' ':' block)
-except: 'except' ['*'] [test (',' test)* ['as' NAME]] ':' block
-func: 'def' NAME [type_params] '(' [params] ')' ['->' star_list] ':' block
+try_stmt: 'try' ':' block ((except+ | except_group+) ['else' ':' block] ['finally' ':' block] | 'finally' ':' block)
+except: 'except' [test ['as' NAME]] ':' block
+except_group: EXCEPTS '*' test ['as' NAME] ':' block
+func: 'def' NAME [type_params] '(' [params] ')' ['->' test] ':' block
 klass: 'class' NAME [type_params] ['(' [args] ')'] ':' block
 block: small (';' small)* [';'] NEWLINE | NEWLINE INDENT stmt+ DEDENT
 """
@@ -77,7 +84,7 @@ options: '[' option_name '=' constant (',' option_name '=' constant)* ']'
 message: 'message' ident body
 body: '{' member* '}'
 member: ';' | message | enum | extend | option | oneof | mapfield | reserved | extensions | label field | 'group' ident | field
-label: 'repeated' | 'optional' | 'required'
+label: 'repeated' | 'optional'
 field: fieldtype ident '=' INT [options] (';' | body)
 fieldtype: ['.'] fieldident ('.' ident)*
 fieldident: NAME | 'syntax' | 'edition' | 'import' | 'weak' | 'public' | 'package' | 'service' | 'rpc' | 'returns' | 'stream' | 'to' | 'max'
@@ -125,31 +132,42 @@ init: expr | braced
 braced: '{' [braced_item (',' [braced_item])*] '}'
 braced_post: BRACED [braced_item (',' [braced_item])*] '}'
 braced_item: '.' ID (ASSIGN init | braced) | init ['...']
-postfix: '(' [soup_list] ')' | '[' [init] ']' | '.' member | '->' member | '++' | '--' | braced_post
+postfix: '(' [soup_list] ')' | access_tail
+call: '(' [args] ')' | access_tail
+access_tail: function_type | '[' [init (',' init)*] ']' | '.' member | '->' member | '++' | '--' | braced_post
+function_type: FPTR PTR+ SPEC* ')' '(' [soup_list] ')'
+args: arg (',' arg)*
+arg: init ['...']
 member: ['template'] ['~' | PTR] (qid | SPEC)
-soup_list: soup_item (',' [soup_item])*
+soup_list: soup_item (',' soup_item)*
 soup_item: soup [ASSIGN init] | braced
-soup: soup_part+
-soup_part: 'class' | 'struct' | 'union' | 'enum' | 'template' [TLT [soup_list] TGT] | SPEC | PTR | OP | SIGN | qid | NUM | STR | CHR | '(' [soup_list] ')' | LAMBDA lambda | '[' [expr] ']' | '.' member | '->' member
-    | '++' | '--' | '~' | '!' | '?' | ':' | 'new' | 'delete' | 'throw' | 'sizeof' | 'this' | 'co_await' | braced_post | '...'
+soup: soup_first soup_rest*
+soup_first: (SIGN | '!' | '~')* soup_word
+soup_rest: (OP | '?' | ':') soup_first | soup_first
+soup_word: 'class' | 'struct' | 'union' | 'enum' | 'template' [TLT [soup_list] TGT] | SPEC | PTR | qid | NUM | STR | CHR | '(' [soup_list] ')' | function_type | LAMBDA lambda | '[' [expr (',' expr)*] ']' | '.' member | '->' member
+    | '++' | '--' | 'new' | 'delete' | 'throw' | 'sizeof' | 'this' | 'co_await' | braced_post | '...'
 expr: expr2 [ASSIGN init]
-expr2: unary ((OP | PTR | SIGN) unary)* ['?' init ':' expr]
+expr2: unary ((OP | SIGN) unary | PTR [unary] | SPEC)* ['?' init ':' expr]
 unary: (PTR | SIGN | '!' | '~' | '++' | '--' | 'sizeof' ['...'] | 'co_await')* operand
-operand: 'throw' [expr] | 'new' ['(' [soup_list] ')'] (SPEC | qid | PTR)* postfix* | 'delete' ['[' ']'] unary | primary postfix*
-primary: SPEC* literal | '(' [soup_list] ')' [literal] | LAMBDA lambda | 'requires' ['(' [soup_list] ')'] block
-literal: qid | NUM | STR+ | CHR | 'this' | '(' [soup_list] ')'
+operand: 'throw' [expr] | 'new' ['(' args ')'] (SPEC | qid | PTR)* call* | 'delete' ['[' ']'] unary | primary call*
+primary: SPEC+ [literal] | qid | NUM | strings | CHR | 'this' | '...' | ('class' | 'struct' | 'union' | 'enum') qid | '(' args ')' [literal | ('!' | '~') unary] | LAMBDA lambda | 'requires' ['(' [soup_list] ')'] block
+literal: qid | NUM | strings | CHR | 'this' | '(' [args] ')'
+strings: STR (STR | qid)*
 qid: ['::'] qid_part ('::' ['template'] ['~' | PTR] qid_part)*
 qid_part: ID [TLT [soup_list] TGT]
-lambda: [soup_list] ']' [TLT [soup_list] TGT] ['(' [soup_list] ')'] qualifier* block
+lambda: [capture (',' capture)*] ']' [TLT [soup_list] TGT] ['(' [soup_list] ')'] qualifier* block
+capture: ASSIGN | soup_item
 block: '{' stmt* '}'
-stmt: block | ';' | 'if' [SPEC] '(' cond ')' stmt ['else' stmt] | 'while' '(' cond ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
-    | 'for' '(' for_head ')' stmt | 'switch' '(' cond ')' stmt | 'case' expr2 ['...' expr2] ':' | 'default' ':' | ('return' | 'co_return' | 'co_yield') [init] ';'
+stmt: block | ';' | 'if' [SPEC] condition stmt ['else' stmt] | 'while' condition stmt | 'do' stmt 'while' condition ';'
+    | 'for' '(' for_head ')' stmt | 'switch' condition stmt | 'case' expr2 ['...' expr2] ':' | 'default' ':' | ('return' | 'co_return' | 'co_yield') [init] ';'
     | 'break' ';' | 'continue' ';' | 'goto' ID ';' | 'try' block ('catch' '(' (soup_item | '...') ')' block)+ | using | klass | enum | template | namespace | assertion
     | 'typedef' simple_decl | 'extern' simple_decl | simple
+condition: XP args ')' | '(' cond ')'
 cond: soup [ASSIGN init] [';' [soup [ASSIGN init]]]
 for_head: [for_part (',' for_part)*] [';' [expr] ';' [expr (',' expr)*]]
 for_part: soup [ASSIGN init]
-simple: words [NUM | STR+ | CHR | 'this'] rest_stmt | other_expr rest_stmt
-other_expr: (SIGN | '!' | '~' | '++' | '--' | 'co_await' | 'sizeof') unary | NUM | STR+ | CHR | 'this' | LAMBDA lambda | '(' [soup_list] ')' [literal] | 'throw' [expr] | 'new' ['(' [soup_list] ')'] words | 'delete' ['[' ']'] unary
+simple: qid (words [NUM | STR+ | CHR | 'this'] rest_stmt | rest_expr) | (SPEC | PTR) [words] [NUM | STR+ | CHR | 'this'] rest_stmt | other_expr rest_expr
+rest_expr: call* [core_end] (';' | body) | ':' stmt
+other_expr: (SIGN | '!' | '~' | '++' | '--' | 'co_await' | 'sizeof') unary | NUM | STR+ | CHR | 'this' | LAMBDA lambda | '(' args ')' [literal | ('!' | '~') unary] | 'throw' [expr] | 'new' ['(' args ')'] words | 'delete' ['[' ']'] unary
 rest_stmt: core (';' | body) | ':' stmt
 """

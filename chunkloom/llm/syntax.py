@@ -69,8 +69,10 @@ def python_labels(source: str) -> tuple[list[str], list[int]]:
     except SyntaxError as e:
         raise LexError(e.lineno or 0, str(e.msg)) from e
     labels: list[str] = []
-    for t in toks:
+    for k, t in enumerate(toks):
         s = t.string
+        if (flaw := _py_token_flaw(toks[k - 1] if k else None, t)) is not None:
+            raise LexError(t.start[0], flaw)
         if t.type == pytokens.NAME:
             labels.append(s if s in PY_KEYWORDS else "NAME")
         elif t.type == pytokens.OP:
@@ -85,6 +87,20 @@ def python_labels(source: str) -> tuple[list[str], list[int]]:
     return labels, [t.start[0] for t in toks]
 
 
+def _py_token_flaw(before: pytokens.TokenInfo | None, t: pytokens.TokenInfo) -> str | None:
+    """What is wrong with a token or with its place behind another, which labels do not show."""
+    texts = (pytokens.STRING, pytokens.FSTRING_START)
+    if t.type == pytokens.NUMBER and re.fullmatch(r"0[\d_]*[1-9][\d_]*", t.string):
+        return "leading zeros"
+    if before is not None and before.string == "!" and before.type == pytokens.OP and (t.string not in ("s", "r", "a") or before.end != t.start):
+        return "invalid conversion"
+    if before is not None and t.type in texts and before.type in (pytokens.STRING, pytokens.FSTRING_END):
+        of_bytes = [x.type == pytokens.STRING and "b" in x.string[: re.search("['\"]", x.string).start()].lower() for x in (before, t)]
+        if of_bytes[0] != of_bytes[1]:
+            return "bytes and text literals mixed"
+    return None
+
+
 def _soft_words(labels: list[str], texts: list[str]) -> None:
     """Marks what depends on the rest of its line: match, case, type, parenthesised with items, matrix products."""
     begin = True
@@ -109,10 +125,12 @@ def _soft_words(labels: list[str], texts: list[str]) -> None:
                     depth, guard = 0, False
                     for k in range(i + 1, end):
                         depth += (labels[k] in ("(", "[", "{")) - (labels[k] in (")", "]", "}"))
-                        if labels[k] == "as" and not guard:
-                            labels[k] = "OP"
+                        if not guard and (labels[k] == "as" or texts[k] == "|"):
+                            labels[k] = "AS" if labels[k] == "as" else "BAR"
                         elif labels[k] == "if" and not depth and not guard:
                             labels[k], guard = "GUARD", True
+        elif label == "except" and labels[i + 1] == "*":
+            labels[i] = "EXCEPTS"
         begin = label in ("NEWLINE", "INDENT", "DEDENT")
 
 
@@ -124,11 +142,244 @@ def _with_group(labels: list[str], at: int, end: int) -> None:
         depth += (labels[k] in ("(", "[", "{")) - (labels[k] in (")", "]", "}"))
         named |= labels[k] == "as" and depth == 1
         if not depth:
-            if named and k == end - 1:
+            if named and k == end - 1 and labels[k] == ")":
                 labels[at], labels[k] = "WOPEN", "WCLOSE"
             return
 
 
+#: Labels that a call's or subscript's bracket can follow.
+_PY_OPERAND = frozenset("NAME NUMBER STRING FEND ) ] } ... None True False".split())
+#: What stands before the name of a ``:=``; a comma only inside brackets or in the subject of ``match``.
+_PY_BEFORE_WALRUS = frozenset("( [ { , if elif while @ MATCH GUARD".split())
+_PY_COMPOUND = frozenset("if elif else while for try except EXCEPTS finally with async def class MATCH CASE".split())
+
+
+class _PythonRules:
+    """What one token of look-ahead cannot tell in an accepted token stream: targets of assignments, the order
+    of parameters and arguments, places of ``:=`` and stars, displays that mix sets and mappings."""
+
+    def __init__(self, labels: list[str]):
+        self.labels = labels
+        self.bad: list[int] = []
+        #: Opening token -> closing one: brackets, f-strings, and ``lambda`` with its colon.
+        self.close: dict[int, int] = {}
+        holes: set[int] = set()
+        spec: set[int] = set()
+        inside: list[bool] = []
+        stack: list[int] = []
+        depth = 0
+        for i, label in enumerate(labels):
+            inside.append(depth > 0)
+            if label in ("(", "[", "{", "WOPEN", "FSTART", "lambda"):
+                if label == "{" and stack and (labels[stack[-1]] == "FSTART" or stack[-1] in spec):
+                    holes.add(i)
+                stack.append(i)
+                depth += label != "lambda"
+            elif label in (")", "]", "}", "WCLOSE", "FEND"):
+                self.close[stack.pop()] = i
+                depth -= 1
+            elif label == ":" and stack:
+                if labels[stack[-1]] == "lambda":
+                    self.close[stack.pop()] = i
+                elif stack[-1] in holes:
+                    spec.add(stack[-1])
+        self.inside = inside
+        self._statements()
+        for i, end in self.close.items():
+            if labels[i] == "lambda":
+                self._parameters(i + 1, end)
+            elif labels[i] in ("(", "[", "{") and i not in holes:
+                self._group(i, end)
+
+    def _level(self, lo: int, hi: int) -> Iterator[int]:
+        """Tokens of a span that no bracket inside it encloses."""
+        while lo < hi:
+            yield lo
+            lo = self.close.get(lo, lo) + 1
+
+    def _find(self, lo: int, hi: int, *want: str) -> int:
+        return next((i for i in self._level(lo, hi) if self.labels[i] in want), -1)
+
+    def _parts(self, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Spans between commas; without the empty one behind a last comma."""
+        out = []
+        for i in self._level(lo, hi):
+            if self.labels[i] == ",":
+                out.append((lo, i))
+                lo = i + 1
+        return [*out, (lo, hi)] if lo < hi else out
+
+    def _statements(self) -> None:
+        labels = self.labels
+        start, match, header = 0, False, False
+        for i in self._level(0, len(labels)):
+            label = labels[i]
+            if i == start:
+                match, header = label == "MATCH", label in _PY_COMPOUND
+            if label in ("NEWLINE", "INDENT", "DEDENT", ";", "END") or header and label == ":":
+                (self._header if header else self._simple)(start, i)
+                start = i + 1
+        for i, label in enumerate(labels):
+            if label == "MATCH":
+                match = True
+            elif label == "NEWLINE":
+                match = False
+            elif label == ":=" and (labels[i - 1] != "NAME" or i < 2 or labels[i - 2] not in _PY_BEFORE_WALRUS or labels[i - 2] == "," and not (self.inside[i] or match)):
+                self.bad.append(i)
+
+    def _header(self, lo: int, hi: int) -> None:
+        labels = self.labels
+        lo += labels[lo] == "async"
+        if labels[lo] == "for":
+            self._target(lo + 1, self._find(lo, hi, "in"))
+        elif labels[lo] == "with":
+            a, b = (lo + 2, hi - 1) if labels[lo + 1] == "WOPEN" else (lo + 1, hi)
+            for x, y in self._parts(a, b):
+                if (at := self._find(x, y, "as")) >= 0:
+                    self._target(at + 1, y)
+        elif labels[lo : lo + 2] == ["MATCH", "*"] and self._find(lo, hi, ",") < 0:
+            self.bad.append(lo + 1)
+        elif labels[lo] == "def":
+            at = lo + 2 if labels[lo + 2] == "(" else self.close[lo + 2] + 1
+            self._parameters(at + 1, self.close[at])
+
+    def _simple(self, lo: int, hi: int) -> None:
+        labels = self.labels
+        if lo == hi or labels[lo] == "TYPE":
+            return
+        if labels[lo] == "del":
+            self._target(lo + 1, hi, star=False)
+        elif (at := self._find(lo, hi, "AUG", ":")) >= 0:
+            self._target(lo, at, one=True, star=False)
+        else:
+            while (at := self._find(lo, hi, "=")) >= 0:
+                self._target(lo, at)
+                lo = at + 1
+
+    def _target(self, lo: int, hi: int, one: bool = False, star: bool = True) -> None:
+        """Names, attributes and subscripts, also in brackets; ``one``: no list of them."""
+        labels = self.labels
+        parts = self._parts(lo, hi)
+        if one and (len(parts) != 1 or self._find(lo, hi, ",") >= 0):
+            self.bad.append(lo)
+            return
+        for a, b in parts:
+            if labels[a] == "*":
+                if not star:
+                    self.bad.append(a)
+                a += 1
+            if labels[a] in ("(", "[") and self.close[a] == b - 1:
+                if one and labels[a] == "[":
+                    self.bad.append(a)
+                single = labels[a] == "(" and self._find(a + 1, b - 1, ",") < 0 and b - a > 2
+                self._target(a + 1, b - 1, one, star and not single)
+                continue
+            last, k = labels[a], a
+            if last not in ("NAME", "(", "[", "{", "FSTART", "STRING", "NUMBER", "...", "None", "True", "False"):
+                self.bad.append(a)
+                continue
+            if last in ("FSTART", "STRING"):
+                while k < b and labels[k] in ("FSTART", "STRING"):
+                    k = self.close.get(k, k) + 1
+            else:
+                k = self.close.get(k, k) + 1
+            last = "NAME" if last == "NAME" else ""
+            while k < b and labels[k] in ("(", "[", "."):
+                last = labels[k]
+                k = k + 2 if last == "." else self.close[k] + 1
+            if k < b or last not in ("NAME", "[", "."):
+                self.bad.append(a)
+
+    def _parameters(self, lo: int, hi: int) -> None:
+        labels = self.labels
+        default = star = slash = twice = bare = False
+        for a, b in self._parts(lo, hi):
+            label = labels[a]
+            wrong = twice
+            if label == "/":
+                wrong |= slash or star or a == lo
+                slash = True
+            elif label == "*":
+                wrong |= star
+                star, bare = True, b == a + 1
+            elif label == "**":
+                wrong |= bare
+                twice = True
+            else:
+                has = self._find(a, b, "=") >= 0
+                wrong |= default and not has and not star
+                default |= has and not star
+                bare = False
+            if wrong:
+                self.bad.append(a)
+        if bare:
+            self.bad.append(hi)
+
+    def _group(self, at: int, end: int) -> None:
+        labels = self.labels
+        parts = self._parts(at + 1, end)
+        before = labels[at - 1] if at else ""
+        each = self._find(at + 1, end, "for")
+        if each >= 0:
+            if labels[at + 1] in ("*", "**"):
+                self.bad.append(at + 1)
+            for i in self._level(at + 1, end):
+                if labels[i] == "for":
+                    self._target(i + 1, self._find(i, end, "in"))
+        params = before == "NAME" and at > 1 and labels[at - 2] == "def" or before == "]" and self._type_parameters(at - 1)
+        if labels[at] == "(" and not params and before in _PY_OPERAND:
+            self._arguments(parts, at, end, each >= 0)
+        elif labels[at] == "(" and not params and len(parts) == 1 and labels[at + 1] == "*" and labels[end - 1] != ",":
+            self.bad.append(at + 1)
+        elif labels[at] in ("{", "["):
+            kinds = set()
+            for a, b in parts:
+                pair = self._find(a, b, ":") >= 0
+                if pair and self._find(a, b, ":=") >= 0:
+                    self.bad.append(a)
+                kinds.add(pair or labels[a] == "**")
+            if labels[at] == "{" and len(kinds) > 1:
+                self.bad.append(at)
+
+    def _type_parameters(self, end: int) -> bool:
+        """Whether the bracket that closes at ``end`` holds the type parameters of a function."""
+        depth = 0
+        for k in range(end, -1, -1):
+            depth += (self.labels[k] == "]") - (self.labels[k] == "[")
+            if not depth:
+                return k > 1 and self.labels[k - 2] == "def"
+        return False
+
+    def _arguments(self, parts: list[tuple[int, int]], at: int, end: int, each: bool) -> None:
+        labels = self.labels
+        keyword = twice = False
+        if each:
+            heads = [(i, self._find(i, end, "in")) for i in self._level(at + 1, end) if labels[i] == "for"]
+            alone = all(labels[i] != "," or any(a < i < b for a, b in heads) for i in self._level(at + 1, end))
+            if not alone or labels[at - 2] == "class":
+                self.bad.append(at + 1)
+            return
+        for a, b in parts:
+            wrong = False
+            equals = self._find(a, b, "=")
+            if labels[a] == "**":
+                twice = True
+            elif labels[a] == "*":
+                wrong = twice
+            elif equals >= 0:
+                wrong = labels[a] != "NAME" or equals != a + 1
+                keyword = True
+            else:
+                wrong = keyword or twice
+            if wrong:
+                self.bad.append(a)
+
+
+def python_flaw(labels: list[str]) -> int | None:
+    """The first token of an accepted stream at which the language has an error all the same, or None."""
+    return min(_PythonRules(labels).bad, default=None)
+
+
 # ---------------------------------------------------------------- C++
 
 # The words of the language that the grammar tells apart.
@@ -360,9 +611,37 @@ def cpp_labels(source: str) -> tuple[list[str], list[int]]:
             add("OP", text, line)
         i += 1
     add("END", "", toks[-1][2] if toks else 1)
+    _conditions(labels)
     return labels, lines
 
 
+def _conditions(labels: list[str]) -> None:
+    """Marks the brackets of conditions that declare nothing, and those of pointers to functions without a name."""
+    open_: list[int] = []
+    declares: list[bool] = []
+    heads: list[int] = []
+    for i, label in enumerate(labels):
+        if label in ("(", "[", "{", "BRACED", "LAMBDA"):
+            if label == "BRACED" and declares:
+                declares[-1] = True
+            open_.append(i)
+            declares.append(False)
+        elif label in ("ASSIGN", ";") and declares:
+            declares[-1] = True
+        elif label in (")", "]", "}") and open_:
+            at, has = open_.pop(), declares.pop()
+            if labels[at] != "(":
+                continue
+            before = labels[at - 1] if at else ""
+            if before in ("if", "while", "switch") or before == "SPEC" and at > 1 and labels[at - 2] == "if":
+                if not has:
+                    heads.append(at)
+            elif i > at + 1 and labels[at + 1] == "PTR" and all(x in ("PTR", "SPEC") for x in labels[at + 1 : i]) and labels[i + 1 : i + 2] == ["("]:
+                labels[at] = "FPTR"
+    for at in heads:
+        labels[at] = "XP"
+
+
 def _opens_template(toks: list, i: int) -> bool:
     """Whether the ``<`` at ``i`` opens template arguments: a name or ``template`` before it, only type-like
     tokens up to its ``>``, and something behind that can follow a type."""
@@ -473,6 +752,8 @@ def first_error(content: bytes | None, language: str) -> Error | None:
     except RecursionError:
         return Error(0, "nested too deeply")
     n = table(language).parse(labels)
+    if n is None and language == "python":
+        n = python_flaw(labels)
     return None if n is None else Error(lines[n], f"unexpected {labels[n]}")
 
 
