@@ -518,6 +518,10 @@ _PTR = frozenset("* & &&".split())
 _KEEP = frozenset("( ) [ ] { } ; , : :: . -> ++ -- ~ ! ? ...".split())
 
 
+_HEADS = frozenset("class struct union enum namespace".split())
+_HEAD_ENDS = frozenset("; { } ( ) ASSIGN return BRACED".split())
+
+
 def cpp_labels(source: str) -> tuple[list[str], list[int]]:
     toks = cpp_tokens(source)
     labels: list[str] = []
@@ -535,7 +539,23 @@ def cpp_labels(source: str) -> tuple[list[str], list[int]]:
                 break
         return k
 
+    ends: dict[int, int] = {}
+    groups = _groups(toks)
+    head = False  # whether a class, enum or namespace has been named and not begun
+    heads: list[bool] = []  # the same around open template arguments
+
     def add(label: str, text: str, line: int) -> None:
+        nonlocal head
+        if label in _HEADS:
+            head = True
+        elif label in _HEAD_ENDS:
+            head = False
+            if label in (";", "{", "}"):
+                heads.clear()
+        elif label == "TLT":
+            heads.append(head)
+        elif label == "TGT" and heads:
+            head = heads.pop()
         labels.append(label)
         texts.append(text)
         lines.append(line)
@@ -584,7 +604,7 @@ def cpp_labels(source: str) -> tuple[list[str], list[int]]:
                 i = end  # an attribute
                 continue
             add("LAMBDA", text, line)
-        elif text == "<" and _opens_template(toks, i):
+        elif text == "<" and _opens_template(toks, i, groups, ends):
             add("TLT", text, line)
             templates += 1
         elif text in (">", ">>") and templates:
@@ -595,7 +615,7 @@ def cpp_labels(source: str) -> tuple[list[str], list[int]]:
             prev = labels[-1] if labels else ""
             add("[" if prev in ("ID", ")", "]", "TGT", "NUM", "STR", "SPEC", "delete", "this", "}", "PTR") and not (prev == "SPEC" and texts[-1] in ("return",)) else "LAMBDA", text, line)
         elif text == "{":
-            add("BRACED" if _brace_init(labels) else "{", text, line)
+            add("BRACED" if labels and labels[-1] in ("ID", "TGT") and not head else "{", text, line)
         elif text == "->" and labels and labels[-1] in (")", "SPEC") and (end := _trailing_type(toks, i + 1)):
             i = end
             continue
@@ -642,9 +662,24 @@ def _conditions(labels: list[str]) -> None:
         labels[at] = "XP"
 
 
-def _opens_template(toks: list, i: int) -> bool:
+def _groups(toks: list) -> dict[int, int]:
+    """Opening round or square bracket -> the one that closes it."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for k, (_, text, _) in enumerate(toks):
+        if text in ("(", "["):
+            open_.append(k)
+        elif text in (")", "]") and open_:
+            out[open_.pop()] = k
+    return out
+
+
+def _opens_template(toks: list, i: int, groups: dict[int, int], ends: dict[int, int]) -> bool:
     """Whether the ``<`` at ``i`` opens template arguments: a name or ``template`` before it, only type-like
-    tokens up to its ``>``, and something behind that can follow a type."""
+    tokens up to its ``>``, and something behind that can follow a type.
+
+    ``ends`` keeps the ``>`` of each ``<`` that a scan has passed, or -1, so that no token is scanned again and again.
+    """
     if i == 0:
         return False
     before = toks[i - 1]
@@ -652,41 +687,38 @@ def _opens_template(toks: list, i: int) -> bool:
         return True
     if before[0] != "id" or before[1] in CPP_SPEC:
         return False
-    depth, k, limit = 0, i, min(len(toks), i + 200)
-    while k < limit:
+    if i not in ends:
+        _scan_arguments(toks, i, groups, ends)
+    if ends[i] < 0:
+        return False
+    after = toks[ends[i] + 1] if ends[i] + 1 < len(toks) else ("op", ";", 0)
+    return after[0] == "id" or after[1] in ("::", "(", "{", "&", "&&", "*", ">", ">>", ",", ")", ";", "...", "[", "=", "|", "}")
+
+
+def _scan_arguments(toks: list, i: int, groups: dict[int, int], ends: dict[int, int]) -> None:
+    """Finds the ``>`` of the ``<`` at ``i`` and of those in between, as far as tokens can stand in arguments."""
+    open_: list[int] = []
+    k = i
+    while k < len(toks):
         kind, text, _ = toks[k]
         if text == "<":
-            depth += 1
+            open_.append(k)
         elif text in (">", ">>"):
-            depth -= len(text)
-            if depth <= 0:
-                after = toks[k + 1] if k + 1 < len(toks) else ("op", ";", 0)
-                return after[0] == "id" or after[1] in ("::", "(", "{", "&", "&&", "*", ">", ">>", ",", ")", ";", "...", "[", "=", "|", "}")
-        elif text in ("(", "[") and k > i:
-            d = 0
-            while k < limit:
-                d += (toks[k][1] in ("(", "[")) - (toks[k][1] in (")", "]"))
-                if not d:
-                    break
-                k += 1
+            for _ in text:
+                if open_:
+                    ends[open_.pop()] = k
+            if not open_:
+                return
+        elif text in ("(", "["):
+            if k not in groups:
+                break
+            k = groups[k]
         elif not (kind in ("id", "num", "chr", "str") or text in ("::", ",", "*", "&", "...", "-", "+", "=") or text == "&&" and k + 1 < len(toks) and toks[k + 1][1] in (",", ">", ">>", "...")):
-            return False
+            break
         if kind == "id" and text in ("return", "if", "for", "while"):
-            return False
-        k += 1
-    return False
-
-
-def _brace_init(labels: list[str]) -> bool:
-    """Whether a ``{`` after ``labels`` begins an initialiser: it follows a name that no class head names."""
-    if not labels or labels[-1] not in ("ID", "TGT"):
-        return False
-    for label in reversed(labels[-60:]):
-        if label in ("class", "struct", "union", "enum", "namespace"):
-            return False
-        if label in (";", "{", "}", "(", "ASSIGN", "return", ")", "BRACED"):
             break
-    return True
+        k += 1
+    ends.update(dict.fromkeys(open_, -1))
 
 
 def _trailing_type(toks: list, k: int) -> int:

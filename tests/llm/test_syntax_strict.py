@@ -57,3 +57,13 @@ def test_cpp_brackets(text, want):
 def test_proto3_has_no_required():
     assert bad('syntax = "proto3"; message M { required string x = 1; }', "proto")
     assert not bad('syntax = "proto3"; message M { string required = 1; optional int32 y = 2; }', "proto")
+
+
+def test_long_heads_and_template_arguments():
+    bases = ", ".join(f"public ns::B{k}<T>" for k in range(60))
+    assert not bad(f"template <class T> class A : {bases} {{ int x; }};", "cpp")
+    assert bad(f"template <class T> class A : {bases} {{ int x; ", "cpp")
+    types = ", ".join(f"ns::T{k}<int, U{k}>" for k in range(200))
+    assert not bad(f"std::variant<{types}> v{{1}}; void f() {{ g<{types}>(v); std::map<K, std::tuple<{types}>> m; }}", "cpp")
+    assert not bad("template <class T> Box<T> box{1, 2};", "cpp")
+    assert not bad("void f() { " + "x = a < b, " * 30_000 + "c; }", "cpp")
