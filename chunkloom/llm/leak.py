@@ -245,50 +245,58 @@ def _word_moves(a: list[str], i: int, b: list[str], j: int) -> tuple[int, int] |
     return None
 
 
+def _keep(cells: dict[int, list[tuple]], at: int, path: tuple[int, int, int, int]) -> None:
+    """Adds a path to a cell unless one there is as good in all respects; drops those that it beats so."""
+    others = cells.get(at)
+    if others is None:
+        cells[at] = [path]
+        return
+    start, errors, credit, debt = path
+    for o in others:
+        if o[0] <= start and o[1] <= errors and o[2] >= credit and o[3] <= debt:
+            return
+    cells[at] = [o for o in others if not (start <= o[0] and errors <= o[1] and credit >= o[2] and debt <= o[3])]
+    cells[at].append(path)
+
+
 def align(a: list[str], a_at: np.ndarray, b: list[str], b_at: np.ndarray, lo: int, hi: int) -> bool:
-    """Whether a local alignment of item words ``a`` and document words ``b`` in the band has a case.
+    """Whether some alignment of item words ``a`` and document words ``b`` in the band is a case.
+
+    Cells lie in the band if the diagonal of their character offsets is between ``lo`` and ``hi``.  A case is a
+    path of at least ``MIN_WORDS`` item words from a word that stands to one that stands, with at most one
+    error in ``WORDS_PER_ERROR``.  Words added in the document are no errors, but there must be at most two
+    for each word that stands, counted from the start up to any place and from any place to the end.
 
-    Cells lie in the band if the diagonal of their character offsets is between ``lo`` and ``hi``.
+    A cell keeps ``(start, errors, credit, debt)`` of the paths to it that no other beats: credit is what
+    words added may still cost, debt what the rest must make good for them.
     """
     slack = BAND
     first = np.searchsorted(b_at, a_at[:-1] + lo - slack)
     last = np.searchsorted(b_at, a_at[:-1] + hi + slack, side="right")
     n, m = len(a), len(b)
-    rows: list[dict[int, tuple[int, tuple | None]]] = [{} for _ in range(n + 1)]
-    best, best_at = 0, None
+    rows: list[dict[int, list[tuple[int, int, int, int]]]] = [{} for _ in range(n + 1)]
     for i in range(n):
         row, below, x = rows[i], rows[i + 1], a[i]
         lead = x[0]
         for j in range(int(first[i]), min(int(last[i]), m)):
-            here = row[j][0] if j in row else 0
+            paths = row.get(j, ())
             if b[j][0] == lead and (move := _word_moves(a, i, b, j)):
-                value, target, to = here + 2 * move[0], rows[i + move[0]], j + move[1]
-                if to not in target or target[to][0] < value:
-                    target[to] = (value, (i, j, True))
-                    if value > best:
-                        best, best_at = value, (i + move[0], to)
-            if here > 2:
-                back = (i, j, False)
-                for line, to, value in ((below, j + 1, here - 2), (below, j, here - 2), (row, j + 1, here - 1)):
-                    if to not in line or line[to][0] < value:
-                        line[to] = (value, back)
-    kept: list[int] = []  # 0 for a word that stands, 1 for an error, in item order
-    cell = best_at
-    while cell:
-        if cell[1] not in rows[cell[0]]:
-            break
-        i, j, good = rows[cell[0]][cell[1]][1]
-        step = cell[0] - i
-        if good:
-            kept += [0] * step
-        elif step:
-            kept.append(1)
-        cell = (i, j)
-    if len(kept) < MIN_WORDS:
-        return False
-    s = np.arange(len(kept) + 1) - WORDS_PER_ERROR * np.concatenate([[0], np.cumsum(kept)])
-    low = np.minimum.accumulate(s)
-    return bool((s[MIN_WORDS:] - low[: len(s) - MIN_WORDS] >= 0).any())
+                target, to = rows[i + move[0]], j + move[1]
+                for start, errors, credit, debt in (*paths, (i, 0, 0, 0)) if n - i >= MIN_WORDS else paths:
+                    size = i + move[0] - start
+                    debt = max(0, debt - 2 * move[0])
+                    if not debt and size >= MIN_WORDS and size >= WORDS_PER_ERROR * errors:
+                        return True
+                    _keep(target, to, (start, errors, credit + 2 * move[0], debt))
+            for start, errors, credit, debt in paths:
+                # a path that needs MIN_WORDS more words to make up for its errors is better begun anew
+                if WORDS_PER_ERROR * (errors + 1) <= n - start and WORDS_PER_ERROR * (errors + 1) - (i + 1 - start) < MIN_WORDS:
+                    worse = (start, errors + 1, credit, debt)
+                    _keep(below, j + 1, worse)
+                    _keep(below, j, worse)
+                if credit and debt < 2 * (n - i):
+                    _keep(row, j + 1, (start, errors, credit - 1, debt + 1))
+    return False
 
 
 #: Letters of a word that may have lost its blanks; such words are cut at the item's words.

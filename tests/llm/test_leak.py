@@ -70,3 +70,53 @@ def test_frames(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(doc(ITEM))), (1, " ".join(doc(ITEM))), (2, None), (3, ""), (None, " ".join(ITEM)), (4, "x" * 100_000)], "doc_id long, text string")
     assert sorted(map(tuple, K.find_leaks(docs, items).collect())) == [(1, 8), (1, 9)]
     assert K.find_leaks(docs, items.limit(0)).count() == 0 and K.find_leaks(docs.limit(0), items).count() == 0
+
+
+def by_definition(item, words):
+    """Every start and every run of changed, left out and (up to eight) added words, nothing pruned: the reference for ``align``."""
+    for i0 in range(len(item)):
+        for j0 in range(len(words)):
+            if item[i0] != words[j0]:
+                continue
+            todo, seen = [(i0, j0, 0, 0, 0)], set()
+            while todo:
+                i, j, errors, credit, debt = todo.pop()
+                if (i, j, errors, credit, debt) in seen or errors > (len(item) - i0) // 8:
+                    continue
+                seen.add((i, j, errors, credit, debt))
+                if i < len(item) and j < len(words) and item[i] == words[j]:
+                    rest = max(0, debt - 2)
+                    if not rest and i + 1 - i0 >= 18 and errors <= (i + 1 - i0) // 8:
+                        return True
+                    todo.append((i + 1, j + 1, errors, credit + 2, rest))
+                if i > i0 and i < len(item):
+                    todo += [(i + 1, j, errors + 1, credit, debt)] + ([(i + 1, j + 1, errors + 1, credit, debt)] if j < len(words) else [])
+                if credit and j < len(words) and debt < 8:
+                    todo.append((i, j + 1, errors, credit - 1, debt + 1))
+    return False
+
+
+@pytest.mark.parametrize("wrong", [[17], [2], [15, 17], [2, 4], [2, 3], [16, 17], [2, 17]])
+def test_errors_beside_the_ends(wrong):
+    passage = ITEM[20:38]
+    assert hit(doc(["zzqq" if k + 1 in wrong else w for k, w in enumerate(passage)]))
+    for k in reversed(wrong):
+        del passage[k - 1]
+    assert hit(doc(passage))
+
+
+def test_align_against_the_definition():
+    rng = random.Random(11)
+    item = ITEM[:24]
+    seen = {True: 0, False: 0}
+    for _ in range(300):
+        words = []
+        for w in item[rng.randint(0, 4) : 24 - rng.randint(0, 3)]:
+            r = rng.random()
+            words += ["zzqq"] if r < 0.07 else [] if r < 0.12 else [w, "vvkk"] if r < 0.17 else [w]
+        words = FILL[:2] + words + FILL[2:4]
+        at = lambda x: K.np.concatenate([[0], K.np.cumsum([len(w) for w in x])])
+        want = by_definition(item, words)
+        seen[want] += 1
+        assert K.align(item, at(item), words, at(words), -10_000, 10_000) is want, words
+    assert min(seen.values()) > 60
