@@ -1,10 +1,13 @@
 """Source files that nobody wrote by hand in their repository.
 
 * Vendored copies: an inverted index of line hashes; each line weighs its rarity, -log2 of the share of
-  files that have it, so common lines prove little.  Every line names the two first files (of different
-  repositories) that have it, files vote for them with their lines' weights, and for the few that win a
-  quarter of a file's weight the exact weighted containment is computed.  Copies of a group thus meet at its
-  first members: no pairs within a group are formed, and no line is left out however common it is.
+  files that have it, so common lines prove little.  Files with equal line sets are one class, settled at
+  once if it spans two repositories.  Then every line names the two first files (of different repositories)
+  that have it, files vote for them with their lines' weights, and for the few that win a quarter of a file's
+  weight the exact weighted containment is computed: copies of a group meet at its first members without
+  pairs within the group.  Files that this does not settle go the exact way: a source that holds
+  ``CONTAINED`` of a file's weight holds one of any lines that weigh more than the rest, so all owners of the
+  file's rarest lines of that weight are compared.  Two owners of a class stand for all of it.
 * Generated, minified and data files: rules on banners in the head comment and on token composition.
 """
 
@@ -188,8 +191,46 @@ def vendored(inspected_files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["path", "source", "contained"])
 
     pairs = salted_join(likely, theirs, "source", "path").select("path", "source", "mine", "total", "theirs")
-    found = pairs.where(F.size("mine") >= LEAST_LINES).mapInArrow(contained, "path string, source string, contained double")
-    return found.where(F.col("contained") >= CONTAINED)
+    result = "path string, source string, contained double"
+    voted = cut_lineage(pairs.where(F.size("mine") >= LEAST_LINES).mapInArrow(contained, result).where(F.col("contained") >= CONTAINED))
+
+    member = F.struct("directory", "path")
+    kind = [F.xxhash64("lines").alias("kind"), F.xxhash64(F.lit(1), "lines").alias("kind2")]
+    members = files.select("path", "directory", F.size("lines").alias("n"), *kind)
+    kinds = cut_lineage(members.groupBy("kind", "kind2").agg(F.min("n").alias("n"), F.min(member).alias("one"), F.max(member).alias("two")))
+    spread_out = kinds.where((F.col("one.directory") != F.col("two.directory")) & (F.col("n") >= LEAST_LINES))
+    other = F.when(F.col("directory") == F.col("one.directory"), F.col("two.path")).otherwise(F.col("one.path"))
+    equal = members.drop("n").join(spread_out, ["kind", "kind2"]).select("path", other.alias("source"), F.lit(1.0).alias("contained"))
+
+    single = kinds.where((F.col("one.directory") == F.col("two.directory")) & (F.col("n") >= LEAST_LINES))
+    open_ = single.select(F.col("one.path").alias("path"), F.col("one.directory").alias("directory")).join(voted.select("path").distinct(), "path", "left_anti")
+    lines_of = weighed.groupBy("path").agg(F.sum("w").alias("total"), F.collect_list(F.struct("line", "w", F.col("b").isNotNull().alias("shared"))).alias("mine"))
+    unsettled = cut_lineage(open_.join(lines_of, "path"))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, homes, out = [], [], []
+            for path, home, total, mine in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                rest = (1 - CONTAINED) * total * (1 + 1e-9)
+                for x in sorted(mine, key=lambda x: (-x["w"], x["line"])):
+                    if rest < 0:
+                        break
+                    rest -= x["w"]
+                    if x["shared"]:
+                        paths.append(path)
+                        homes.append(home)
+                        out.append(x["line"])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(homes, pa.string()), pa.array(out, pa.int64())], names=["path", "directory", "line"])
+
+    wanted = unsettled.select("path", "directory", "total", "mine").mapInArrow(rarest, "path string, directory string, line bigint")
+    reps = kinds.select(F.explode(F.array_distinct(F.array("one.path", "two.path"))).alias("path"))
+    owners = files.join(reps, "path", "left_semi").select(F.col("path").alias("source"), F.col("directory").alias("home"), F.explode("lines").alias("line"))
+    candidates = wanted.join(owners, "line").where(F.col("directory") != F.col("home")).select("path", "source").distinct()
+    slow = salted_join(candidates.join(unsettled.drop("directory"), "path"), theirs, "source", "path").select("path", "source", "mine", "total", "theirs")
+    exact = slow.mapInArrow(contained, result).where(F.col("contained") >= CONTAINED)
+    members_of = members.join(single.select("kind", "kind2", F.col("one.path").alias("rep")), ["kind", "kind2"])
+    exact = exact.withColumnRenamed("path", "rep").join(members_of, "rep").select("path", "source", "contained")
+    return voted.unionByName(equal).unionByName(exact).groupBy("path").agg(F.max_by("source", "contained").alias("source"), F.max("contained").alias("contained"))
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:

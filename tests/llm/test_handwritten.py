@@ -1,6 +1,6 @@
 import random
 
-from chunkloom.llm.handwritten import composition, not_handwritten
+from chunkloom.llm.handwritten import composition, inspected, not_handwritten, vendored
 
 
 def functions(seed, n=6, name="own"):
@@ -32,3 +32,15 @@ def test_vendored_copies(spark):
     got = {r.file_path: r.reason for r in not_handwritten(df).collect()}
     assert got == {f"/r{k}/lib/x.py": "vendored" for k in range(6)}
     assert not_handwritten(df.limit(0)).count() == 0
+
+
+def test_amalgamations_whose_lines_have_earlier_owners(spark):
+    """Ten split headers in two repositories first in path order; the joined file in others, each with its own head."""
+    parts = [functions(500 + k, 4, f"part{k}") for k in range(10)]
+    rows = [(f"/a{r}/h{k}.py", parts[k], f"a{r}") for r in range(2) for k in range(10)]
+    rows += [(f"/z{r}/all.py", "".join(parts) + functions(900 + r, 2, f"edit{r}"), f"z{r}") for r in range(3)]
+    rows += [(f"/y{r}/same.py", "".join(parts[:7]) + functions(950, 1, "same"), f"y{r}") for r in range(2)]
+    rows += [(f"/z{r}/own{j}.py", functions(3000 + 100 * r + j), f"z{r}") for r in range(3) for j in range(5)]
+    df = spark.createDataFrame([(p, bytearray(t.encode()), d) for p, t, d in rows], "path string, content binary, directory string")
+    got = {r.path for r in vendored(inspected(df)).collect()}
+    assert got == {p for p, _, _ in rows if "/own" not in p}
