@@ -40,19 +40,28 @@ LEAST_LINES = 6
 #: mean number of lines of a file of them, whatever the size of the corpus.
 HOT_SHARE = 256
 
-# Banners of tools, and words that turn them into talk about tools.
+# Banners of tools, and phrases that turn a banner they govern into talk about tools.
 BANNER = re.compile(
     r"@generated\b|auto-?\s?generated|code generated|machine[- ]generated|automatically generated|generated (?:automatically|by|from|with|file|code)|this file (?:is|was) generated|do not (?:edit|modify)|"
     r"auto(?:matically)? created from|output of [\w.-]+(?:compiler|generator|gen|tool)\b|produced by .* from |(?:manual )?changes? (?:is|are|will be) (?:overwritten|lost)|nicht von hand|"
     r"produit automatiquement|généré automatiquement|ne pas (?:éditer|modifier)|automatisch (?:erzeugt|generiert)|nicht (?:bearbeiten|ändern)|generado (?:automáticamente|por)|no (?:editar|modificar)|自动生成|自動生成|сгенерирован",
     re.I,
 )
+_BANNER_NOUN = r"(?:do not (?:edit|modify)|@generated|(?:auto-?\s?|machine-|code )?generated)"
 NOT_BANNER = re.compile(
-    r"\bnot (?:auto-?\s?)?generated|\bonce\b|by hand|hand-?written|maintained|edit freely|\bcarry\b|\bbanner|\binspired|\bdraft|rewritten|\bwrites\b|\blooks? for|\bdetects?\b|\bskips?\b|\bchecks?\b|\bif\b|\bwhen\b|\bno longer\b|\bformerly\b|\bused to\b|non généré|nicht generiert",
+    # not so, or not so any more
+    r"(?:\b(?:not|never|non|nicht)|n't) (?:been |be )?(?:auto-?\s?|machine-|automatically )?(?:generated|généré|generiert|erzeugt)\b(?:[^.;]|\.\w)*|"
+    r"\b(?:no longer|formerly|used to be|inspired by|draft)\b(?:[^.;]|\.\w)*|\bonce (?:auto-?\s?)?generated\b(?:[^.;]|\.\w)*|generated\b(?:[^.;]|\.\w)*?(?:\bonce\b|,? (?:but|then|since|now)\b(?:[^.;]|\.\w)*(?:by hand|maintained|written|edited|edit freely))(?:[^.;]|\.\w)*|"
+    # a condition of the edit, or of what is told
+    r"do not (?:edit|modify)(?: [\w']+){0,4} (?:if|when|unless|without|while)\b(?:[^.;]|\.\w)*|\b(?:if|when|whether)\b(?:[^.;,]|\.\w)*|"
+    # the banner as a thing
+    rf"\b(?:carry|carries|writes?|looks? for|detects?|skips?|checks? (?:for|that|whether)|hand-?written|rewritten)\b(?:[^.;]|\.\w)*?{_BANNER_NOUN}(?:[^.;]|\.\w)*|{_BANNER_NOUN}[\"'`]* (?:banners?|markers?|notices?)\b",
     re.I,
 )
 THIRD_PARTY = re.compile(r"\bpart of the [\w.+-]+ library\b|\bredistribution in source\b|copyright (?:\(c\)|©) [\d, -]+ the [\w.+-]+ (?:authors|contributors|project)", re.I)
 _COMMENT_LINE = re.compile(r"^\s*(?:#(?!\s*(?:include|pragma|define|if|ifdef|ifndef|endif|else|elif|undef|error|line)\b)|//|/\*|\*)")
+_DOCSTRING = re.compile(r"\s*[rRuU]?(\"\"\"|''')")
+_MARKS = " \t#/*!"
 _TOKEN = re.compile(r"(?P<str>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|(?P<num>\b\d[\w.]*)|(?P<id>[^\W\d]\w*)")
 _BLOCK_COMMENT = re.compile(r"/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''", re.S)
 _PLUMBING = re.compile(r"^\s*(?:import|from|#\s*(?:include|pragma|define|if|ifdef|ifndef|endif)|package|syntax|using|option|namespace)\b.*$", re.M)
@@ -76,17 +85,38 @@ def decode(content: bytes | None) -> str:
 
 
 def head_comment(text: str) -> list[str]:
-    """Comment lines before the first definition; imports and the like may stand between them."""
+    """Lines of the comments and of the module docstring before the first definition, without their marks.
+
+    Imports and the like may stand between them; a block comment or docstring is read up to its end.
+    """
     out = []
+    end = None  # what closes the open block
     for line in text.split("\n"):
-        if not line.strip() or _PLUMBING.match(line):
-            continue
-        if not _COMMENT_LINE.match(line):
-            break
-        out.append(line.strip())
+        if end is None:
+            if not line.strip() or _PLUMBING.match(line):
+                continue
+            if m := _DOCSTRING.match(line):
+                end, line = m[1], line[m.end() :]
+            elif not _COMMENT_LINE.match(line):
+                break
+            elif line.lstrip().startswith("/*"):
+                end, line = "*/", line.lstrip()[2:]
+        if end is not None and end in line:
+            line, rest = line.split(end, 1)
+            end = None
+            if rest.strip() and not _COMMENT_LINE.match(rest):
+                out.append(line.strip(_MARKS))
+                break
+        out.append(line.strip(_MARKS))
     return out
 
 
+def is_banner(head: list[str]) -> bool:
+    """Whether a head comment says that a tool wrote the file; a line that begins in lower case goes on with the last."""
+    told = "".join((" " if x[:1].islower() else ". ") + x for x in head)
+    return bool(BANNER.search(NOT_BANNER.sub(" ", told)))
+
+
 def is_foreign(text: str) -> bool:
     """A page or another document under the extension of a source file."""
     return bool(re.match(r"\s*(?:<!doctype|<html|<\?xml|<head|<body|\{\s*\"|%PDF|---\n)", text, re.I))
@@ -97,7 +127,7 @@ def composition(text: str) -> str | None:
     if is_foreign(text):
         return None
     head = head_comment(text)
-    if any(BANNER.search(x) and not NOT_BANNER.search(x) for x in head):
+    if is_banner(head):
         return "generated"
     if any(THIRD_PARTY.search(x) for x in head):
         return "vendored"

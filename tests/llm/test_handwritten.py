@@ -44,3 +44,11 @@ def test_amalgamations_whose_lines_have_earlier_owners(spark):
     df = spark.createDataFrame([(p, bytearray(t.encode()), d) for p, t, d in rows], "path string, content binary, directory string")
     got = {r.path for r in vendored(inspected(df)).collect()}
     assert got == {p for p, _, _ in rows if "/own" not in p}
+
+
+def test_banners_in_blocks_and_with_harmless_words():
+    own = functions(1)
+    for banner in ("// DO NOT EDIT BY HAND", "# Generated by protoc; changes are lost when regenerated", "# Do not modify; changes will be overwritten if the file is regenerated", "/*\n Generated by X. Do not edit.\n*/", '"""Tables.\n\nGenerated by mk.py from x.csv.\n"""', "/* This file is\n   generated by a tool that checks names */", "# Code generated by once-gen. DO NOT EDIT."):
+        assert composition(banner + "\n" + own) == "generated", banner
+    for talk in ("# Looks for files that are marked @generated.", "# This file is not generated by protoc.", "# No longer generated from a.idl, maintained by hand.", "/*\n Checks whether a file is auto-generated.\n*/", '"""Writes files that carry the DO NOT EDIT banner."""', "# Do not edit this table unless you know the format.", "# Generated by x.py in 2019, since then maintained by hand.", "/* Own work. */ int x; /*\n Generated by X.\n*/", "def f():\n    'Generated by X. DO NOT EDIT.'"):
+        assert composition(talk + "\n" + own) is None, talk
