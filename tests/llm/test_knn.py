@@ -72,3 +72,31 @@ def test_greedy_search_recall(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     want = {i: set(ids[np.argsort(-(unit @ unit[n]))[:8]]) for n, i in enumerate(ids) if i in got}
     assert len(got) == 8 and np.mean([len(got[i] & want[i]) / 8 for i in got]) > 0.9
+
+
+def test_recall_where_neighbours_are_scattered(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((30, 24))
+    x = (centres[rng.integers(0, 30, 2500)] + 1.2 * rng.standard_normal((2500, 24))).astype("f4")
+    ids = np.array([f"c{i:05d}" for i in range(2500)])
+    got: dict = {}
+    for r in knn.neighbours(knn.build_graph(frame(spark, ids, x), "id", "v", 24, 10), 10).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    want = exact(ids, x, 10)
+    assert np.mean([len(got[i] & set(want[i])) / 10 for i in ids]) > 0.98
+
+
+def test_near_copies_rank_by_their_own_numbers(spark):
+    """Similarities that differ by less than 16-bit vectors can show."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(96)
+    base /= np.linalg.norm(base)
+    away = rng.standard_normal(96)
+    away -= base * (away @ base)
+    away /= np.linalg.norm(away)
+    steps = [0.0, *(0.002 + 0.0002 * k for k in range(40))]
+    x = np.array([base + t * away for t in steps])
+    ids = [f"m{(17 * k) % 41:02d}" for k in range(41)]
+    got = [r.neighbour for r in knn.neighbours(knn.build_graph(frame(spark, ids, x), "id", "v", 96, 5), 5).where(f"id = '{ids[0]}'").orderBy("rank").collect()]
+    assert got == ids[1:6]
