@@ -248,7 +248,18 @@ def para_pack(spark, d):
 )
 def md_sections(spark, d):
     """C20/C21/W5 in SQL functions: sections of guides with the level of the next heading."""
-    g = table(spark, d, "documents").where("doc_type = 'guide' AND text IS NOT NULL AND NOT contains(text, '\\r')")
+    return markdown_sections(table(spark, d, "documents").where("doc_type = 'guide' AND NOT contains(text, '\\r')"))
+
+
+@query("md_sections_all")
+def md_sections_all(spark, d):
+    """C20/C21/W5 over all documents, whatever their type and line ends."""
+    return markdown_sections(table(spark, d, "documents"))
+
+
+def markdown_sections(docs):
+    """Sections of ``doc_id, title, text``; line ends are read as the chunker reads them."""
+    g = docs.where("text IS NOT NULL").withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
     head = r"(?md)^(#{1,3}) (.+)$"
     s = g.select("doc_id", "title", F.split("text", r"(?md)^#{1,3} .+$").alias("bodies"), F.regexp_extract_all("text", F.lit(head), 1).alias("marks"), F.regexp_extract_all("text", F.lit(head), 2).alias("heads"))
     r = s.select("*", F.posexplode("bodies").alias("i", "body")).select(

@@ -103,3 +103,15 @@ def test_history_window(spark):
     t = spark.createDataFrame([(1, i, f"q{i}", f"a{i}") for i in range(8)], "c int, t int, q string, a string")
     last = context.history_window(t, "c", "t", "q", "a").orderBy("t").collect()[-1].history
     assert last.count("Q: ") == 5 and last.startswith("Q: q2\nR: a2\n\n")
+
+
+def test_markdown_sections_of_any_type_and_line_end(spark, sf, tmp_path):
+    from chunkloom.plans.core_queries import QUERIES
+
+    text = "# One\n" + "a" * 120 + "\n\n## Two\n" + "b" * 130 + "\n"
+    rows = [(k, kind, "T", text.replace("\n", end)) for k, (kind, end) in enumerate([("guide", "\n"), ("guide", "\r\n"), ("note", "\r"), (None, "\n")])]
+    spark.createDataFrame(rows, "doc_id long, doc_type string, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in QUERIES["md_sections_all"](spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.ordinal, r.section, r.n_chars))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(1, "One", 120), (2, "Two", 130)] for k in range(4)}
