@@ -65,7 +65,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, root)
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_at = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of :func:`cut_lineage` that nothing reads any more, and shuffle files of finished steps.
+
+    Spark drops the files of a shuffle once the driver has forgotten it, so the driver collects its garbage.
+    """
+    for df in tables:
+        _remove(df.sparkSession, df._written_at)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
