@@ -1,14 +1,19 @@
 """Most similar vectors for every vector, by NN-descent over blocks, and greedy graph search for queries.
 
-Equal vectors are one class; the graph is built over classes.  Two random-projection trees, fitted on a
-bounded sample, put every vector into one block each; brute force inside the blocks gives the first
-neighbour lists.  NN-descent rounds then join neighbours with their neighbours: a block asks once for each
-neighbour of a neighbour of its members (and for their reverse neighbours), so a vector travels once to
-every block that needs it instead of once for every pair.  Rounds end when the lists of a few probe vectors
-agree with brute force.
+Equal vectors are one class; the graph is built over classes.  Two trees of two-means splits, fitted on a
+bounded sample, put every vector into one block each.  Brute force inside the blocks of the first tree and
+then of the second gives the first neighbour lists.  NN-descent rounds join neighbours with their
+neighbours: a block asks once for each neighbour of a neighbour of its members (and for their reverse
+neighbours), so a vector travels once to every block that needs it instead of once for every pair.  As in
+the method's own form a link is followed once, when it is new.  There is always one round, and rounds go on
+until one changes less than ``CHANGED`` of all links; a probe by brute force then measures the recall.
+
+A class is numbered ``block of the first tree << RANK_BITS | place in it``, so its home block can be read off
+a link.  Vectors travel as 24-bit fixed point numbers, which is the precision of the floats they stand for.
 
 Sizes: a task holds one block (about ``BLOCK`` vectors) and its asked-for vectors, compared in slices; the
-driver holds the sample and the trees only.
+driver holds the sample and the trees only.  Copies of a vector are dropped in every task that reads them, so
+that a block receives at most one copy a task of it, however many rows carry it.
 """
 
 from __future__ import annotations
@@ -17,7 +22,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,93 +29,103 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from chunkloom.session import cut_lineage
+from chunkloom.session import cut_lineage, release
 
-#: Vectors of a block, and the most before it is split further by hash.
-BLOCK = 1024
-MOST = 4 * BLOCK
+#: Vectors of a block.
+BLOCK = 2048
 #: Vectors of the sample that the trees are fitted on; the index holds all rows.
-SAMPLE = 16_384
-#: Directions tried for a split, and how far from the ends of the projections it may cut.
-TRIES = 12
-MIDDLE = 0.1
+SAMPLE = 65_536
+#: Points of the sample that a leaf has at least, and points that one split looks at.
+LEAF_SAMPLE = 8
+SPLIT_SAMPLE = 2048
+#: Starts of a two-means split, and its iterations.
+TRIES = 3
+ITERATIONS = 4
 #: Neighbours kept in the graph beyond the k asked for.
 SPARE = 2
-#: A round follows all links of each vector, from there all again, and back the best ``REVERSE``.
+#: Best links to a vector of which its block asks for the other end, beside all links from it.
 REVERSE = 10
-#: Most rounds of NN-descent, and the recall that ends them, measured by brute force on ``PROBES`` vectors.
-ROUNDS = 4
-RECALL = 0.98
+#: Share of the links that a round changes below which the graph is done.
+CHANGED = 0.01
+#: Recall that a graph must have by brute force on ``PROBES`` vectors; a graph under it raises.
+LEAST_RECALL = 0.9
 PROBES = 256
 #: A class with more than one of so many members is joined by broadcast: there are at most so many of them.
 HOT_SHARE = 256
-#: Columns of one slice of a block's comparisons.
+#: Rows and columns of one slice of a block's comparisons.
 SLICE = 4096
+#: Low bits of a class number, its place in its block; and bits of a block number below that of its leaf.
+RANK_BITS = 20
+PLANE_BITS = 24
 
 
 class Tree(NamedTuple):
-    """Split planes: node ``i`` sends vectors to ``children[i, 0]`` or ``children[i, 1]``, a leaf has -1 there."""
+    """Split planes: node ``i`` sends vectors to ``children[i, 0]`` or ``children[i, 1]``, a leaf has -1 there.
+
+    A leaf that stands for more than a block is cut by the first ``bits[i]`` of the random planes ``extra``
+    through the middle of its points, ``middle[i]`` on each plane.
+    """
 
     planes: np.ndarray
     offsets: np.ndarray
     children: np.ndarray
-    extra: np.ndarray  # data-independent planes, where leaves of the fitted part are still too large
-
-
-#: Points of the sample that a leaf has at least.
-LEAF_SAMPLE = 8
-
-
-def _cut(proj: np.ndarray) -> tuple[float, float]:
-    """``(gain, offset)`` of the thinnest place in the middle of some projections: cuts there part few neighbours."""
-    s = np.sort(proj)
-    n = len(s)
-    step = max(1, n // 64)
-    lo, hi = int(n * MIDDLE), max(int(n * MIDDLE) + 1, int(n * (1 - MIDDLE)) - step)
-    at = np.arange(lo, min(hi, n - step)) if n > step else np.zeros(1, "i8")
-    if not len(at):
-        return 0.0, float(np.median(s))
-    width = s[at + step] - s[at]
-    k = int(width.argmax())
-    inner = s[at[k] : at[k] + step + 1]
-    gap = int(np.diff(inner).argmax()) if len(inner) > 1 else 0
-    return float(width[k] / (s.std() + 1e-9)), float((inner[gap] + inner[min(gap + 1, len(inner) - 1)]) / 2)
+    extra: np.ndarray
+    bits: np.ndarray
+    middle: np.ndarray
+
+
+def _two_means(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float] | None:
+    """``(direction, offset)`` between the means of two groups of points, the best of ``TRIES`` starts."""
+    best, found = 0.0, None
+    for _ in range(TRIES):
+        a, b = x[rng.choice(len(x), 2, replace=False)]
+        for _ in range(ITERATIONS):
+            right = x @ (b - a) > (b @ b - a @ a) / 2
+            if right.all() or not right.any():
+                break
+            a, b = x[~right].mean(0), x[right].mean(0)
+        d, offset = b - a, float(b @ b - a @ a) / 2
+        share = float((x @ d > offset).mean())
+        gain = share * (1 - share) * float(d @ d)
+        if gain > best:
+            best, found = gain, (d, offset)
+    return found
 
 
 def fit_tree(sample: np.ndarray, n: int, seed: int) -> Tree:
-    """A tree over ``n`` vectors from a sample: nodes are split while they stand for more than ``BLOCK``.
-
-    Of ``TRIES`` directions, differences of two sample points, the one with the thinnest place between its
-    quantiles ``MIDDLE`` and ``1 - MIDDLE`` is taken and cut there.
-    """
+    """A tree over ``n`` vectors from a sample: nodes are split while they stand for more than ``BLOCK``."""
     rng = np.random.default_rng(seed)
     most = max(LEAF_SAMPLE, int(BLOCK * len(sample) / max(1, n)))
-    planes, offsets, children = [], [], []
+    dim = sample.shape[1]
+    planes, offsets, children, bits, centres = [], [], [], [], []
     todo = [(np.arange(len(sample)), -1, 0)]
     while todo:
         mine, parent, side = todo.pop()
         me = len(children)
         children.append([-1, -1])
-        planes.append(np.zeros(sample.shape[1], "f4"))
+        planes.append(np.zeros(dim, "f4"))
         offsets.append(0.0)
+        stands_for = len(mine) * n / max(1, len(sample))
+        bits.append(int(np.clip(np.ceil(np.log2(max(1.0, stands_for / BLOCK))), 0, PLANE_BITS)))
+        centres.append(sample[mine].mean(0) if len(mine) else np.zeros(dim, "f4"))
         if parent >= 0:
             children[parent][side] = me
-        best = -1.0
-        for _ in range(TRIES if len(mine) > most else 0):
-            one, two = rng.choice(mine, 2, replace=False)
-            d = sample[one] - sample[two]
-            gain, cut = _cut(sample[mine] @ d)
-            if d.any() and gain > best:
-                best, planes[me], offsets[me] = gain, d, cut
-        if best >= 0:
+        if len(mine) <= most:
+            continue
+        few = mine if len(mine) <= SPLIT_SAMPLE else rng.choice(mine, SPLIT_SAMPLE, replace=False)
+        if (cut := _two_means(sample[few], rng)) is not None:
+            planes[me], offsets[me] = cut
             right = sample[mine] @ planes[me] > offsets[me]
             if right.any() and not right.all():
                 todo += [(mine[right], me, 1), (mine[~right], me, 0)]
-    bits = max(0, int(np.ceil(np.log2(max(1.0, most / max(1, len(sample)) * n / BLOCK)))))
-    return Tree(np.array(planes, "f4"), np.array(offsets, "f4"), np.array(children), rng.standard_normal((bits, sample.shape[1])).astype("f4"))
+    children = np.array(children)
+    bits = np.where(children[:, 0] < 0, bits, 0)
+    extra = rng.standard_normal((int(bits.max()), dim)).astype("f4")
+    return Tree(np.array(planes, "f4"), np.array(offsets, "f4"), children, extra, bits, np.array(centres, "f4") @ extra.T)
 
 
 def leaves(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """The block of each vector: number of its leaf ``<< PLANE_BITS``, and sides of the leaf's own planes."""
     node = np.zeros(len(x), "i8")
     open_ = np.arange(len(x)) if tree.children[0, 0] >= 0 else np.zeros(0, "i8")
     while len(open_):
@@ -119,19 +133,30 @@ def leaves(tree: Tree, x: np.ndarray) -> np.ndarray:
         side = (x[open_] * tree.planes[at]).sum(1) > tree.offsets[at]
         node[open_] = tree.children[at, side.astype("i8")]
         open_ = open_[tree.children[node[open_], 0] >= 0]
-    for w in tree.extra:
-        node = 2 * node + (x @ w > 0)
-    return node
+    low = np.zeros(len(x), "i8")
+    for k, w in enumerate(tree.extra):
+        low |= ((x @ w > tree.middle[node, k]) & (k < tree.bits[node])).astype("i8") << k
+    return (node << PLANE_BITS) | low
+
 
+def pack(x: np.ndarray) -> pa.Array:
+    """Unit vectors as 24-bit fixed point numbers, high bytes first."""
+    q = np.clip(np.rint(x.astype("f8") * (1 << 23)), 1 - (1 << 23), (1 << 23) - 1).astype("i4")
+    planes = np.stack([(q >> 16).astype("u1"), (q >> 8).astype("u1"), q.astype("u1")], axis=1)
+    return pa.array([v.tobytes() for v in planes], pa.binary())
 
-def matrix(column) -> np.ndarray:
-    """Stacked vectors of a column of bytes."""
+
+def unpack(column) -> np.ndarray:
     values = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
-    return np.frombuffer(b"".join(values), "f4").reshape(len(values), -1) if values else np.zeros((0, 1), "f4")
+    if not values:
+        return np.zeros((0, 1), "f4")
+    planes = np.frombuffer(b"".join(values), "u1").reshape(len(values), 3, -1)
+    q = (planes[:, 0].view("i1").astype("i4") << 16) | (planes[:, 1].astype("i4") << 8) | planes[:, 2]
+    return q.astype("f4") / np.float32(1 << 23)
 
 
 def usable_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """``id, key, vec``: unit vectors as bytes and a 128-bit key of their content.
+    """``id, key, vec``: packed unit vectors and a 128-bit key of their content.
 
     Rows with a null id or with a vector that is null, of another size, not finite or all zero are left out.
     """
@@ -140,59 +165,83 @@ def usable_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten()
-            x = np.asarray(flat.cast(pa.float64()).fill_null(np.nan)).reshape(-1, dim)
-            norm = np.sqrt((x * x).sum(1))
-            good = np.isfinite(norm) & (norm > 0)
-            unit = (x[good] / norm[good, None]).astype("f4")
-            keys = [xxhash.xxh3_128_digest(v.tobytes()) for v in unit]
-            vec = [v.tobytes() for v in unit]
-            ids = batch.column(0).filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(vec, pa.binary())], names=["id", "key", "vec"])
+            good, unit, keys = _unit(batch.column(1), dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array(keys, pa.binary()), pack(unit)], names=["id", "key", "vec"])
+
+    return _fit_rows(rows, id_col, vec_col, dim).mapInArrow(run, schema)
+
+
+def _fit_rows(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    return rows.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
 
-    fit = rows.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    return fit.mapInArrow(run, schema)
+
+def _unit(lists, dim: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Which vectors are usable, these as unit vectors, and keys of their content."""
+    x = np.asarray(lists.flatten().cast(pa.float64()).fill_null(np.nan)).reshape(-1, dim)
+    norm = np.sqrt((x * x).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    unit = (x[good] / norm[good, None]).astype("f4")
+    return good, unit, [xxhash.xxh3_128_digest(v.tobytes()) for v in unit]
 
 
 def _top(own: np.ndarray, own_ids: np.ndarray, all_: np.ndarray, all_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each own vector its ``k`` most similar others: ids (-1 where fewer) and similarities; ties by id."""
     order = np.argsort(all_ids, kind="stable")
     all_, all_ids = all_[order], all_ids[order]
+    parts = [_top_rows(own[at : at + SLICE], own_ids[at : at + SLICE], all_, all_ids, k) for at in range(0, max(1, len(own)), SLICE)]
+    return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
+
+
+def _top_rows(own: np.ndarray, own_ids: np.ndarray, all_: np.ndarray, all_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     best_s = np.full((len(own), 0), -2.0, "f4")
     best_i = np.full((len(own), 0), -1, "i8")
     for at in range(0, len(all_ids), SLICE):
         s = own @ all_[at : at + SLICE].T
         ids = all_ids[at : at + SLICE]
-        s[own_ids[:, None] == ids[None, :]] = -2.0
+        same = np.searchsorted(ids, own_ids)
+        here = np.flatnonzero((same < len(ids)) & (ids[np.minimum(same, len(ids) - 1)] == own_ids))
+        s[here, same[here]] = -2.0
         if s.shape[1] > k:
             pick = np.argpartition(-s, k - 1, axis=1)[:, :k]
             s, ids = np.take_along_axis(s, pick, 1), ids[pick]
         else:
             ids = np.broadcast_to(ids, s.shape)
         best_s, best_i = np.hstack([best_s, s]), np.hstack([best_i, ids])
-        if best_s.shape[1] > k:
-            pick = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(best_s, pick, 1), np.take_along_axis(best_i, pick, 1)
-    pick = np.lexsort((best_i, -best_s), axis=1)
-    best_s, best_i = np.take_along_axis(best_s, pick, 1), np.take_along_axis(best_i, pick, 1)
-    best_i = np.where(best_s <= -1.5, -1, best_i)
-    return best_i, best_s
+        best_i, best_s = _best(best_i, best_s, k)
+    return np.where(best_s <= -1.5, -1, best_i), best_s
+
 
+def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    pick = np.lexsort((ids, -sims), axis=1)[:, :k]
+    return np.take_along_axis(ids, pick, 1), np.take_along_axis(sims, pick, 1)
 
-_GRAPH = T.StructType([T.StructField("pid", T.LongType()), T.StructField("home", T.LongType()), T.StructField("nbrs", T.ArrayType(T.LongType())), T.StructField("sims", T.ArrayType(T.FloatType())), T.StructField("vec", T.BinaryType())])
 
+def _union(ids: np.ndarray, sims: np.ndarray, more_ids: np.ndarray, more_sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of two lists a row, none twice; -1 where fewer."""
+    ids, sims = np.hstack([ids, more_ids]), np.hstack([sims, more_sims])
+    order = np.lexsort((-sims, ids), axis=1)
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2.0
+    ids, sims = _best(ids, sims, k)
+    return np.where(sims <= -1.5, -1, ids), sims
 
-def _lists(pids: np.ndarray, homes: np.ndarray, ids: np.ndarray, sims: np.ndarray, vec=None) -> pa.Table:
+
+#: ``fresh`` has bit ``i`` set if link ``i`` is new since the last round and leaves the home block or is to be followed.
+_GRAPH = "pid bigint, nbrs array<bigint>, sims array<float>, fresh int, vec binary"
+
+
+def _lists(pids: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray, vec, **more) -> pa.Table:
     keep = ids >= 0
     offsets = pa.array(np.concatenate([[0], np.cumsum(keep.sum(1))]).astype("i4"))
+    mask = ((fresh & keep) << np.arange(ids.shape[1])).sum(1).astype("i4")
     return pa.table(
         {
             "pid": pa.array(pids, pa.int64()),
-            "home": pa.array(homes, pa.int64()),
             "nbrs": pa.ListArray.from_arrays(offsets, pa.array(ids[keep], pa.int64())),
             "sims": pa.ListArray.from_arrays(offsets, pa.array(sims[keep], pa.float32())),
-            "vec": pa.nulls(len(pids), pa.binary()) if vec is None else vec,
+            "fresh": pa.array(mask, pa.int32()),
+            "vec": vec,
+            **more,
         }
     )
 
@@ -209,137 +258,171 @@ def _padded(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Graph(NamedTuple):
-    """``points``: ``pid, vec, home`` of each class; ``edges``: ``pid, home, nbrs, sims``; ``members``: ``id, pid``."""
+    """``edges``: ``pid, nbrs, sims, vec`` of each class; ``members``: ``id, pid``; ``recall`` as probed."""
 
-    points: DataFrame
     edges: DataFrame
     members: DataFrame
     trees: list[Tree]
+    recall: float
+
+
+def home_of(pid):
+    return F.shiftright(pid, RANK_BITS)
 
 
 def build_graph(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int, seed: int = 7) -> Graph | None:
-    """The neighbour graph with ``k + SPARE`` neighbours a class; None if no row has a usable vector."""
+    """The neighbour graph with ``k + SPARE`` neighbours a class (28 at most); None if no row has a usable vector."""
     spark = rows.sparkSession
+    width = k + SPARE
+    if width > 30:
+        raise ValueError("at most 28 neighbours")
     vectors = usable_vectors(rows, id_col, vec_col, dim)
-    classes = cut_lineage(vectors.groupBy("key").agg(F.first("vec").alias("vec")).withColumn("pid", F.monotonically_increasing_id()))
-    n = classes.count()
+    keys = cut_lineage(vectors.groupBy("id").agg(F.min("key").alias("key")))
+    n = int(keys.agg(F.approx_count_distinct("key", 0.02)).first()[0])
     if not n:
         return None
-    members = cut_lineage(vectors.select("id", "key").groupBy("id").agg(F.min("key").alias("key")).join(classes.select("key", "pid"), "key").select("id", "pid"))
-    sample = matrix([r.vec for r in _first_by_hash(classes, SAMPLE, n)])
+    sample = _first_by_hash(vectors, SAMPLE, n)
     trees = [fit_tree(sample, n, seed + t) for t in range(2)]
-    shared = spark.sparkContext.broadcast(trees)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column(1))
-            pid = np.asarray(batch.column(0))
-            salt = (pid * np.int64(2654435761)) >> np.int64(7)
-            cols = [pa.array(leaves(t, x), pa.int64()) for t in shared.value]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.array(salt & 0xFFFF, pa.int64())], names=["pid", "vec", "b0", "b1", "salt"])
-
-    coded = classes.select("pid", "vec").mapInArrow(code, "pid bigint, vec binary, b0 bigint, b1 bigint, salt bigint")
-    # leaves that the sample did not split well are cut by hash: their number is bounded by n / MOST
-    for t in range(2):
-        big = coded.groupBy(f"b{t}").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST).select(f"b{t}", F.ceil(F.col("c") / BLOCK).alias(f"cuts{t}"))
-        coded = coded.join(F.broadcast(big), f"b{t}", "left")
-    block = [(F.col(f"b{t}") * F.lit(1 << 16) + F.coalesce(F.pmod("salt", f"cuts{t}"), F.lit(0))) * 2 + t for t in range(2)]
-    blocks = coded.select("pid", "vec", block[0].alias("home"), F.explode(F.array(*block)).alias("block"))
-    width = k + SPARE
-
-    def inside(table: pa.Table) -> pa.Table:
-        x, ids = matrix(table.column("vec")), np.asarray(table.column("pid"))
-        near, sims = _top(x, ids, x, ids, width)
-        own = np.asarray(table.column("block"))
-        if own[0] % 2 == 0:
-            return _lists(ids, own, near, sims, table.column("vec"))
-        home = np.asarray(table.column("home"))  # neighbours in the same block of the first tree are listed there
-        order = np.argsort(ids)
-        theirs = home[order][np.minimum(np.searchsorted(ids[order], near), len(ids) - 1)]
-        return _lists(ids, own, np.where(theirs == home[:, None], -1, near), sims)
-
-    first = cut_lineage(blocks.groupBy("block").applyInArrow(inside, _GRAPH))
-    edges = cut_lineage(_merged(first, width))
-    probes = _exact_probes(classes, n, k)
-    for _ in range(ROUNDS):
-        if _recall(edges, probes, k) >= RECALL:
+    first = cut_lineage(_first_lists(_placed(rows, id_col, vec_col, dim, spark.sparkContext.broadcast(trees)), width))
+    members = cut_lineage(keys.join(first.select("key", "pid"), "key").select("id", "pid"))
+    edges = cut_lineage(_second_lists(first, width))
+    release(first, keys)
+    asked = None
+    while True:
+        wanted = cut_lineage(_wanted(edges, asked))
+        better = cut_lineage(_round(edges, wanted, width))
+        release(edges)
+        edges, asked = better, wanted if asked is None else asked.unionByName(wanted)
+        new, total = edges.select(F.sum(F.bit_count(F.col("fresh").bitwiseAND((1 << k) - 1))), F.sum(F.least(F.size("nbrs"), F.lit(k)))).first()
+        if (new or 0) < CHANGED * (total or 0) or not new:
             break
-        edges = cut_lineage(_round(edges, width))
-    return Graph(edges.select("pid", "vec", "home"), edges.select("pid", "home", "nbrs", "sims"), members, trees)
+    probes = _exact_probes(edges, n, k)
+    recall = _recall(edges, probes, k)
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"the neighbour graph has a recall of {recall:.3f} only")
+    return Graph(edges.select("pid", "nbrs", "sims", "vec"), members, trees, recall)
 
 
-def _first_by_hash(classes: DataFrame, count: int, n: int) -> list:
-    """The ``count`` classes first by hash of their key, in that order; only about as many leave their tasks."""
-    h = F.xxhash64("key")
-    few = classes.select("pid", "vec", h.alias("h"))
+def _first_by_hash(vectors: DataFrame, count: int, n: int) -> np.ndarray:
+    """Vectors of the ``count`` classes first by key, in that order; only about as many leave their tasks."""
+    few = vectors.select("key", "vec")
     if n > 2 * count:
-        few = few.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * 1.5 * count / n)))
-    return few.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(count).collect()
+        few = few.where(F.conv(F.substring(F.hex("key"), 1, 8), 16, 10).cast("bigint") < F.lit(int((1 << 32) * 1.5 * count / n)))
+    return unpack([r.vec for r in few.groupBy("key").agg(F.first("vec").alias("vec")).orderBy("key").limit(count).select("vec").collect()])
 
 
-def _exact_probes(classes: DataFrame, n: int, k: int) -> dict[int, list[int]]:
-    """The true neighbours of ``PROBES`` vectors, the first by hash; every task compares them with its vectors."""
-    rows = _first_by_hash(classes, PROBES, n)
-    pids, x = np.array([r.pid for r in rows]), matrix([r.vec for r in rows])
+def _placed(rows: DataFrame, id_col: str, vec_col: str, dim: int, shared) -> DataFrame:
+    """``home, other, key, vec``: the blocks of each vector in both trees, each class once a task."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sims = np.full((len(pids), 0), -1, "i8"), np.full((len(pids), 0), -2.0, "f4")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            i, s = _top(x, pids, matrix(batch.column(1)), np.asarray(batch.column(0)), k)
-            ids, sims = np.hstack([ids, i]), np.hstack([sims, s])
-            pick = np.lexsort((ids, -sims), axis=1)[:, :k]
-            ids, sims = np.take_along_axis(ids, pick, 1), np.take_along_axis(sims, pick, 1)
-        keep = ids >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(pids, keep.sum(1))), pa.array(ids[keep]), pa.array(sims[keep])], names=["pid", "nbr", "s"])
+            _, unit, keys = _unit(batch.column(1), dim)
+            new = {key: i for i, key in enumerate(keys) if key not in seen}
+            seen.update(new)
+            at = sorted(new.values())
+            x = unit[at]
+            home, other = (pa.array(leaves(t, x), pa.int64()) for t in shared.value)
+            yield pa.RecordBatch.from_arrays([home, other, pa.array([keys[i] for i in at], pa.binary()), pack(x)], names=["home", "other", "key", "vec"])
 
-    best = classes.select("pid", "vec").mapInArrow(scan, "pid bigint, nbr bigint, s float").groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "nbr"))), 1, k).alias("p"))
-    return {r.pid: [p.nbr for p in r.p] for r in best.collect()}
+    return _fit_rows(rows, id_col, vec_col, dim).mapInArrow(run, "home bigint, other bigint, key binary, vec binary")
 
 
-def _recall(edges: DataFrame, probes: dict[int, list[int]], k: int) -> float:
-    found = edges.where(F.col("pid").isin(list(probes))).select("pid", F.slice("nbrs", 1, k).alias("nbrs")).collect()
-    hits = sum(len(set(r.nbrs) & set(probes[r.pid])) for r in found)
-    return hits / max(1, sum(map(len, probes.values())))
+def _first_lists(placed: DataFrame, width: int) -> DataFrame:
+    """Numbers the classes of each home block by key and lists their neighbours in it."""
 
+    def inside(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_pylist()
+        at = {key: i for i, key in enumerate(keys)}
+        order = [at[key] for key in sorted(at)]
+        table = table.take(pa.array(order, pa.int64()))
+        if len(order) >= 1 << RANK_BITS:
+            raise RuntimeError("a block of the first tree is too large")
+        pid = (table.column("home")[0].as_py() << RANK_BITS) + np.arange(len(order), dtype="i8")
+        x = unpack(table.column("vec"))
+        near, sims = _top(x, pid, x, pid, width)
+        return _lists(pid, near, sims, np.zeros(near.shape, bool), table.column("vec"), other=table.column("other"), key=table.column("key"))
+
+    return placed.groupBy("home").applyInArrow(inside, _GRAPH + ", other bigint, key binary")
+
+
+def _second_lists(first: DataFrame, width: int) -> DataFrame:
+    """Adds the neighbours in each class's block of the second tree; links that leave the home block are fresh."""
 
-def _merged(lists: DataFrame, width: int) -> DataFrame:
-    """One list a class from those of its two blocks; the home block is that of the first tree."""
-    pairs = F.transform(F.arrays_zip("nbrs", "sims"), lambda x: F.struct((-x["sims"]).alias("d"), x["nbrs"].alias("i")))
-    both = lists.withColumn("pairs", pairs).groupBy("pid").agg(F.max(F.when(F.col("home") % 2 == 0, F.col("home"))).alias("home"), F.max("vec").alias("vec"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))), 1, width).alias("p"))
-    return both.select("pid", "home", F.transform("p", lambda x: x["i"]).alias("nbrs"), F.transform("p", lambda x: -x["d"]).alias("sims"), "vec")
+    def inside(table: pa.Table) -> pa.Table:
+        x, pid = unpack(table.column("vec")), np.asarray(table.column("pid"))
+        ids, sims = _union(*_padded(table, width), *_top(x, pid, x, pid, width), width)
+        return _lists(pid, ids, sims, (ids >> RANK_BITS) != (pid >> RANK_BITS)[:, None], table.column("vec"))
+
+    return first.select("pid", "nbrs", "sims", "fresh", "vec", "other").groupBy("other").applyInArrow(inside, _GRAPH)
 
 
-def _round(edges: DataFrame, width: int) -> DataFrame:
-    """One NN-descent round: every block compares its members with the neighbours of their neighbours."""
-    links = edges.select("pid", "home", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("pid", "home", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
-    lists = edges.select(F.col("pid").alias("u"), "nbrs", F.col("home").alias("u_home"))
-    met = links.join(lists, "u").where("home <> u_home")  # links that leave their block
-    forward = met.groupBy("home", "u").agg(F.first("nbrs").alias("nbrs")).select("home", F.explode(F.concat(F.array("u"), "nbrs")).alias("pid"))
-    near = met.withColumn("k", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "pid"))).where(F.col("k") <= REVERSE)
-    backward = near.select(F.col("u_home").alias("home"), "pid")
-    wanted = forward.unionByName(backward).distinct().withColumnRenamed("home", "target")
-    none = lambda c: F.lit(None).cast(dict(edges.dtypes)[c]).alias(c)
-    guests = wanted.join(edges.select("pid", "home", "vec"), "pid").where("home <> target").select("pid", "vec", F.col("target").alias("block"), none("nbrs"), none("sims"))
-    hosts = edges.select("pid", "vec", F.col("home").alias("block"), "nbrs", "sims")
+def _wanted(edges: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """``target, pid``: vectors that a block must compare with its members in this round, none twice over all rounds.
+
+    A new link out of a block brings its end and all neighbours of that; an old one brings the new neighbours
+    of its end; the best ``REVERSE`` new links to a vector bring their starts.
+    """
+    link = F.posexplode("nbrs").alias("i", "u")
+    links = edges.select("pid", "fresh", "sims", link).where(home_of("pid") != home_of("u"))
+    links = links.select("pid", home_of("pid").alias("target"), "u", F.get("sims", F.col("i")).alias("s"), F.getbit("fresh", F.col("i")).cast("boolean").alias("new"))
+    out = links.groupBy("target", "u").agg(F.max("new").alias("new"))
+    lists = edges.select(F.col("pid").alias("u"), "nbrs", "fresh")
+    new_only = F.filter("nbrs", lambda _, i: F.getbit("fresh", i) == 1)
+    ends = out.join(lists, "u").where(F.col("new") | (F.col("fresh") != 0))
+    forward = ends.select("target", F.explode(F.when(F.col("new"), F.concat(F.array("u"), "nbrs")).otherwise(new_only)).alias("pid"))
+    best = F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "pid"))
+    backward = links.where("new").select("u", "pid", "s").withColumn("n", best).where(F.col("n") <= REVERSE).select(home_of("u").alias("target"), "pid")
+    wanted = forward.unionByName(backward).where(F.col("target") != home_of("pid")).distinct()
+    return wanted if asked is None else wanted.join(asked, ["target", "pid"], "left_anti")
+
+
+def _round(edges: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """One NN-descent round: every block compares its members with the vectors it wants."""
+    guests = wanted.join(edges.select("pid", "vec"), "pid").select("pid", "vec", F.col("target").alias("block"), *(F.lit(None).cast(t).alias(c) for c, t in (("nbrs", "array<bigint>"), ("sims", "array<float>"))))
+    hosts = edges.select("pid", "vec", home_of("pid").alias("block"), "nbrs", "sims")
 
     def local(table: pa.Table) -> pa.Table:
-        x, ids = matrix(table.column("vec")), np.asarray(table.column("pid"))
         own = ~np.asarray(table.column("nbrs").is_null())
         mine = table.filter(pa.array(own))
-        home = np.full(len(mine), table.column("block")[0].as_py(), "i8")
-        near_, sims = _top(x[own], ids[own], x, ids, width)
-        old_ids, old_sims = _padded(mine, width)
-        near_, sims = np.hstack([near_, old_ids]), np.hstack([sims, old_sims])
-        order = np.lexsort((-sims, near_), axis=1)
-        near_, sims = np.take_along_axis(near_, order, 1), np.take_along_axis(sims, order, 1)
-        sims[:, 1:][near_[:, 1:] == near_[:, :-1]] = -2.0
-        order = np.lexsort((near_, -sims), axis=1)[:, :width]
-        near_, sims = np.take_along_axis(near_, order, 1), np.take_along_axis(sims, order, 1)
-        return _lists(ids[own], home, np.where(sims <= -1.5, -1, near_), sims, mine.column("vec"))
+        old, old_sims = _padded(mine, width)
+        pid = np.asarray(table.column("pid"))
+        if own.all():
+            return _lists(pid, old, old_sims, np.zeros(old.shape, bool), mine.column("vec"))
+        x = unpack(table.column("vec"))
+        ids, sims = _union(old, old_sims, *_top(x[own], pid[own], x[~own], pid[~own], width), width)
+        return _lists(pid[own], ids, sims, ~(ids[:, :, None] == old[:, None, :]).any(2), mine.column("vec"))
 
     return hosts.unionByName(guests).groupBy("block").applyInArrow(local, _GRAPH)
 
 
+def _exact_probes(edges: DataFrame, n: int, k: int) -> dict[int, list[int]]:
+    """The true neighbours of ``PROBES`` classes, the first by hash; every task compares them with its vectors."""
+    h = F.pmod(F.xxhash64("pid"), F.lit(1 << 30))
+    few = edges.select("pid", "vec", h.alias("h"))
+    if n > 4 * PROBES:
+        few = few.where(F.col("h") < F.lit(int((1 << 30) * 2.0 * PROBES / n)))
+    rows = few.orderBy("h", "pid").limit(PROBES).collect()
+    pids, x = np.array([r.pid for r in rows]), unpack([r.vec for r in rows])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sims = np.full((len(pids), 0), -1, "i8"), np.full((len(pids), 0), -2.0, "f4")
+        for batch in batches:
+            i, s = _top(x, pids, unpack(batch.column(1)), np.asarray(batch.column(0)), k)
+            ids, sims = _best(np.hstack([ids, i]), np.hstack([sims, s]), k)
+        keep = ids >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(pids, keep.sum(1))), pa.array(ids[keep]), pa.array(sims[keep])], names=["pid", "nbr", "s"])
+
+    best = edges.select("pid", "vec").mapInArrow(scan, "pid bigint, nbr bigint, s float").groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "nbr"))), 1, k).alias("p"))
+    return {r.pid: [p.nbr for p in r.p] for r in best.collect()}
+
+
+def _recall(edges: DataFrame, probes: dict[int, list[int]], k: int) -> float:
+    found = edges.where(F.col("pid").isin(list(probes))).select("pid", F.slice("nbrs", 1, k).alias("nbrs")).collect()
+    hits = sum(len(set(r.nbrs) & set(probes[r.pid])) for r in found)
+    return hits / sum(map(len, probes.values())) if probes else 1.0
+
+
 def _links(edges: DataFrame, k: int) -> DataFrame:
     e = edges.select("pid", F.explode(F.slice(F.arrays_zip("nbrs", "sims"), 1, k)).alias("e"))
     return e.select("pid", F.col("e.nbrs").alias("u"), F.col("e.sims").alias("s"))
@@ -401,36 +484,41 @@ BEAM = 48
 SEARCH_ROUNDS = 12
 
 
-def greedy_search(graph: Graph, queries: DataFrame, id_col: str, vec_col: str, dim: int, k: int) -> DataFrame:
+def greedy_search(graph: Graph, queries: DataFrame, id_col: str, vec_col: str, dim: int, k: int, starts: int = STARTS, beam: int = BEAM, rounds: int = SEARCH_ROUNDS) -> DataFrame:
     """``query_id, id, similarity, rank``: for each query the ``k`` most similar members that greedy search finds.
 
-    A query starts at points of the block its vector falls into; every round expands the best ``BEAM`` points
-    seen so far along the graph's links, for all queries in one join, until no query has a new one among its
-    best.  Queries without a usable vector have no rows; a query that is itself a member finds itself.
+    A query starts at points of the block its vector falls into, or of that block's leaf if it has none; every
+    round expands the best ``beam`` points seen so far along the graph's links, for all queries in one join,
+    until no query has a new one among its best.  Queries without a usable vector have no rows; a query that is
+    itself a member finds itself.
     """
     wanted = cut_lineage(usable_vectors(queries, id_col, vec_col, dim).groupBy("id").agg(F.min(F.struct("key", "vec")).alias("x")).select(F.col("id").alias("q"), F.col("x.vec").alias("qvec")))
     tree = graph.trees[0]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = leaves(tree, matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf * (1 << 17), pa.int64())], names=["q", "home"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaves(tree, unpack(batch.column(1))), pa.int64())], names=["q", "home"])
 
     id_type = dict(wanted.dtypes)["q"]
-    entry = graph.points.withColumn("n", F.row_number().over(W.partitionBy("home").orderBy("pid"))).where(F.col("n") <= STARTS).select("home", "pid")
-    new = wanted.mapInArrow(place, f"q {id_type}, home bigint").join(entry, "home").select("q", "pid")
+    points = graph.edges.select("pid", home_of("pid").alias("home"))
+    leaf = F.shiftright("home", PLANE_BITS)
+    first = lambda key: points.withColumn("at", key).withColumn("n", F.row_number().over(W.partitionBy("at").orderBy("pid"))).where(F.col("n") <= starts).select("at", "pid")
+    placed = cut_lineage(wanted.mapInArrow(place, f"q {id_type}, home bigint"))
+    here = placed.join(first(F.col("home")).withColumnRenamed("at", "home"), "home").select("q", "pid")
+    stray = placed.join(here.select("q").distinct(), "q", "left_anti").select("q", leaf.alias("leaf"))
+    new = here.unionByName(stray.join(first(leaf).withColumnRenamed("at", "leaf"), "leaf").select("q", "pid"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = (matrix(batch.column(2)) * matrix(batch.column(3))).sum(1)
+            s = (unpack(batch.column(2)) * unpack(batch.column(3))).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.astype("f4"))], names=["q", "pid", "s"])
 
     best = W.partitionBy("q").orderBy(F.desc("s"), "pid")
     seen = None
-    for n in range(SEARCH_ROUNDS):
-        scored = new.join(graph.points.select("pid", "vec"), "pid").join(wanted, "q").select("q", "pid", "qvec", "vec").mapInArrow(compare, f"q {id_type}, pid bigint, s float").withColumn("at", F.lit(n))
+    for n in range(rounds):
+        scored = new.join(graph.edges.select("pid", "vec"), "pid").join(wanted, "q").select("q", "pid", "qvec", "vec").mapInArrow(compare, f"q {id_type}, pid bigint, s float").withColumn("at", F.lit(n))
         seen = cut_lineage(scored if seen is None else seen.unionByName(scored))
-        fresh = seen.withColumn("k", F.row_number().over(best)).where((F.col("k") <= BEAM) & (F.col("at") == n))
+        fresh = seen.withColumn("k", F.row_number().over(best)).where((F.col("k") <= beam) & (F.col("at") == n))
         steps = fresh.select("q", "pid").join(graph.edges.select("pid", "nbrs"), "pid").select("q", F.explode("nbrs").alias("pid")).distinct()
         new = cut_lineage(steps.join(seen.select("q", "pid"), ["q", "pid"], "left_anti"))
         if new.isEmpty():
