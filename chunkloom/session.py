@@ -52,6 +52,15 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def _root(spark: SparkSession) -> str:
+    """The application's folder for written tables, removed when its driver ends."""
+    root = f"{ensure_checkpoint_dir(spark)}/chunkloom-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    return root
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder and read back.
 
@@ -59,23 +68,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and outlives the loss of any executor.  The application's tables are removed when its driver ends.
     """
     spark = df.sparkSession
-    root = f"{ensure_checkpoint_dir(spark)}/chunkloom-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        atexit.register(_remove, spark, root)
-    path = f"{root}/{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_at = path
     return written
 
 
+def cut_bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """As :func:`cut_lineage`, in ``parts`` buckets by ``key``: groupings and cogroups by it shuffle nothing.
+
+    Spark uses the buckets where there are at least as many as it has shuffle partitions.  The table is known to
+    the session's catalog under a random name until it is released.
+    """
+    spark = df.sparkSession
+    name = f"chunkloom_{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/{name}"
+    df.write.bucketBy(parts, key).option("path", path).saveAsTable(name)
+    written = spark.table(name)
+    written._written_at = path
+    written._table = name
+    return written
+
+
 def release(*tables: DataFrame) -> None:
-    """Removes tables of :func:`cut_lineage` that nothing reads any more, and shuffle files of finished steps.
+    """Removes written tables that nothing reads any more, and the shuffle files of finished steps.
 
     Spark drops the files of a shuffle once the driver has forgotten it, so the driver collects its garbage.
     """
     for df in tables:
+        if hasattr(df, "_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
         _remove(df.sparkSession, df._written_at)
     if tables:
         tables[0].sparkSession._jvm.System.gc()
