@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from chunkloom.session import cut_lineage, release
+from chunkloom.session import cut_bucketed, cut_lineage, release
 
 #: Vectors of a block.
 BLOCK = 2048
+#: Classes of a bucket of the graph's tables.
+BUCKET = 65_536
 #: Vectors of the sample that the trees are fitted on; the index holds all rows.
-SAMPLE = 65_536
+SAMPLE = 16_384
 #: Points of the sample that a leaf has at least, and points that one split looks at.
 LEAF_SAMPLE = 8
 SPLIT_SAMPLE = 2048
@@ -226,8 +228,8 @@ def _union(ids: np.ndarray, sims: np.ndarray, more_ids: np.ndarray, more_sims: n
     return np.where(sims <= -1.5, -1, ids), sims
 
 
-#: ``fresh`` has bit ``i`` set if link ``i`` is new since the last round and leaves the home block or is to be followed.
-_GRAPH = "pid bigint, nbrs array<bigint>, sims array<float>, fresh int, vec binary"
+#: ``fresh`` has bit ``i`` set if link ``i`` is new since the last round and is to be followed.
+_GRAPH = "home bigint, pid bigint, nbrs array<bigint>, sims array<float>, fresh int, vec binary"
 
 
 def _lists(pids: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray, vec, **more) -> pa.Table:
@@ -236,6 +238,7 @@ def _lists(pids: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarra
     mask = ((fresh & keep) << np.arange(ids.shape[1])).sum(1).astype("i4")
     return pa.table(
         {
+            "home": pa.array(pids >> RANK_BITS, pa.int64()),
             "pid": pa.array(pids, pa.int64()),
             "nbrs": pa.ListArray.from_arrays(offsets, pa.array(ids[keep], pa.int64())),
             "sims": pa.ListArray.from_arrays(offsets, pa.array(sims[keep], pa.float32())),
@@ -285,12 +288,13 @@ def build_graph(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int, se
     trees = [fit_tree(sample, n, seed + t) for t in range(2)]
     first = cut_lineage(_first_lists(_placed(rows, id_col, vec_col, dim, spark.sparkContext.broadcast(trees)), width))
     members = cut_lineage(keys.join(first.select("key", "pid"), "key").select("id", "pid"))
-    edges = cut_lineage(_second_lists(first, width))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET)
+    edges = cut_bucketed(_second_lists(first, width).repartition(parts, "home"), "home", parts)
     release(first, keys)
     asked = None
     while True:
-        wanted = cut_lineage(_wanted(edges, asked))
-        better = cut_lineage(_round(edges, wanted, width))
+        wanted = cut_bucketed(_wanted(edges, asked), "home", parts)
+        better = cut_bucketed(_round(edges, wanted, width), "home", parts)
         release(edges)
         edges, asked = better, wanted if asked is None else asked.unionByName(wanted)
         new, total = edges.select(F.sum(F.bit_count(F.col("fresh").bitwiseAND((1 << k) - 1))), F.sum(F.least(F.size("nbrs"), F.lit(k)))).first()
@@ -357,43 +361,72 @@ def _second_lists(first: DataFrame, width: int) -> DataFrame:
     return first.select("pid", "nbrs", "sims", "fresh", "vec", "other").groupBy("other").applyInArrow(inside, _GRAPH)
 
 
+def _again(edges: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a bucketed table as attributes of their own, so that it can meet itself."""
+    return edges.sparkSession.table(edges._table).select(*columns)
+
+
+def _places(pid: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``sought`` stands in ``pid``, and which do."""
+    order = np.argsort(pid)
+    at = order[np.minimum(np.searchsorted(pid[order], sought), len(pid) - 1)] if len(pid) else np.zeros(len(sought), "i8")
+    return at, (pid[at] == sought) if len(pid) else np.zeros(len(sought), bool)
+
+
 def _wanted(edges: DataFrame, asked: DataFrame | None) -> DataFrame:
-    """``target, pid``: vectors that a block must compare with its members in this round, none twice over all rounds.
+    """``home, pid, target``: vectors of a home block that the block ``target`` must compare with its members.
 
     A new link out of a block brings its end and all neighbours of that; an old one brings the new neighbours
-    of its end; the best ``REVERSE`` new links to a vector bring their starts.
+    of its end; the best ``REVERSE`` new links to a vector bring their starts.  Nothing is wanted twice over
+    all rounds.  Questions go to the home block of what they ask about, which holds the lists.
     """
-    link = F.posexplode("nbrs").alias("i", "u")
-    links = edges.select("pid", "fresh", "sims", link).where(home_of("pid") != home_of("u"))
-    links = links.select("pid", home_of("pid").alias("target"), "u", F.get("sims", F.col("i")).alias("s"), F.getbit("fresh", F.col("i")).cast("boolean").alias("new"))
-    out = links.groupBy("target", "u").agg(F.max("new").alias("new"))
-    lists = edges.select(F.col("pid").alias("u"), "nbrs", "fresh")
-    new_only = F.filter("nbrs", lambda _, i: F.getbit("fresh", i) == 1)
-    ends = out.join(lists, "u").where(F.col("new") | (F.col("fresh") != 0))
-    forward = ends.select("target", F.explode(F.when(F.col("new"), F.concat(F.array("u"), "nbrs")).otherwise(new_only)).alias("pid"))
+    links = _again(edges, "home", "pid", "fresh", "sims", F.posexplode("nbrs").alias("i", "u")).where(F.col("home") != home_of("u"))
+    links = links.select("home", "pid", "u", F.get("sims", F.col("i")).alias("s"), F.getbit("fresh", F.col("i")).cast("boolean").alias("new"))
+    out = links.groupBy(F.col("home").alias("target"), "u").agg(F.max("new").alias("new")).withColumn("at", home_of("u"))
+
+    def ends(mine: pa.Table, questions: pa.Table) -> pa.Table:
+        pid, width = np.asarray(mine.column("pid")), 1
+        sizes = np.asarray(mine.column("nbrs").combine_chunks().value_lengths()) if len(mine) else np.zeros(0, "i8")
+        width = max(1, int(sizes.max()) if len(sizes) else 1)
+        ids, _ = _padded(mine, width) if len(mine) else (np.zeros((0, width), "i8"), None)
+        fresh = (np.asarray(mine.column("fresh"))[:, None] >> np.arange(width)) & 1 > 0
+        target, u, new = (np.asarray(questions.column(c)) for c in ("target", "u", "new"))
+        at, known = _places(pid, u)
+        target, u, new, at = target[known], u[known], new[known].astype(bool), at[known]
+        take = (ids[at] >= 0) & (new[:, None] | fresh[at])
+        found = np.concatenate([u[new], ids[at][take]])
+        where = np.concatenate([target[new], np.repeat(target, take.sum(1))])
+        away = found >> RANK_BITS != where
+        pairs = np.unique(np.stack([where[away], found[away]], axis=1), axis=0)
+        return pa.table({"home": pa.array(pairs[:, 1] >> RANK_BITS, pa.int64()), "pid": pa.array(pairs[:, 1], pa.int64()), "target": pa.array(pairs[:, 0], pa.int64())})
+
+    form = "home bigint, pid bigint, target bigint"
+    forward = _again(edges, "home", "pid", "nbrs", "sims", "fresh").groupBy("home").cogroup(out.groupBy("at")).applyInArrow(ends, form)
     best = F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "pid"))
-    backward = links.where("new").select("u", "pid", "s").withColumn("n", best).where(F.col("n") <= REVERSE).select(home_of("u").alias("target"), "pid")
-    wanted = forward.unionByName(backward).where(F.col("target") != home_of("pid")).distinct()
-    return wanted if asked is None else wanted.join(asked, ["target", "pid"], "left_anti")
+    backward = links.where("new").select("u", "home", "pid", "s").withColumn("n", best).where(F.col("n") <= REVERSE).select("home", "pid", home_of("u").alias("target"))
+    wanted = forward.unionByName(backward).groupBy("home", "pid", "target").agg(F.lit(1).alias("n")).drop("n")
+    return wanted if asked is None else wanted.join(asked, ["home", "pid", "target"], "left_anti")
 
 
 def _round(edges: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """One NN-descent round: every block compares its members with the vectors it wants."""
-    guests = wanted.join(edges.select("pid", "vec"), "pid").select("pid", "vec", F.col("target").alias("block"), *(F.lit(None).cast(t).alias(c) for c, t in (("nbrs", "array<bigint>"), ("sims", "array<float>"))))
-    hosts = edges.select("pid", "vec", home_of("pid").alias("block"), "nbrs", "sims")
 
-    def local(table: pa.Table) -> pa.Table:
-        own = ~np.asarray(table.column("nbrs").is_null())
-        mine = table.filter(pa.array(own))
+    def serve(mine: pa.Table, wishes: pa.Table) -> pa.Table:
+        at, known = _places(np.asarray(mine.column("pid")), np.asarray(wishes.column("pid")))
+        found = mine.take(pa.array(at[known], pa.int64())) if len(mine) else mine
+        return pa.table({"target": wishes.column("target").filter(pa.array(known)), "pid": found.column("pid"), "vec": found.column("vec")})
+
+    guests = _again(edges, "home", "pid", "vec").groupBy("home").cogroup(wanted.groupBy("home")).applyInArrow(serve, "target bigint, pid bigint, vec binary")
+
+    def local(mine: pa.Table, others: pa.Table) -> pa.Table:
         old, old_sims = _padded(mine, width)
-        pid = np.asarray(table.column("pid"))
-        if own.all():
+        pid = np.asarray(mine.column("pid"))
+        if not len(others) or not len(mine):
             return _lists(pid, old, old_sims, np.zeros(old.shape, bool), mine.column("vec"))
-        x = unpack(table.column("vec"))
-        ids, sims = _union(old, old_sims, *_top(x[own], pid[own], x[~own], pid[~own], width), width)
-        return _lists(pid[own], ids, sims, ~(ids[:, :, None] == old[:, None, :]).any(2), mine.column("vec"))
+        ids, sims = _union(old, old_sims, *_top(unpack(mine.column("vec")), pid, unpack(others.column("vec")), np.asarray(others.column("pid")), width), width)
+        return _lists(pid, ids, sims, ~(ids[:, :, None] == old[:, None, :]).any(2), mine.column("vec"))
 
-    return hosts.unionByName(guests).groupBy("block").applyInArrow(local, _GRAPH)
+    return _again(edges, "home", "pid", "nbrs", "sims", "vec").groupBy("home").cogroup(guests.groupBy("target")).applyInArrow(local, _GRAPH)
 
 
 def _exact_probes(edges: DataFrame, n: int, k: int) -> dict[int, list[int]]:
