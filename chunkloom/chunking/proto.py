@@ -12,7 +12,7 @@ from chunkloom.chunking.text import decode_text
 BLOCK_OPEN = re.compile(r"^\s*(message|service|enum)\s+(\w+)\s*\{")
 CONTEXT_PREFIXES = ("syntax", "package", "import", "option")
 RPC_TYPES = re.compile(r"rpc\s+\w+\s*\(\s*(\w+)\s*\)\s*returns\s*\(\s*(\w+)\s*\)")
-FIELD_TYPE = re.compile(r"([A-Z]\w*)\s+\w+\s*=\s*\d+")
+FIELD_TYPE = re.compile(r"(?:repeated|map\s*<\w+\s*,\s*)?\s*([A-Z]\w+)\s+\w+\s*=\s*\d+")
 
 
 def references(content: str, kind: str) -> list[str]:
@@ -33,7 +33,7 @@ def blocks(lines: list[str]) -> Iterator[tuple[str, str, int, int]]:
         depth, end = 0, len(lines) + 1
         for n in range(at, len(lines)):
             depth += lines[n].count("{") - lines[n].count("}")
-            if depth <= 0:
+            if depth == 0:
                 end = n + 1
                 break
         yield m[1], m[2], at + 1, end
@@ -44,7 +44,7 @@ def chunk_proto(data: bytes, relative_path: str) -> Iterator[dict]:
     """Blocks of at least three lines, each under the file's context lines."""
     lines = decode_text(data).splitlines()
     context = "\n".join(x for x in lines if x.strip().startswith(CONTEXT_PREFIXES))
-    header = f"// File: {relative_path}\n{context}\n\n"
+    header = f"// File: {relative_path}\n" + (f"{context}\n\n" if context else "\n")
     for kind, name, first, last in blocks(lines):
         if last - first < C.MIN_PROTO_SPAN:
             continue

@@ -82,7 +82,7 @@ def proto_references(content: Column, kind: Column) -> Column:
     """Types that a proto block names; see ``chunking.proto.references``."""
     rpc = r"rpc\s+\w+\s*\(\s*(\w+)\s*\)\s*returns\s*\(\s*(\w+)\s*\)"
     service = F.concat(F.regexp_extract_all(content, F.lit(rpc), 1), F.regexp_extract_all(content, F.lit(rpc), 2))
-    message = F.regexp_extract_all(content, F.lit(r"([A-Z]\w*)\s+\w+\s*=\s*\d+"), 1)
+    message = F.regexp_extract_all(content, F.lit(r"([A-Z]\w+)\s+\w+\s*=\s*\d+"), 1)
     none = F.array().cast("array<string>")
     return F.array_sort(F.array_distinct(F.when(kind == "service", service).when(kind == "message", message).otherwise(none)))
 

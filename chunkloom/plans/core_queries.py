@@ -12,6 +12,7 @@ from chunkloom import config as C
 from chunkloom.functions import columns as X
 from chunkloom.operators import context as ctx
 from chunkloom.operators import expand, orphans, search, upsert
+from chunkloom.plans import outline_sql
 from chunkloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,10 +79,10 @@ _EXT_SQL = "lower(regexp_extract(relative_path, '(\\.[^./]+)$', 1))"
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
 
-@query(
-    "scan_filter",
-    f"SELECT DISTINCT path, relative_path FROM files WHERE {_EXT_SQL} IN {_IN(C.ALL_EXTENSIONS)} AND lower(split_part(relative_path, '/', -1)) NOT IN {_IN(C.EXCLUDED_FILENAMES)} AND NOT list_has_any(list_transform(string_split(relative_path, '/'), lambda x: lower(x)), [{', '.join(repr(x) for x in C.EXCLUDED_DIRS)}]) AND string_split(relative_path, '/')[1] NOT IN {_IN(C.EXCLUDED_ROOT_DIRS)}",
-)
+_SELECTED = f"{_EXT_SQL} IN {_IN(C.ALL_EXTENSIONS)} AND lower(split_part(relative_path, '/', -1)) NOT IN {_IN(C.EXCLUDED_FILENAMES)} AND NOT list_has_any(list_transform(string_split(relative_path, '/'), lambda x: lower(x)), [{', '.join(repr(x) for x in C.EXCLUDED_DIRS)}]) AND string_split(relative_path, '/')[1] NOT IN {_IN(C.EXCLUDED_ROOT_DIRS)}"
+
+
+@query("scan_filter", f"SELECT DISTINCT path, relative_path FROM files WHERE {_SELECTED}")
 def scan_filter(spark, d):
     """F1-F4 over the file table."""
     return table(spark, d, "files").select("path", "relative_path").where(X.selected_file(F.col("relative_path"))).distinct()
@@ -162,7 +163,7 @@ _RPC = "rpc\\s+\\w+\\s*\\(\\s*(\\w+)\\s*\\)\\s*returns\\s*\\(\\s*(\\w+)\\s*\\)"
 
 @query(
     "refs_extract",
-    f"SELECT DISTINCT chunk_id, array_to_string(list_sort(list_distinct(CASE chunk_type WHEN 'service' THEN list_concat(regexp_extract_all(content, '{_RPC}', 1), regexp_extract_all(content, '{_RPC}', 2)) WHEN 'message' THEN regexp_extract_all(content, '([A-Z]\\w*)\\s+\\w+\\s*=\\s*\\d+', 1) ELSE [] END)), '|') AS refs FROM code_chunks WHERE chunk_type IN ('service', 'message', 'enum')",
+    f"SELECT DISTINCT chunk_id, array_to_string(list_sort(list_distinct(CASE chunk_type WHEN 'service' THEN list_concat(regexp_extract_all(content, '{_RPC}', 1), regexp_extract_all(content, '{_RPC}', 2)) WHEN 'message' THEN regexp_extract_all(content, '(?:repeated|map\\s*<\\w+\\s*,\\s*)?\\s*([A-Z]\\w+)\\s+\\w+\\s*=\\s*\\d+', 1) ELSE [] END)), '|') AS refs FROM code_chunks WHERE chunk_type IN ('service', 'message', 'enum')",
 )
 def refs_extract(spark, d):
     """X8/A8 over proto chunks."""
@@ -242,18 +243,12 @@ def para_pack(spark, d):
 
 @query(
     "md_sections",
-    f"""WITH s AS (SELECT doc_id, title, regexp_split_to_array(text, '(?m)^#{{1,3}} .+$') AS bodies, regexp_extract_all(text, '(?m)^(#{{1,3}}) .+$', 1) AS marks, regexp_extract_all(text, '(?m)^#{{1,3}} (.+)$', 1) AS heads FROM documents WHERE doc_type = 'guide' AND text IS NOT NULL AND NOT contains(text, chr(13))),
+    f"""WITH s AS (SELECT doc_id, title, regexp_split_to_array(text, '(?m)^#{{1,3}} .+$') AS bodies, regexp_extract_all(text, '(?m)^(#{{1,3}}) .+$', 1) AS marks, regexp_extract_all(text, '(?m)^#{{1,3}} (.+)$', 1) AS heads FROM (SELECT doc_id, title, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL)),
     r AS (SELECT doc_id, i, CASE WHEN i = 1 THEN coalesce(title, '') ELSE trim(heads[i - 1], {_WS}) END AS section, CASE WHEN i > len(heads) THEN 1 ELSE length(marks[i]) END AS level, length(trim(bodies[i], {_WS})) AS n FROM (SELECT *, unnest(range(1, len(bodies) + 1)) AS i FROM s))
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::int AS ordinal, section, level::int AS level, n::int AS n_chars FROM r WHERE n >= 100""",
 )
 def md_sections(spark, d):
-    """C20/C21/W5 in SQL functions: sections of guides with the level of the next heading."""
-    return markdown_sections(table(spark, d, "documents").where("doc_type = 'guide' AND NOT contains(text, '\\r')"))
-
-
-@query("md_sections_all")
-def md_sections_all(spark, d):
-    """C20/C21/W5 over all documents, whatever their type and line ends."""
+    """C20/C21/W5 in SQL functions over all documents: sections with the level of the next heading."""
     return markdown_sections(table(spark, d, "documents"))
 
 
@@ -359,13 +354,68 @@ def dispatch(spark, d):
     return table(spark, d, "files").select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _source_files(spark, d, *extensions):
+    """The selected files of some extensions, one row a path."""
+    f = table(spark, d, "files").select("path", "relative_path", "ext", "content", "file_hash").where(X.selected_file(F.col("relative_path")))
+    if extensions:
+        f = f.where(X.extension(F.col("path")).isin(*extensions))
+    return upsert.latest_per_key(f, "path", "file_hash", "ext")
+
+
+def _chunks_of(spark, d, *extensions):
+    from chunkloom.chunking.dispatch import chunk_files as run
+
+    return run(_source_files(spark, d, *extensions))
+
+
+_FILE_LINES = """f AS (SELECT path, any_value(relative_path) AS rel, any_value({text}) AS text FROM files WHERE path IS NOT NULL AND lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN {ext} AND {selected} GROUP BY path),
+    l AS (SELECT path, rel, i, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, rel, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM f WHERE text <> '')))"""
+_DECODED = "regexp_replace(regexp_replace(TRY(decode(content)), '^﻿', ''), '\\r\\n?', chr(10), 'g')"
+
+
+@query(
+    "proto_chunks",
+    f"""WITH RECURSIVE {_FILE_LINES.format(text=_DECODED, ext="('.proto')", selected=_SELECTED)},
+    c AS (SELECT *, sum(2 * length(line) - length(replace(line, '{{', '')) - length(line) - length(line) + length(replace(line, '}}', ''))) OVER (PARTITION BY path ORDER BY i) AS depth, count(*) OVER (PARTITION BY path) AS n, regexp_extract(line, '^\\s*(message|service|enum)\\s+(\\w+)\\s*\\{{', 1) AS kind, regexp_extract(line, '^\\s*(message|service|enum)\\s+(\\w+)\\s*\\{{', 2) AS name FROM l),
+    o AS (SELECT a.path, a.i, a.kind, a.name, coalesce(min(b.i), any_value(a.n) + 1) AS last FROM (SELECT *, coalesce(lag(depth) OVER (PARTITION BY path ORDER BY i), 0) AS base FROM c) a LEFT JOIN c b ON b.path = a.path AND b.i >= a.i AND b.depth = a.base WHERE a.kind <> '' GROUP BY a.path, a.i, a.kind, a.name),
+    s AS (SELECT a.*, min(b.i) AS next FROM o a LEFT JOIN o b ON b.path = a.path AND b.i > a.last GROUP BY ALL),
+    r AS (SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY i) = 1) UNION ALL SELECT s.* FROM r JOIN s ON s.path = r.path AND s.i = r.next),
+    x AS (SELECT path, string_agg(line, chr(10) ORDER BY i) AS context FROM l WHERE regexp_matches(trim(line, {_WS}), '^(syntax|package|import|option)') GROUP BY path),
+    t AS (SELECT r.path, r.kind, r.name, r.i, r.last, any_value(l.rel) AS rel, string_agg(l.line, chr(10) ORDER BY l.i) AS body FROM r JOIN l ON l.path = r.path AND l.i BETWEEN r.i AND r.last WHERE r.last - r.i >= 2 GROUP BY ALL)
+    SELECT t.path AS file_path, name AS symbol_name, kind AS chunk_type, i::int AS start_line, last::int AS end_line,
+    array_to_string(list_sort(list_distinct(CASE kind WHEN 'service' THEN list_concat(regexp_extract_all(body, '{_RPC}', 1), regexp_extract_all(body, '{_RPC}', 2)) WHEN 'message' THEN regexp_extract_all(body, '(?:repeated|map\\s*<\\w+\\s*,\\s*)?\\s*([A-Z]\\w+)\\s+\\w+\\s*=\\s*\\d+', 1) ELSE [] END)), '|') AS refs,
+    sha256('// File: ' || rel || chr(10) || CASE WHEN context IS NULL THEN chr(10) ELSE context || chr(10) || chr(10) END || body) AS content_hash FROM t LEFT JOIN x ON x.path = t.path""",
+)
+def proto_chunks(spark, d):
+    """Blocks of every .proto file with context, lines and references."""
+    c = _chunks_of(spark, d, ".proto").where("error IS NULL")
+    return c.select("file_path", "symbol_name", "chunk_type", "start_line", "end_line", F.array_join("symbols_referenced", "|").alias("refs"), F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+
+
+@query(
+    "md_chunks",
+    f"""WITH f AS (SELECT path, any_value(relative_path) AS rel, any_value({_DECODED}) AS text FROM files WHERE path IS NOT NULL AND lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.md', '.rst') AND {_SELECTED} GROUP BY path),
+    s AS (SELECT path, rel, regexp_split_to_array(text, '(?m)^#{{1,3}} .+$') AS bodies, regexp_extract_all(text, '(?m)^(#{{1,3}}) .+$', 1) AS marks, regexp_extract_all(text, '(?m)^#{{1,3}} (.+)$', 1) AS heads FROM f),
+    r AS (SELECT path, rel, i, CASE WHEN i = 1 THEN regexp_replace(split_part(rel, '/', -1), '\\.[^.]*$', '') ELSE trim(regexp_replace(heads[i - 1], '^[# ]+', ''), {_WS}) END AS section, CASE WHEN i > len(heads) THEN 1 ELSE length(marks[i]) END AS level, trim(bodies[i], {_WS}) AS body FROM (SELECT *, unnest(range(1, len(bodies) + 1)) AS i FROM s))
+    SELECT path AS file_path, section AS symbol_name, row_number() OVER (PARTITION BY path ORDER BY i)::int AS page_start, level::int AS level, regexp_extract(section, '(?i)^(?:chapitre\\s*)?(\\d+(?:\\.\\d+)*)(?:[\\.\\s:-]+.*)?$', 1) AS chapter, sha256('# Document : ' || rel || chr(10) || '# Section : ' || section || chr(10) || chr(10) || body) AS content_hash FROM r WHERE length(body) >= 100""",
+)
+def md_chunks(spark, d):
+    """Sections of every Markdown file."""
+    c = _chunks_of(spark, d, *C.MARKDOWN_EXTENSIONS).where("error IS NULL")
+    return c.select("file_path", "symbol_name", "page_start", "level", "chapter", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+
+
+@query("python_chunks", outline_sql.PYTHON.replace("@SELECTED@", _SELECTED))
+def python_chunks(spark, d):
+    """C3-C6, C8 filter, F8: classes, methods and functions of every Python file with their lines."""
+    c = _chunks_of(spark, d, ".py").where("error IS NULL")
+    return c.select("file_path", "symbol_name", "chunk_type", "start_line", "end_line")
+
+
 @query("chunk_files")
 def chunk_files(spark, d):
     """Every chunk of every file; checked against fixtures, SQL cannot parse source files."""
-    from chunkloom.chunking.dispatch import chunk_files as run
-
-    f = table(spark, d, "files").select("path", "relative_path", "ext", "content", "file_hash").where(X.selected_file(F.col("relative_path")))
-    return run(upsert.latest_per_key(f, "path", "file_hash", "ext"))
+    return _chunks_of(spark, d)
 
 
 # ---------------------------------------------------------------- symbols, expansion
