@@ -14,8 +14,8 @@ from chunkloom.config import EngineConfig
 from chunkloom.embed import Embedder, embed_batch, hashing_embedder
 from chunkloom.operators import context, expand, search, upsert
 from chunkloom.functions.columns import question_chapter
-from chunkloom.session import cut_lineage
-from chunkloom.sources.tree import scan_directories
+from chunkloom.session import cut_lineage, release
+from chunkloom.sources.tree import scan_directories, with_contents
 from chunkloom.store import ChunkStore
 
 
@@ -50,25 +50,26 @@ class Engine:
         self.llm = llm
         self.config = config or EngineConfig()
         self.history: list[dict] = []
+        self._directories: list[str] | None = None
 
     # -- indexing
 
     def index_directories(self, directories: list[str], recursive: bool = True, force_reindex: bool = False, purge_missing: bool = False) -> IndexReport:
         """Scans, chunks, embeds and stores what changed; ``purge_missing`` also drops files that are gone."""
-        files = scan_directories(self.spark, directories, recursive)
-        if force_reindex:
+        if force_reindex or self.config.clear_on_other_directory and self._directories not in (None, sorted(directories)):
             self.store.clear()
-        files = upsert.latest_per_key(files, "path", "file_hash")
-        changed = self.store.changed_files(files)
-        chunks = cut_lineage(chunk_files(changed).join(changed.select(F.col("path").alias("file_path"), "directory"), "file_path", "left"))
+        self._directories = sorted(directories)
+        files = cut_lineage(upsert.latest_per_key(scan_directories(self.spark, directories, recursive, content=False), "path", "file_hash"))
+        changed = with_contents(self.store.changed_files(files))
+        chunks = cut_lineage(chunk_files(changed).join(files.select(F.col("path").alias("file_path"), "directory"), "file_path", "left"))
         embedded = self.store.upsert(chunks, self.embedder, self.config)
+        here = files.select(F.col("path").alias("file_path"))
         if purge_missing:
-            gone = self.store.file_hashes().join(files.select(F.col("path").alias("file_path")), "file_path", "left_anti")
-            self.store.delete_files([r[0] for r in gone.select("file_path").toLocalIterator()])
+            self.store.delete_files(self.store.file_hashes().join(here, "file_path", "left_anti"))
         found = files.count()
-        here = self.store.chunks().join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi")
         failed = [r[0] for r in chunks.where("error is not null").select("file_path").distinct().orderBy("file_path").toLocalIterator()]
-        indexed, generated = here.agg(F.countDistinct("file_path"), F.count(F.lit(1))).first()
+        indexed, generated = self.store.chunks().join(here, "file_path", "left_semi").agg(F.countDistinct("file_path"), F.count(F.lit(1))).first()
+        release(files, chunks)
         return IndexReport(", ".join(map(str, directories)), found, indexed, found - indexed - len(failed), generated, embedded, failed)
 
     def index_directory(self, directory: str, recursive: bool = True, force_reindex: bool = False) -> IndexReport:
@@ -110,9 +111,10 @@ class Engine:
         return r["prompt"], r["n_chunks"]
 
     def build_file_prompt(self, path: str, text: str, user_prompt: str) -> str:
-        """A prompt about one file: its text after the context retrieved for it."""
-        prompt, _ = self.build_prompt(f"{user_prompt} file:{path}", self.config.file_prompt_top_k, self.config.file_prompt_chars)
-        return f"{prompt}\n\nFichier {path} :\n{text}"
+        """A prompt about one file: the context retrieved for it, if any, the request, the file's name and its fenced text."""
+        hits = self.retrieve(f"{user_prompt} file:{path}", self.config.file_prompt_top_k).withColumn("question_id", F.lit(1))
+        blocks = context.within_budget(context.with_blocks(hits), self.config.file_prompt_chars, "question_id").orderBy("rank").select("text").collect()
+        return context.file_prompt("\n".join(r[0] for r in blocks), user_prompt, path, text)
 
     def query(self, question: str, expand_deps: bool = True) -> str:
         """An answer to a question; the last turns go before the prompt, not into retrieval."""

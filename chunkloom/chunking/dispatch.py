@@ -26,7 +26,7 @@ def chunk_file(path: str, relative_path: str, ext: str | None, data: bytes | Non
     """Chunks of one file by its extension in lower case; an unknown extension gives none."""
     ext = (ext or "").lower()
     if ext in C.PDF_EXTENSIONS:
-        yield from chunk_pdf(*read_pdf(path), relative_path)
+        yield from chunk_pdf(*read_pdf(data), relative_path)
     elif ext in C.MARKDOWN_EXTENSIONS:
         yield from chunk_markdown(data, relative_path)
     elif ext in C.PROTO_EXTENSIONS:

@@ -75,11 +75,11 @@ def chunk_pdf(pages: list[str], toc: list[tuple[int, str, int]], relative_path:
             yield _doc(head + piece, "section", name, title_chapter(title), level, first, last)
 
 
-def read_pdf(path: str) -> tuple[list[str], list[tuple[int, str, int]]]:
+def read_pdf(data: bytes | None) -> tuple[list[str], list[tuple[int, str, int]]]:
     """Page texts and table of contents by the optional PDF library; raises where it is missing."""
     try:
         import fitz
     except ImportError as e:  # not part of this environment
         raise RuntimeError("reading PDF files needs the optional package pymupdf") from e
-    with fitz.open(path) as doc:
+    with fitz.open(stream=bytes(data or b""), filetype="pdf") as doc:
         return [p.get_text() for p in doc], [(lv, t, p) for lv, t, p, *_ in doc.get_toc()]

@@ -44,5 +44,7 @@ class EngineConfig:
     file_prompt_top_k: int = 6
     max_history_turns: int = 5
     embed_retries: int = 3
+    #: Whether indexing other directories than the last time empties the store first.
+    clear_on_other_directory: bool = False
     #: A query set up to this many rows is broadcast; a larger one goes in blocks of this size.
     query_block_rows: int = 2_000

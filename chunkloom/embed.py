@@ -49,20 +49,47 @@ def embed_batch(texts: list[str], embedder: Embedder, max_chars: int, retries: i
     return None
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, max_chars: int = 2000, batch: int = 128, retries: int = 3, out: str = "embeddings") -> DataFrame:
-    """``chunks`` with the vector column ``out``; null where the text's batch failed, so its file stays incomplete."""
+def embed_chunks(chunks: DataFrame, embedder: Embedder, max_chars: int = 2000, batch: int = 128, retries: int = 3, out: str = "embeddings", file_col: str = "file_path", order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """``chunks`` with the vector column ``out``; batches never cross files, so a file's outcome is its own.
+
+    Rows of a file come together by a shuffle and are embedded in ``order``.  From the first batch of a file that
+    fails on, its vectors are null, and the file stays incomplete.
+    """
     keep = [f for f in chunks.schema.fields if f.name != out]
     schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.FloatType()))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            texts = [t or "" for t in rows.column(rows.schema.get_field_index("content")).to_pylist()]
+        held: pa.Table | None = None  # the last rows of a file that may go on
+        failed: list = []  # the file that has failed, if any
+        for rows, is_last in _marked(batches):
+            part = pa.Table.from_batches([rows]) if rows is not None else None
+            table = part if held is None else held if part is None else pa.concat_tables([held, part])
+            if table is None:
+                continue
+            names, texts = table.column(file_col).to_pylist(), table.column("content").to_pylist()
             vectors: list = []
-            for at in range(0, len(texts), batch):
-                part = texts[at : at + batch]
-                vectors += embed_batch(part, embedder, max_chars, retries) or [None] * len(part)
-            cols = [rows.column(rows.schema.get_field_index(f.name)).cast(arrow.field(f.name).type) for f in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(vectors, arrow.field(out).type)], schema=arrow)
+            while (at := len(vectors)) < len(names):
+                end = at + 1
+                while end < len(names) and end - at < batch and names[end] == names[at]:
+                    end += 1
+                if end == len(names) and end - at < batch and not is_last:
+                    break
+                got = None if failed == [names[at]] else embed_batch([t or "" for t in texts[at:end]], embedder, max_chars, retries)
+                if got is None:
+                    failed = [names[at]]
+                vectors += got or [None] * (end - at)
+            done, held = table.slice(0, len(vectors)), table.slice(len(vectors))
+            if vectors:
+                cols = [done.column(f.name).combine_chunks().cast(arrow.field(f.name).type) for f in keep]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(vectors, arrow.field(out).type)], schema=arrow)
+
+    together = chunks.select(*(f.name for f in keep)).repartition(file_col).sortWithinPartitions(file_col, *order)
+    return together.mapInArrow(run, schema)
+
 
-    return chunks.select(*(f.name for f in keep)).mapInArrow(run, schema)
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, bool]]:
+    """The batches, and one more step at the end."""
+    for rows in batches:
+        yield rows, False
+    yield None, True

@@ -32,18 +32,18 @@ def lookup_symbols(chunks: DataFrame, symbols: DataFrame, limit: int = C.SYMBOL_
 def expand_dependencies(chunks: DataFrame, seeds: DataFrame, depth: int, limit: int = C.SYMBOL_LIMIT) -> DataFrame:
     """Breadth-first expansion along references; ``file_path, start_line, ..., distance, pos, depth``.
 
-    ``seeds`` has the chunk columns, ``distance`` and ``pos`` (its order).  Every level resolves each
+    ``seeds`` has the chunk columns, ``distance`` and ``pos`` (its order, a number or a text).  Every level resolves each
     reference to at most ``limit`` chunks (before duplicates go), drops what an earlier row of any level
     already has by ``(file_path, start_line)`` and appends the rest in order of parent position, reference
-    position and lookup rank.  Seeds themselves keep their duplicates.  An empty frontier ends it early.
+    position and lookup rank.  Only chunks that a level refers to are ranked.  Seeds themselves keep their duplicates.  An empty frontier ends it early.
     """
     cols = ["chunk_id", "file_path", "start_line", "symbol_name", "symbols_referenced"]
-    names = symbol_table(chunks.select(*cols), limit)
-    result = seeds.select(*cols, "distance", F.col("pos").cast("string").alias("pos"), F.lit(0).alias("depth"))
-    result = result.withColumn("pos", F.format_string("%08d", F.col("pos").cast("int")))
+    pos = F.col("pos") if dict(seeds.dtypes)["pos"] == "string" else F.format_string("%08d", F.col("pos").cast("int"))
+    result = seeds.select(*cols, "distance", pos.alias("pos"), F.lit(0).alias("depth"))
     frontier = result
     for level in range(1, depth + 1):
         edges = frontier.select(F.col("pos").alias("from_pos"), F.posexplode("symbols_referenced").alias("ref_pos", "symbol_name")).where("symbol_name <> ''")
+        names = symbol_table(chunks.select(*cols).join(edges.select("symbol_name").distinct(), "symbol_name", "left_semi"), limit)
         found = edges.join(names, "symbol_name").withColumn("pos", F.format_string("%s.%05d.%d", "from_pos", "ref_pos", "lookup_rank"))
         first = W.partitionBy(*KEYS).orderBy("pos")
         fresh = (

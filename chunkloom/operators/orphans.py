@@ -11,20 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.session import cut_lineage
+
 #: Characters that count as blanks at the ends of a referenced name.
 BLANKS = " \t\r\n\f\x0b\u00a0\u3000"
-#: Copies of each verdict row; a hot key's child rows spread over as many tasks.
-SALTS = 8
+#: A key with more than one of so many rows is split: a piece of it holds at most that share of all rows.
+PIECES = 4096
+#: Rows of a piece at least, below which no key is split.
+LEAST_PIECE = 10_000
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "inner", pieces: int = PIECES, least: int = LEAST_PIECE) -> DataFrame:
     """Join with at most one ``small`` row per key so that no key's ``big`` rows go to one task.
 
-    ``small`` is repeated once per salt; ``big`` takes the salt of its column ``salt_by``.  Rows with a
-    null key stay for ``how='left'`` and are dropped for ``how='inner'``.
+    The rows of each key are counted first.  Keys with more than ``1 / pieces`` of all rows, of which there are
+    fewer than ``pieces``, are split by the hash of ``salt_by`` into as many parts as they are times too large,
+    and their ``small`` rows are repeated as often.  Rows with a null key stay for ``how='left'`` and are dropped
+    for ``how='inner'``.
     """
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = cut_lineage(big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__c")))
+    limit = max(least, (counts.agg(F.sum("__c")).first()[0] or 0) // pieces)
+    hot = counts.where(F.col("__c") > limit).select(key, F.ceil(F.col("__c") / limit).cast("int").alias("__parts"))
+    left = big.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    right = small.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
@@ -93,7 +102,7 @@ def orphan_references(chunks: DataFrame, deleted: DataFrame, external: DataFrame
     empty reference arrays give no rows; empty tables give an empty result.
     """
     chunks = chunks.select("chunk_id", "file_path", "symbol_name", "symbols_referenced", "indexed_at")
-    life = chunk_lifetimes(chunks, deleted.select("file_path", "deleted_at"))
+    life = cut_lineage(chunk_lifetimes(chunks, deleted.select("file_path", "deleted_at")))
     refs = (
         life.where("live")
         .select("chunk_id", "arrived_at", F.explode(F.array_distinct(F.transform("symbols_referenced", trimmed))).alias("key"))

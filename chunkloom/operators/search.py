@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chunkloom.functions.columns import cosine_distance
 
@@ -45,76 +46,97 @@ def topk_with_fallback(vectors: DataFrame, query: list[float], k: int, id_col: s
     return both.withColumn("__first", F.min("__pass").over(W.partitionBy())).where("__pass = __first").drop("__pass", "__first")
 
 
+def _usable(lists, dim: int):
+    """Which vectors of an Arrow list column have ``dim`` finite numbers that are not all zero, and these as a matrix."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), -1))
+    fits = np.flatnonzero(size == dim)
+    x = np.asarray(lists.take(pa.array(fits)).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(-1, dim)
+    norm = np.sqrt((x * x).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return fits[good], x[good] / norm[good, None]
+
+
+def _nearest(d, rank, k: int):
+    """Columns of the ``k`` smallest by distance, then rank, of every row."""
+    import numpy as np
+
+    width = 4 * k
+    if d.shape[1] > width:
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        if ((d <= edge).sum(1) <= width).all():
+            few = np.argpartition(d, width - 1, axis=1)[:, :width]
+            pick = np.lexsort((np.take_along_axis(rank, few, 1), np.take_along_axis(d, few, 1)), axis=1)[:, :k]
+            return np.take_along_axis(few, pick, 1)
+    return np.lexsort((rank, d), axis=1)[:, :k]
+
+
 def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, block_rows: int = 2_000) -> DataFrame:
     """For every query row its ``k`` nearest rows: ``query_id, <id>, distance, rank``; exact.
 
     The query set is taken in blocks of at most ``block_rows`` rows, each of which is held by every scan
     task as one matrix; a task multiplies it with its vectors and keeps ``k`` candidates per query, so
     ``queries x tasks x k`` small rows are shuffled and no pair list is ever built.  Vectors that are null,
-    of another size, not finite or all zero take no part; a query that is itself a row finds itself.
+    of another size, not finite or all zero take no part; a query that is itself a row finds itself.  The first
+    usable query names the size.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     id_type = vectors.schema[id_col].dataType
     schema = T.StructType([T.StructField("query_id", queries.schema[id_col].dataType), T.StructField(id_col, id_type), T.StructField("distance", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
 
-    def usable(ids, vecs, dim=None):
-        keep, rows = [], []
-        for i, v in zip(ids, vecs, strict=True):
-            if v is None:
-                continue
-            a = np.asarray(v, dtype="f8")
-            if (dim is None or len(a) == dim) and len(a) and np.isfinite(a).all() and a.any():
-                keep.append(i)
-                rows.append(a)
-        return keep, rows
-
-    def scan(qid: list, qmat: np.ndarray):
-        qn = np.sqrt((qmat * qmat).sum(1))
-
+    def scan(qid: pa.Array, unit: np.ndarray):
         def run(batches):
-            best_d, best_i = np.full((len(qid), 0), 0.0), np.empty((len(qid), 0), dtype=object)
-            for pdf in batches:
-                ids, rows = usable(pdf[id_col], pdf[vec_col], qmat.shape[1])
-                for at in range(0, len(ids), SCAN_BLOCK):
-                    m = np.asarray(rows[at : at + SCAN_BLOCK])
-                    d = np.round(1.0 - (qmat @ m.T) / (qn[:, None] * np.sqrt((m * m).sum(1))[None, :]), 6)
-                    names = np.empty(len(m), dtype=object)
-                    names[:] = ids[at : at + SCAN_BLOCK]
-                    d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(names, d.shape)])
-                    order = np.argsort(i, axis=1, kind="stable")
-                    d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-                    order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            if best_d.size:
-                n = best_d.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(np.asarray(qid, dtype=object), n), id_col: best_i.ravel(), "distance": best_d.ravel()})
+            best = np.zeros((len(qid), 0))
+            at = np.zeros((len(qid), 0), "i8")  # places in names
+            names = None
+            for batch in batches:
+                rows, x = _usable(batch.column(1), unit.shape[1])
+                for lo in range(0, len(rows), SCAN_BLOCK):
+                    ids = batch.column(0).take(pa.array(rows[lo : lo + SCAN_BLOCK]))
+                    known = 0 if names is None else len(names)
+                    names = ids if names is None else pa.concat_arrays([names, ids])
+                    rank = np.empty(len(names), "i8")
+                    rank[np.asarray(pc.sort_indices(names))] = np.arange(len(names))
+                    d = np.round(1.0 - unit @ x[lo : lo + SCAN_BLOCK].T, 6) + 0.0
+                    new = np.broadcast_to(known + np.arange(d.shape[1]), d.shape)
+                    best, at = np.hstack([best, d]), np.hstack([at, new])
+                    pick = _nearest(best, rank[at], k)
+                    best, at = np.take_along_axis(best, pick, 1), np.take_along_axis(at, pick, 1)
+                    used, at = np.unique(at, return_inverse=True)
+                    names, at = names.take(pa.array(used)), at.reshape(best.shape)
+            if best.size:
+                yield pa.RecordBatch.from_arrays([qid.take(pa.array(np.repeat(np.arange(len(qid)), best.shape[1]))).cast(arrow.field(0).type), names.take(pa.array(at.ravel())).cast(arrow.field(1).type), pa.array(best.ravel())], schema=arrow)
 
         return run
 
-    spark = vectors.sparkSession
-    out, block_ids, block_rows_ = None, [], []
+    out, dim, ids, rows = None, None, [], []
 
     def flush():
-        nonlocal out, block_ids, block_rows_
-        if block_ids:
-            part = vectors.select(id_col, vec_col).mapInPandas(scan(block_ids, np.asarray(block_rows_)), schema)
+        nonlocal out, ids, rows
+        if ids:
+            x = np.asarray(rows, "f8")
+            part = vectors.select(id_col, vec_col).mapInArrow(scan(pa.array(ids, arrow.field(0).type), x / np.sqrt((x * x).sum(1))[:, None]), schema)
             out = part if out is None else out.unionByName(part)
-        block_ids, block_rows_ = [], []
+        ids, rows = [], []
 
-    dim = None
     for r in queries.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).toLocalIterator():
-        ids, rows = usable([r[0]], [r[1]], dim)
-        if ids:
-            dim = dim or len(rows[0])
-            block_ids += ids
-            block_rows_ += rows
-        if len(block_ids) >= block_rows:
+        v = np.asarray([np.nan if x is None else x for x in r[1]], "f8")
+        if len(v) and (dim is None or len(v) == dim) and np.isfinite(v).all() and v.any():
+            dim = dim or len(v)
+            ids.append(r[0])
+            rows.append(v)
+        if len(ids) >= block_rows:
             flush()
     flush()
     if out is None:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
     w = W.partitionBy("query_id").orderBy("distance", id_col)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

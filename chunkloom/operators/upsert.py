@@ -51,10 +51,11 @@ def complete_hashes(embedded: DataFrame, vec_col: str = "embeddings") -> DataFra
     )
 
 
-def index_report(directory_of_files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Counters per directory: found, indexed (files with a chunk), cached (found without), chunks, embedded.
+def index_report(directory_of_files: DataFrame, chunks: DataFrame, failed: DataFrame) -> DataFrame:
+    """Counters per directory: found, indexed (files with a chunk), failed, cached (the rest), chunks, embedded.
 
-    ``directory_of_files`` has ``directory, path``; ``chunks`` has ``directory, file_path, embeddings``.
+    ``directory_of_files`` has ``directory, path``; ``chunks`` has ``directory, file_path, embeddings``;
+    ``failed`` has ``directory, failed_files``, whose distinct entries count, blank and null ones not.
     """
     found = directory_of_files.groupBy("directory").agg(F.count(F.lit(1)).alias("files_found"))
     made = chunks.groupBy("directory").agg(
@@ -62,7 +63,8 @@ def index_report(directory_of_files: DataFrame, chunks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("chunks_generated"),
         F.count(F.when(F.size("embeddings") > 0, 1)).alias("chunks_embedded"),
     )
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return found.join(made, "directory", "left").select(
-        "directory", zero("files_found"), zero("files_indexed"), (F.col("files_found") - F.coalesce("files_indexed", F.lit(0))).cast("bigint").alias("files_cached"), zero("chunks_generated"), zero("chunks_embedded")
-    )
+    named = failed.select("directory", F.explode("failed_files").alias("f")).where(F.trim("f") != "").groupBy("directory").agg(F.countDistinct("f").alias("files_failed"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    cached = zero("files_found") - zero("files_indexed") - zero("files_failed")
+    counters = ("files_found", "files_indexed", "files_failed", "chunks_generated", "chunks_embedded")
+    return found.join(made, "directory", "left").join(named, "directory", "left").select("directory", *(zero(c).alias(c) for c in counters), cached.alias("files_cached"))

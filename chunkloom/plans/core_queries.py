@@ -76,6 +76,7 @@ def topk_batch(spark, d):
 # ---------------------------------------------------------------- scan, log, filters
 
 _EXT_SQL = "lower(regexp_extract(relative_path, '(\\.[^./]+)$', 1))"
+_SQL = lambda x: x.replace("'", "''")
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
 
@@ -338,12 +339,12 @@ def store_stats(spark, d):
 
 @query(
     "index_report",
-    "SELECT f.directory, files_found::bigint AS files_found, coalesce(files_indexed, 0)::bigint AS files_indexed, (files_found - coalesce(files_indexed, 0))::bigint AS files_cached, coalesce(g, 0)::bigint AS chunks_generated, coalesce(e, 0)::bigint AS chunks_embedded FROM (SELECT directory, count(*) AS files_found FROM files WHERE directory IS NOT NULL GROUP BY directory) f LEFT JOIN (SELECT directory, count(DISTINCT file_path) AS files_indexed, count(*) AS g, count(CASE WHEN len(embeddings) > 0 THEN 1 END) AS e FROM code_chunks GROUP BY directory) c ON c.directory = f.directory",
+    "SELECT f.directory, files_found::bigint AS files_found, coalesce(files_indexed, 0)::bigint AS files_indexed, coalesce(files_failed, 0)::bigint AS files_failed, (files_found - coalesce(files_indexed, 0) - coalesce(files_failed, 0))::bigint AS files_cached, coalesce(g, 0)::bigint AS chunks_generated, coalesce(e, 0)::bigint AS chunks_embedded FROM (SELECT directory, count(*) AS files_found FROM files WHERE directory IS NOT NULL GROUP BY directory) f LEFT JOIN (SELECT directory, count(DISTINCT file_path) AS files_indexed, count(*) AS g, count(CASE WHEN len(embeddings) > 0 THEN 1 END) AS e FROM code_chunks GROUP BY directory) c ON c.directory = f.directory LEFT JOIN (SELECT directory, count(DISTINCT x) AS files_failed FROM (SELECT directory, unnest(failed_files) AS x FROM index_report) WHERE trim(x) <> '' GROUP BY directory) r ON r.directory = f.directory",
 )
 def index_report(spark, d):
-    """A1-A4: counters per directory."""
+    """A1-A4: counters per directory, with the files that runs named as failed."""
     files = table(spark, d, "files").where("directory IS NOT NULL").select("directory", "path")
-    return upsert.index_report(files, table(spark, d, "code_chunks").select("directory", "file_path", "embeddings"))
+    return upsert.index_report(files, table(spark, d, "code_chunks").select("directory", "file_path", "embeddings"), table(spark, d, "index_report").select("directory", "failed_files"))
 
 
 @query("dispatch", f"SELECT kind, count(*)::bigint AS n FROM (SELECT CASE WHEN e = '.pdf' THEN 'pdf' WHEN e IN ('.md', '.rst') THEN 'markdown' WHEN e = '.proto' THEN 'proto' WHEN e = '.py' THEN 'python' WHEN e IN {_IN(C.CODE_EXTENSIONS)} THEN 'cpp' ELSE 'none' END AS kind FROM (SELECT {_EXT_SQL} AS e FROM files)) GROUP BY kind")
@@ -436,7 +437,7 @@ def symbol_lookup(spark, d):
     return expand.lookup_symbols(_distinct_chunks(spark, d), refs).select("symbol_name", "chunk_id", "lookup_rank", "distance")
 
 
-_SEEDS = f"(SELECT *, (row_number() OVER (ORDER BY chunk_id) - 1) AS pos FROM (SELECT * FROM {_CHUNKS} ORDER BY chunk_id LIMIT 20))"
+_SEEDS = "(SELECT DISTINCT chunk_id, file_path, start_line, symbol_name, symbols_referenced, chunk_id AS pos FROM code_chunks WHERE chunk_type = 'class')"
 
 
 def _level(n: int) -> str:
@@ -451,19 +452,19 @@ def _level(n: int) -> str:
 def _expand_sql(depth: int) -> str:
     levels = ",\n    ".join(_level(n) for n in range(1, depth + 1))
     out = " UNION ALL ".join(f"SELECT chunk_id, pos, depth::int AS depth FROM l{k}" for k in range(depth + 1))
-    return f"WITH sym AS {_SYM}, l0 AS (SELECT chunk_id, file_path, start_line, symbol_name, symbols_referenced, format('{{:08d}}', pos) AS pos, 0 AS depth FROM {_SEEDS}),\n    {levels}\n    {out}"
+    return f"WITH sym AS {_SYM}, l0 AS (SELECT chunk_id, file_path, start_line, symbol_name, symbols_referenced, pos, 0 AS depth FROM {_SEEDS}),\n    {levels}\n    {out}"
 
 
 def _expand(spark, d, depth):
     chunks = _distinct_chunks(spark, d)
-    seeds = chunks.orderBy("chunk_id").limit(20)  # the hits of a search are at most k rows
-    seeds = seeds.withColumn("pos", F.row_number().over(W.partitionBy().orderBy("chunk_id")) - 1).withColumn("distance", F.lit(0.1))
+    seeds = table(spark, d, "code_chunks").where("chunk_type = 'class'").select(*chunks.columns).distinct()
+    seeds = seeds.select("*", F.col("chunk_id").alias("pos"), F.lit(0.1).alias("distance"))
     return expand.expand_dependencies(chunks, seeds, depth).select("chunk_id", "pos", "depth")
 
 
 @query("dep_expand_1", _expand_sql(1))
 def dep_expand_1(spark, d):
-    """J1/J3, one level from twenty hits."""
+    """J1/J3, one level from every class."""
     return _expand(spark, d, 1)
 
 
@@ -517,7 +518,7 @@ def context_budget(spark, d):
     f"""WITH q AS (SELECT DISTINCT source AS question_id, 'Que fait ' || source || '?' AS question FROM documents WHERE source IS NOT NULL UNION ALL SELECT '-', 'Rien?'),
     c AS (SELECT question_id, string_agg(CASE WHEN fits THEN block ELSE substr(block, 1, room::int) || chr(10) || '[... tronqué ...]' END, chr(10) ORDER BY rank) AS context FROM ({_BUDGET}) GROUP BY question_id),
     n AS (SELECT question_id, count(*) AS n FROM {_DOC_HITS} GROUP BY question_id)
-    SELECT q.question_id, sha256(CASE WHEN n.n IS NULL THEN 'Aucun contexte trouvé.' || chr(10) || chr(10) || 'Question : ' || question ELSE 'Contexte :' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question : ' || question END) AS prompt_hash, coalesce(n.n, 0)::bigint AS n_chunks FROM q LEFT JOIN c ON c.question_id = q.question_id LEFT JOIN n ON n.question_id = q.question_id""",
+    SELECT q.question_id, sha256(CASE WHEN n.n IS NULL THEN 'Question : ' || question || '{_SQL(ctx.NO_CONTEXT)}' ELSE '{_SQL(ctx.INSTRUCTION)}' || coalesce(context, '') || '{_SQL(ctx.SEPARATOR)}' || 'Question : ' || question || '{_SQL(ctx.CLOSING)}' END) AS prompt_hash, coalesce(n.n, 0)::bigint AS n_chunks FROM q LEFT JOIN c ON c.question_id = q.question_id LEFT JOIN n ON n.question_id = q.question_id""",
 )
 def prompt_build(spark, d):
     """L2: prompts of all questions at once, compared by hash."""
@@ -530,12 +531,11 @@ def prompt_build(spark, d):
 
 @query(
     "history_window",
-    "SELECT event_id, coalesce(string_agg('Q: ' || event_type || chr(10) || 'R: ' || props || chr(10) || chr(10), '' ORDER BY event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS history FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND props IS NOT NULL",
+    "SELECT event_id, coalesce(string_agg('Q: ' || coalesce(event_type, '') || chr(10) || 'R: ' || coalesce(props, '') || chr(10) || chr(10), '' ORDER BY event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS history FROM events ",
 )
 def history_window(spark, d):
     """The five turns before each turn."""
-    ev = table(spark, d, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL AND props IS NOT NULL")
-    return ctx.history_window(ev, "user_id", "event_id", "event_type", "props").select("event_id", "history")
+    return ctx.history_window(table(spark, d, "events"), "user_id", "event_id", "event_type", "props").select("event_id", "history")
 
 
 # ---------------------------------------------------------------- orphan references

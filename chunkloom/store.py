@@ -1,27 +1,28 @@
-"""The chunk store: versioned Parquet snapshots behind an atomic pointer file.
+"""The chunk store: Parquet batches that are only ever added to, and numbered commits that say which ones count.
 
-A snapshot is never changed after it is published; a write reads the current one, writes the next and swaps
-the pointer.  Readers of an older snapshot are not disturbed.
+A write adds one batch with the rows of the files it touches and names these files dead in all batches before
+it; its cost follows the change, not the store.  A commit is a small file that must not exist yet, so of two
+writers at once one fails.  Readers of an older commit are not disturbed; ``vacuum`` merges the batches.  All
+access goes through Hadoop's file system, so the store can stand wherever Spark can read and write.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkloom.embed import Embedder, embed_chunks
 from chunkloom.config import EngineConfig
+from chunkloom.embed import Embedder, embed_chunks
 from chunkloom.operators import upsert
 from chunkloom.schema import CHUNKS, FILE_HASHES
 
 STORED = T.StructType([*CHUNKS.fields, T.StructField("directory", T.StringType()), T.StructField("indexed_at", T.TimestampType()), T.StructField("embeddings", T.ArrayType(T.FloatType()))])
+DEAD = T.StructType([T.StructField("file_path", T.StringType())])
+PARTS = {"chunks": STORED, "file_hashes": FILE_HASHES, "dead": DEAD}
 
 
 class ChunkStore:
@@ -29,49 +30,83 @@ class ChunkStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.root = Path(path)
-        self.root.mkdir(parents=True, exist_ok=True)
-        self.pointer = self.root / "CURRENT"
-
-    def _current(self) -> Path | None:
-        if not self.pointer.exists():
-            return None
+        self.root = str(path).rstrip("/")
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path("commits"))
+
+    # -- commits
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _last(self) -> tuple[int, list[dict]]:
+        """Number of the last commit and its batches, each ``{"at": number, part: folder, ...}``."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path("commits"))]
+        numbers = [int(n[:-5]) for n in names if n.endswith(".json")]
+        if not numbers:
+            return 0, []
+        stream = self._fs.open(self._path(f"commits/{max(numbers)}.json"))
+        try:
+            text = self.spark._jvm.java.lang.String(stream.readAllBytes(), "UTF-8")
+        finally:
+            stream.close()
         try:
-            version = json.loads(self.pointer.read_text())["version"]
+            return max(numbers), json.loads(str(text))["batches"]
         except (ValueError, KeyError) as e:
-            raise RuntimeError(f"the store's pointer file {self.pointer} cannot be read; nothing was deleted") from e
-        return self.root / version
+            raise RuntimeError(f"commit {max(numbers)} of the store {self.root} cannot be read; nothing was deleted") from e
+
+    def _commit(self, number: int, batches: list[dict]) -> None:
+        out = self._fs.create(self._path(f"commits/{number}.json"), False)
+        try:
+            out.write(bytearray(json.dumps({"batches": batches}).encode()))
+        finally:
+            out.close()
+
+    def _batch(self, number: int, **parts: DataFrame) -> dict:
+        """Writes the parts of a batch; a folder that no commit names is removed by ``vacuum``."""
+        batch: dict = {"at": number}
+        for part, df in parts.items():
+            folder = f"{part}/{uuid.uuid4().hex}"
+            df.select(*PARTS[part].fieldNames()).write.parquet(f"{self.root}/{folder}")
+            batch[part] = folder
+        return batch
+
+    def _read(self, part: str) -> DataFrame:
+        """The live rows of a part: those of no file that a later batch names dead."""
+        rows, dead = (self._numbered(name) for name in (part, "dead"))
+        if rows is None:
+            return self.spark.createDataFrame([], PARTS[part])
+        if dead is None:
+            return rows.drop("__at")
+        ends = dead.groupBy("file_path").agg(F.max("__at").alias("__end"))
+        return rows.join(ends, "file_path", "left").where(F.col("__end").isNull() | (F.col("__at") >= F.col("__end"))).select(*PARTS[part].fieldNames())
+
+    def _numbered(self, part: str) -> DataFrame | None:
+        out = None
+        for b in self._last()[1]:
+            if part in b:
+                df = self.spark.read.schema(PARTS[part]).parquet(f"{self.root}/{b[part]}").withColumn("__at", F.lit(b["at"]))
+                out = df if out is None else out.unionByName(df)
+        return out
+
+    # -- reading
 
     def chunks(self) -> DataFrame:
-        at = self._current()
-        return self.spark.read.schema(STORED).parquet(str(at / "chunks")) if at else self.spark.createDataFrame([], STORED)
+        return self._read("chunks")
 
     def file_hashes(self) -> DataFrame:
-        at = self._current()
-        return self.spark.read.schema(FILE_HASHES).parquet(str(at / "file_hashes")) if at else self.spark.createDataFrame([], FILE_HASHES)
-
-    def _publish(self, chunks: DataFrame, hashes: DataFrame) -> None:
-        version = f"v={uuid.uuid4().hex}"
-        at = self.root / version
-        chunks.select(*STORED.fieldNames()).write.parquet(str(at / "chunks"))
-        hashes.select(*FILE_HASHES.fieldNames()).write.parquet(str(at / "file_hashes"))
-        temporary = self.root / f"CURRENT.{uuid.uuid4().hex}"
-        temporary.write_text(json.dumps({"version": version}))
-        os.replace(temporary, self.pointer)
-
-    def vacuum(self) -> int:
-        """Deletes the snapshots that are no longer current; returns how many."""
-        current = self._current()
-        old = [p for p in self.root.glob("v=*") if p != current]
-        for p in old:
-            shutil.rmtree(p)
-        return len(old)
+        return self._read("file_hashes")
 
     def changed_files(self, files: DataFrame) -> DataFrame:
         """The rows of ``files`` whose hash is not stored; taken before chunking, so cached files cost a hash only."""
         plan = upsert.upsert_plan(files, self.file_hashes()).where("action <> 'cached'").select(F.col("file_path").alias("path"), "file_hash")
         return files.join(plan, ["path", "file_hash"], "left_semi")
 
+    def stats(self) -> dict:
+        return {"total_chunks": self.chunks().count(), "total_files_indexed": self.file_hashes().count(), "persist_dir": self.root}
+
+    # -- writing
+
     def upsert(self, chunks: DataFrame, embedder: Embedder, config: EngineConfig) -> int:
         """Embeds and stores the chunks of changed files; returns the number embedded.
 
@@ -84,28 +119,47 @@ class ChunkStore:
                 chunks = chunks.withColumn(name, F.lit(None).cast(STORED[name].dataType))
         good = chunks.select(*wanted).where(F.col("error").isNull() & F.col("chunk_id").isNotNull())
         fresh = upsert.latest_per_key(good, "chunk_id", "file_start_line", "file_hash")
-        staged = self.root / f"staged={uuid.uuid4().hex}"
+        number, batches = self._last()
+        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
         try:
-            embedded = embed_chunks(fresh, embedder, config.max_embed_chars, config.embed_batch_size, config.embed_retries)
-            embedded.withColumn("indexed_at", F.current_timestamp()).select(*STORED.fieldNames()).write.parquet(str(staged))
-            new = self.spark.read.schema(STORED).parquet(str(staged))
+            embedded = embed_chunks(fresh, embedder, config.max_embed_chars, config.embed_batch_size, config.embed_retries, order=("file_start_line", "page_start", "chunk_id"))
+            embedded.withColumn("indexed_at", F.current_timestamp()).select(*STORED.fieldNames()).write.parquet(staged)
+            new = self.spark.read.schema(STORED).parquet(staged)
             complete = upsert.complete_hashes(new)
             done = new.join(complete.select("file_path"), "file_path", "left_semi")
-            stored, hashes = self.chunks(), self.file_hashes()
-            kept = hashes.join(complete.select("file_path"), "file_path", "left_anti")
-            self._publish(upsert.replace_files(stored, done, complete), kept.unionByName(complete))
-            return done.count()
+            count = done.count()
+            if count:
+                self._commit(number + 1, [*batches, self._batch(number + 1, chunks=done, file_hashes=complete, dead=complete)])
+            return count
         finally:
-            shutil.rmtree(staged, ignore_errors=True)
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
 
-    def delete_files(self, paths: list[str]) -> None:
-        """Removes the chunks and hashes of the given files in one snapshot."""
-        gone = F.col("file_path").isin(list(paths))
-        self._publish(self.chunks().where(~F.coalesce(gone, F.lit(False))), self.file_hashes().where(~F.coalesce(gone, F.lit(False))))
+    def delete_files(self, paths: list[str] | DataFrame) -> None:
+        """Removes the chunks and hashes of the given files in one commit."""
+        gone = paths.select("file_path") if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], DEAD)
+        number, batches = self._last()
+        self._commit(number + 1, [*batches, self._batch(number + 1, dead=gone.distinct())])
 
     def clear(self) -> None:
-        """Publishes an empty snapshot."""
-        self._publish(self.spark.createDataFrame([], STORED), self.spark.createDataFrame([], FILE_HASHES))
+        """Commits an empty store."""
+        self._commit(self._last()[0] + 1, [])
 
-    def stats(self) -> dict:
-        return {"total_chunks": self.chunks().count(), "total_files_indexed": self.file_hashes().count(), "persist_dir": str(self.root)}
+    def vacuum(self) -> int:
+        """Merges all batches into one and deletes folders and commits that no longer count; returns how many folders."""
+        number, batches = self._last()
+        if len(batches) > 1:
+            number += 1
+            batches = [self._batch(number, chunks=self.chunks(), file_hashes=self.file_hashes())]
+            self._commit(number, batches)
+        live = {b[part] for b in batches for part in PARTS if part in b}
+        removed = 0
+        for part in PARTS:
+            if self._fs.exists(self._path(part)):
+                for s in self._fs.listStatus(self._path(part)):
+                    if f"{part}/{s.getPath().getName()}" not in live:
+                        self._fs.delete(s.getPath(), True)
+                        removed += 1
+        for s in self._fs.listStatus(self._path("commits")):
+            if s.getPath().getName() != f"{number}.json":
+                self._fs.delete(s.getPath(), False)
+        return removed

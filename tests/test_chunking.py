@@ -144,3 +144,17 @@ def test_text_rules():
 def test_dispatch_by_extension():
     assert list(chunk_file("/a.txt", "a.txt", ".txt", b"x")) == [] and list(chunk_file("/a", "a", None, None)) == []
     assert len(list(chunk_file("/a.PY", "a.PY", ".PY", PY))) == 5
+
+
+def test_proto_without_context_and_short_types():
+    from chunkloom.chunking.proto import chunk_proto, references
+
+    (c,) = chunk_proto(b"message M {\n  A a = 1;\n  myT y = 2;\n}\n", "a.proto")
+    assert c["content"].startswith("// File: a.proto\n\nmessage M {")
+    assert references("A a = 1; myT y = 2; repeated Bar b = 3; myType z = 4;", "message") == ["Bar", "Type"]
+
+
+def test_proto_block_that_closes_too_often_is_open():
+    from chunkloom.chunking.proto import blocks
+
+    assert list(blocks(["message A {", "  x", "}}", "y"])) == [("message", "A", 1, 5)]

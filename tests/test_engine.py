@@ -88,3 +88,53 @@ def test_stream(spark, tmp_path):
         index_stream(spark, str(src), store, hashing_embedder(8), str(tmp_path / "cp")).awaitTermination()
     assert store.chunks().count() == 1 and store.file_hashes().count() == 1
     assert store.chunks().where(F.size("embeddings") == 8).count() == 1
+
+
+def test_an_oversize_chunk_fails_its_own_file_only(spark):
+    from chunkloom.embed import embed_chunks
+
+    rows = [(f"{f}{n}", f, "x" * (300 if (f, n) == ("b", 2) else 10)) for f in "abc" for n in range(5)]
+    df = spark.createDataFrame(rows, "chunk_id string, file_path string, content string")
+    for parts in (1, 7):
+        done = embed_chunks(df.repartition(parts), hashing_embedder(4), max_chars=100, batch=2, retries=1).collect()
+        assert sorted(r.chunk_id for r in done if r.embeddings is None) == ["b2", "b3", "b4"]
+        assert len(done) == 15
+
+
+def test_an_upsert_writes_what_changed(spark, tmp_path):
+    def size():
+        return sum(p.stat().st_size for p in (tmp_path / "store").rglob("*.parquet"))
+
+    (tmp_path / "src").mkdir()
+    for n in range(40):
+        (tmp_path / "src" / f"f{n}.py").write_text("def f(a):\n" + "".join(f"    x{k} = '{n * k * 7919}'\n" for k in range(60)) + "    return a\n")
+    e = Engine(spark, f"file://{tmp_path}/store", embedder=hashing_embedder(256))
+    e.index_directory(str(tmp_path / "src"))
+    first = size()
+    (tmp_path / "src" / "f1.py").write_text("def f(a):\n    x = 1\n    y = 2\n    return a\n")
+    assert e.index_directory(str(tmp_path / "src")).chunks_embedded == 1
+    assert size() - first < 0.6 * first
+    assert e.store.chunks().count() == 40 and e.store.file_hashes().count() == 40
+    e.delete_file(str(tmp_path / "src" / "f2.py"))
+    assert e.store.chunks().count() == 39
+    e.store.vacuum()
+    assert e.store.chunks().count() == 39 and e.store.file_hashes().count() == 39
+
+
+def test_clear_on_other_directory(spark, tmp_path):
+    for d in ("a", "b"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "m.py").write_text("def f(a):\n    x = 1\n    y = 2\n    return a\n")
+    e = Engine(spark, str(tmp_path / "store"), config=EngineConfig(clear_on_other_directory=True))
+    e.index_directory(str(tmp_path / "a"))
+    e.index_directory(str(tmp_path / "b"))
+    assert e.stats()["total_chunks"] == 1
+
+
+def test_flat_folder_is_split(tmp_path):
+    from chunkloom.sources import tree as source
+
+    for n in range(2500):
+        (tmp_path / f"f{n}.py").touch()
+    parts = source._TreeReader({"roots": str(tmp_path)}).partitions()
+    assert [len(p.names) for p in parts] == [1000, 1000, 500]

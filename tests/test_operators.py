@@ -112,6 +112,47 @@ def test_markdown_sections_of_any_type_and_line_end(spark, sf, tmp_path):
     rows = [(k, kind, "T", text.replace("\n", end)) for k, (kind, end) in enumerate([("guide", "\n"), ("guide", "\r\n"), ("note", "\r"), (None, "\n")])]
     spark.createDataFrame(rows, "doc_id long, doc_type string, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {}
-    for r in QUERIES["md_sections_all"](spark, str(tmp_path)).collect():
+    for r in QUERIES["md_sections"](spark, str(tmp_path)).collect():
         got.setdefault(r.doc_id, []).append((r.ordinal, r.section, r.n_chars))
     assert {k: sorted(v) for k, v in got.items()} == {k: [(1, "One", 120), (2, "Two", 130)] for k in range(4)}
+
+
+def sizes(df):
+    return sorted(r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect())
+
+
+def test_hot_key_is_split_by_its_count(spark):
+    big = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("key"), "id")
+    small = big.select("key").distinct().withColumn("v", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = orphans.salted_join(big, small, "key", "id", pieces=64, least=100)
+        assert joined.count() == 60_000 and joined.select("id").distinct().count() == 60_000
+        got = sizes(joined)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[-1] <= 2 * 60_000 / 4
+
+
+def test_salted_left_join_keeps_null_keys(spark):
+    big = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "key string, id int")
+    small = spark.createDataFrame([("a", 9)], "key string, v int")
+    assert sorted((r.id, r.v) for r in orphans.salted_join(big, small, "key", "id", "left").collect()) == [(1, 9), (2, None), (3, None)]
+
+
+def test_long_conversation_is_split(spark):
+    turns = spark.range(500).select(F.when(F.col("id") < 450, 1).otherwise(2).alias("c"), "id", F.col("id").cast("string").alias("q"), F.lit(None).cast("string").alias("a"))
+    got = {r.id: r.history for r in context.history_window(turns, "c", "id", "q", "a", span=50).collect()}
+    assert len(got) == 500
+    for n, text in got.items():
+        first = 0 if n < 450 else 450
+        assert text == "".join(f"Q: {k}\nR: \n\n" for k in range(max(first, n - 5), n))
+
+
+def test_budget_drops_rows_that_cannot_matter(spark):
+    hits = spark.range(5000).select((F.col("id") % 1 + 1).alias("g"), F.col("id").alias("pos"), (F.col("id") / 5000).alias("distance"), F.lit("h" * 25).alias("header"), F.repeat(F.lit("x"), F.lit(30)).alias("block"))
+    got = context.within_budget(hits, 1000, "g")
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.pos for r in got.orderBy("rank").collect()] == list(range(33))
