@@ -104,5 +104,11 @@ def release(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where it has fewer partitions than there are; a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
