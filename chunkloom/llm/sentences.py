@@ -8,8 +8,9 @@ full stops that end a block (boundaries), and full stops before a lower-case wor
 and before a number (none).
 
 Two inputs are computed from the corpus: counts of how often a word stands before a full stop inside a block
-and how often it begins one (all documents, in ``BUCKETS`` hash buckets, so of fixed size), and the model's
-weights (from the candidates of at most ``SAMPLE_DOCS`` documents, the first by hash of their id).
+and how often it begins one (over all documents; words that are more than one in ``NAMED`` have counts of their
+own, the others share ``BUCKETS`` hash buckets, so the size is fixed), and the model's weights (from the
+candidates of at most ``SAMPLE_DOCS`` documents, the first by hash).
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Hash buckets of the word counts.
+from chunkloom.session import cut_lineage, release, spread
+
+#: Words with a count of their own are at least one in so many of all words; hash buckets of the rest.
+NAMED = 1 << 17
 BUCKETS = 1 << 17
 #: Hash buckets of the model's features.
 FEATURES = 1 << 16
@@ -136,54 +141,70 @@ def _continues(before: str, mark: str) -> bool:
     return mark.strip()[:1].isalnum() and bool(before.strip()) and before.rstrip()[-1] not in STOPS + ":;" + CLOSERS and not _LIST.match(before)
 
 
+_PAIRED = re.compile("[" + re.escape('"' + "".join(OPEN) + "".join(OPEN.values())) + "]")
+_CLOSES = {c: {o for o in OPEN if c in OPEN[o]} for c in "".join(OPEN.values())} | {'"': {'"'}}
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Matching quotes and brackets of a block as ``(open, close)``, outermost first; unmatched ones are left out."""
     out: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
-    for i, c in enumerate(text):
-        if c == '"':
-            hit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if hit is None:
-                stack.append((c, i))
-            else:
-                out.append((stack[hit][1], i))
-                del stack[hit:]
-            continue
-        hit = next((k for k in range(len(stack) - 1, -1, -1) if c in OPEN.get(stack[k][0], "")), None)
-        if hit is not None:
+    for m in _PAIRED.finditer(text):
+        c, i = m[0], m.start()
+        hit = -1
+        if openers := _CLOSES.get(c):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in openers:
+                    hit = k
+                    break
+        if hit >= 0:
             out.append((stack[hit][1], i))
             del stack[hit:]
-        elif c in OPEN:
+        elif c == '"' or c in OPEN:
             stack.append((c, i))
     return sorted(out)
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % BUCKETS
+@functools.lru_cache(maxsize=1 << 16)
+def word_key(word: str) -> int:
+    """A word's hash, as a signed 64-bit number."""
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
 class Counts(NamedTuple):
-    """Per bucket, how often a word stands: before a full stop inside a block, before anything else (both
-    without case), at the beginning of a block, after a word or comma, after a full stop (with case)."""
+    """Per word, how often it stands: before a full stop inside a block, before anything else (both without
+    case), at the beginning of a block, after a word or comma, after a full stop (with case).
+
+    ``named`` has the places of the words with counts of their own; the others' buckets stand behind them.
+    """
 
     stop: np.ndarray
     free: np.ndarray
     first: np.ndarray
     inner: np.ndarray
     after: np.ndarray
+    named: dict[int, int]
+
+    def at(self, word: str) -> int:
+        key = word_key(word)
+        place = self.named.get(key)
+        return len(self.named) + key % BUCKETS if place is None else place
+
+
+COLUMNS = ("stop", "free", "first", "inner", "after")
 
 
 def count_words(block: Block, stop: dict, free: dict, first: dict, inner: dict, after: dict) -> None:
     s = block.text
     last = len(s.rstrip())
     for n, m in enumerate(_WORD.finditer(s, block.lead)):
-        b = bucket(m[0].casefold())
+        b = word_key(m[0].casefold())
         end = m.end()
         if end < last and s[end] == "." and end + 1 < last and s[end + 1].isspace():
             stop[b] = stop.get(b, 0) + 1
         elif end < last and s[end] not in STOPS:
             free[b] = free.get(b, 0) + 1
-        b = bucket(m[0])
+        b = word_key(m[0])
         if not n:
             first[b] = first.get(b, 0) + 1
         elif m.start() > 1 and s[m.start() - 1] == " ":
@@ -204,20 +225,26 @@ class Candidate(NamedTuple):
     closed: bool  # closing quotes or brackets follow the marks
 
 
+_LETTER_AT = re.compile(_LETTER)
+
+
 def candidates(s: str, lead: int) -> Iterator[Candidate]:
+    words = None
     for m in _CAND.finditer(s, lead):
+        if words is None:  # all words of the block, of any length
+            words = [w.span() for w in _WORD.finditer(s)]
+            starts = [w[0] for w in words]
         run = m[0]
-        end = m.end()
-        marks = run.rstrip(CLOSERS.replace("\\", "") + _INVISIBLE + "   ")
-        left = s[max(0, m.start() - 48) : m.start()]
-        w = None
-        for w in _WORD.finditer(left):
-            pass
-        left_word = _JOINED.split(w[0])[-1] if w and w.end() == len(left) else ""
+        at, end = m.span()
+        marks = run.rstrip(CLOSERS.replace("\\", "") + _INVISIBLE + "   ")
+        left_word = ""
+        k = bisect_right(starts, at - 1) - 1
+        if k >= 0 and words[k][1] >= at and _LETTER_AT.match(s, at - 1):
+            left_word = _JOINED.split(s[words[k][0] : at])[-1]
         n = _NEXT.search(s, end)
         right = _WORD.match(s, n.start()) if n else None
         gap = end < len(s) and (s[end].isspace() or (n is not None and any(c.isspace() for c in s[end : n.start()])))
-        yield Candidate(m.start(), end, marks, left_word, right[0] if right else (n[0] if n else ""), gap, len(run.rstrip(_INVISIBLE)) > len(marks))
+        yield Candidate(at, end, marks, left_word, right[0] if right else (n[0] if n else ""), gap, len(run.rstrip(_INVISIBLE)) > len(marks))
 
 
 def _shape(word: str) -> str:
@@ -240,14 +267,14 @@ def _script(c: str) -> str:
 
 def _abbreviation(word: str, counts: Counts) -> float:
     """Log odds that the word stands before a full stop."""
-    b = bucket(word.casefold())
+    b = counts.at(word.casefold())
     return math.log((counts.stop[b] + 0.5) / (counts.free[b] + 0.5)) if word else 0.0
 
 
 def features(c: Candidate, counts: Counts) -> list[int]:
     """Active feature buckets of a candidate; the case of the word after it takes no part (see above)."""
     left, right = c.left.casefold(), c.right.casefold()
-    bl, br = bucket(left), bucket(c.right)
+    bl, br = counts.at(left), counts.at(c.right)
     abbreviation = _abbreviation(c.left, counts)
     starter = math.log((counts.first[br] + 0.5) / (counts.inner[br] + 0.5)) if right else 0.0
     opener = math.log((counts.first[br] + 0.5) / (counts.after[br] + 0.5)) if right else 0.0
@@ -320,8 +347,19 @@ class Model(NamedTuple):
     weights: np.ndarray
 
 
+#: Scores that a worker remembers; the same words meet at many stops.
+REMEMBERED = 1 << 18
+_scores: dict[tuple, float] = {}
+
+
 def score(c: Candidate, model: Model) -> float:
-    return float(model.weights[features(c, model.counts)].sum())
+    key = (id(model), c.left, c.right, c.marks)
+    got = _scores.get(key)
+    if got is None:
+        if len(_scores) >= REMEMBERED:
+            _scores.clear()
+        _scores[key] = got = float(model.weights[features(c, model.counts)].sum())
+    return got
 
 
 def _is_boundary(c: Candidate, model: Model) -> bool:
@@ -402,46 +440,72 @@ def sentence_ends(text: str | None, doc_type: str | None, model: Model) -> list[
 
 # ---------------------------------------------------------------- distributed plan
 
-_COUNT_SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in Counts._fields])
+_COUNT_SCHEMA = T.StructType([T.StructField("word", T.LongType())] + [T.StructField(c, T.LongType()) for c in COLUMNS])
+#: Words that a task counts before it sends them on.
+HELD_WORDS = 1 << 19
 
 
 def _texts(documents: DataFrame) -> DataFrame:
     kind = F.col("doc_type") if "doc_type" in documents.columns else F.lit(None).cast("string")
-    return documents.where(F.col("text").isNotNull()).select("doc_id", "text", kind.alias("doc_type"))
+    return spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text", kind.alias("doc_type")))
 
 
 def word_counts(documents: DataFrame) -> Counts:
-    """Word counts over all documents; each task sends at most one row a bucket, the driver gets ``BUCKETS`` rows."""
+    """Word counts over all documents; the driver gets at most ``NAMED`` words and ``BUCKETS`` sums."""
+
+    def sent(sums: list[dict[int, int]]) -> pa.RecordBatch:
+        keys = sorted(set().union(*sums))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([d.get(k, 0) for k in keys], pa.int64()) for d in sums)], names=_COUNT_SCHEMA.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[dict[int, int]] = [{} for _ in Counts._fields]
+        sums: list[dict[int, int]] = [{} for _ in COLUMNS]
         for batch in batches:
             for text, kind in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for b in blocks(text, kind):
                     if not b.code:
                         count_words(b, *sums)
-        keys = sorted(set().union(*sums))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([d.get(k, 0) for k in keys], pa.int64()) for d in sums)], names=_COUNT_SCHEMA.fieldNames())
-
-    total = _texts(documents).mapInArrow(run, _COUNT_SCHEMA).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in Counts._fields))
-    out = Counts(*(np.zeros(BUCKETS, "i8") for _ in Counts._fields))
-    table = total.toArrow()
-    at = np.asarray(table.column("bucket"))
-    for c in Counts._fields:
-        getattr(out, c)[at] = np.asarray(table.column(c))
+                if max(map(len, sums)) > HELD_WORDS:
+                    yield sent(sums)
+                    sums = [{} for _ in COLUMNS]
+        yield sent(sums)
+
+    total = sum((F.col(c) for c in COLUMNS), F.lit(0))
+    words = cut_lineage(_texts(documents).mapInArrow(run, _COUNT_SCHEMA).groupBy("word").agg(*(F.sum(c).alias(c) for c in COLUMNS)).withColumn("total", total))
+    least = (words.agg(F.sum("total")).first()[0] or 0) / NAMED
+    frequent = words.where((F.col("total") >= least)).orderBy("word").toArrow()
+    rest = words.where(F.col("total") < least).groupBy(F.pmod("word", F.lit(BUCKETS)).alias("word")).agg(*(F.sum(c).alias(c) for c in COLUMNS)).toArrow()
+    release(words)
+    n = frequent.num_rows
+    named = dict(zip(frequent.column("word").to_pylist(), range(n), strict=True))
+    out = Counts(*(np.zeros(n + BUCKETS, "i8") for _ in COLUMNS), named)
+    for c in COLUMNS:
+        getattr(out, c)[:n] = np.asarray(frequent.column(c))
+        getattr(out, c)[n + np.asarray(rest.column("word"))] = np.asarray(rest.column(c))
     return out
 
 
+def _sample(documents: DataFrame) -> DataFrame:
+    """The ``SAMPLE_DOCS`` documents first by hash of id and text; equal ones count once."""
+    texts = _texts(documents).withColumn("h", F.xxhash64("doc_id", "text"))
+    n = documents.count()
+    if n > 2 * SAMPLE_DOCS:
+        texts = texts.where(F.shiftrightunsigned("h", 34) < F.lit(int((1 << 30) * 1.5 * SAMPLE_DOCS / n)))
+    order = F.shiftrightunsigned("h", 34)
+    last = texts.select("h").distinct().orderBy(order, "h").offset(SAMPLE_DOCS - 1).limit(1).select(order.alias("o"), "h").first()
+    if last is not None:
+        texts = texts.where((order < last.o) | ((order == last.o) & (F.col("h") <= last.h)))
+    return texts.dropDuplicates(["h"])
+
+
 def train(documents: DataFrame) -> Model:
     """The boundary model of a corpus; deterministic for given documents."""
     counts = word_counts(documents)
     shared = documents.sparkSession.sparkContext.broadcast(counts)
-    sample = _texts(documents).select("doc_id", "text", "doc_type", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, h = [], [], []
-            for doc, text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            x, y = [], []
+            for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = [b for b in blocks(text, kind) if not b.code]
                 starts = [(m[0] if (m := _WORD.search(b.text, b.lead)) else "") for b in found]
                 n = 0
@@ -450,11 +514,10 @@ def train(documents: DataFrame) -> Model:
                         if n < SAMPLE_PER_DOC:
                             x.append(f)
                             y.append(label)
-                            h.append(doc)
                             n += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.int32())], names=["x", "y"])
 
-    rows = sample.select("doc_id", "text", "doc_type").mapInArrow(run, "x array<int>, y int").toArrow()
+    rows = _sample(documents).select("text", "doc_type").mapInArrow(run, "x array<int>, y int").toArrow()
     if not rows.num_rows:
         return Model(counts, np.zeros(FEATURES))
     x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(rows.num_rows, -1)
@@ -476,6 +539,7 @@ def sentence_boundaries(documents: DataFrame, model: Model | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        _scores.clear()
         for batch in batches:
             take, ends = [], []
             for n, (text, kind) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):

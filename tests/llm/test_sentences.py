@@ -65,3 +65,18 @@ def test_frames(spark, model):
     assert {tuple(r) for r in S.sentence_boundaries(df, model).distinct().collect()} == {(1, 15), (1, 20)}
     assert S.sentence_boundaries(df.limit(0)).count() == 0
     assert S.sentence_boundaries(df).distinct().count() >= 1
+
+
+def test_words_of_any_length_are_read_whole():
+    word = "Abk" + "x" * 60
+    assert [c.left for c in S.candidates(f"It has {word}. More", 0)] == [word]
+    assert [c.left for c in S.candidates("see e.g. that. And 3. No", 0)] == ["e", "e.g", "that", "3"]
+
+
+def test_frequent_words_have_counts_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(S, "NAMED", 10)
+    monkeypatch.setattr(S, "BUCKETS", 4)
+    df = spark.createDataFrame([(n, "often often often rare%d. End" % n, "x") for n in range(20)], "doc_id long, text string, doc_type string")
+    counts = S.word_counts(df)
+    assert counts.at("often") < len(counts.named) <= 10 and counts.free[counts.at("often")] == 60
+    assert counts.at("rare3") >= len(counts.named) and len(counts.stop) == len(counts.named) + 4
