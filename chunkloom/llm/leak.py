@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from chunkloom.session import cut_lineage, spread
+
 #: Least number of consecutive item words, and words per allowed error.
 MIN_WORDS = 18
 WORDS_PER_ERROR = 8
@@ -43,11 +45,11 @@ LOOK_ALIKES = str.maketrans(
     "aeopcyxijsdhlkmtbhrqw" + "aoeptuvikxbn" + "ilodhtagc",
 )
 _MOJIBAKE = re.compile("[ÂÃ][\u0080-ÿŒ-Ÿˆ-™]|â[\u0080-™]{2}")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))+\s*/?>|</?[A-Za-z][^<>\n]*>|<!--.*?-->", re.S)
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtbf\"'/]")
 _LINK = re.compile(r"(\[[^\[\]\n]*\])\([^()\s]*\)")
 _COMBINING = re.compile("[̀-ͯ]")
-_NOT_WORD = re.compile(r"[\W_]+")
+_NOT_WORD = re.compile(r"[^\w\s]+|_+")
 
 
 def _repair(m: re.Match) -> str:
@@ -64,10 +66,6 @@ def _unescape(m: re.Match) -> str:
     return chr(int(digits, 16)) if digits and not 0xD800 <= int(digits, 16) < 0xE000 else " "
 
 
-def _letters(word: str) -> str:
-    return _NOT_WORD.sub("", word)
-
-
 def canonical_words(text: str | None) -> list[str]:
     """The words of a text, each reduced to folded letters and digits; null is empty."""
     if not text:
@@ -85,9 +83,8 @@ def canonical_words(text: str | None) -> list[str]:
     text = text.casefold()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).casefold()
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf") if any(c in text for c in "​‌‍⁠﻿­") else text
         text = _COMBINING.sub("", text).translate(LOOK_ALIKES)
-    return [w for x in text.split() if (w := _letters(x))]
+    return _NOT_WORD.sub("", text).split()
 
 
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
@@ -131,7 +128,8 @@ class Items(NamedTuple):
     words: list[list[str]]
     starts: list[np.ndarray]
     least: np.ndarray
-    bounds: list[list[tuple[int, int]]]
+    wide: np.ndarray  # error budget x item: widest window, in q-grams
+    need: np.ndarray  # error budget x item: q-grams that must be shared; more than there are where it has no window
     grams: np.ndarray
     first: np.ndarray
     item: np.ndarray
@@ -156,6 +154,11 @@ def build_index(rows: list[tuple]) -> Items | None:
         item.append(np.full(len(h), k, "i4"))
         pos.append(np.arange(len(h), dtype="i4"))
     bounds = [window_bounds(w) for w in words]
+    wide = np.zeros((max(map(len, bounds)), len(words)), "i8")
+    need = np.full(wide.shape, 1 << 40, "i8")
+    for k, b in enumerate(bounds):
+        for e, (width, least) in enumerate(b):
+            wide[e, k], need[e, k] = width, least
     h = np.concatenate(hashes)
     order = np.argsort(h, kind="stable")
     grams, first = np.unique(h[order], return_index=True)
@@ -165,8 +168,9 @@ def build_index(rows: list[tuple]) -> Items | None:
         ids,
         words,
         [np.concatenate([[0], np.cumsum([len(x) for x in w])]) for w in words],
-        np.array([min(t for _, t in b) for b in bounds]),
-        bounds,
+        need.min(axis=0),
+        wide,
+        need,
         grams,
         np.append(first, len(h)),
         np.concatenate(item)[order],
@@ -197,21 +201,32 @@ def candidate_bands(index: Items, h: np.ndarray, doc_of: np.ndarray) -> Iterator
     span = int(band.max()) - lo + 2
     n_items = len(index.ids)
     base = (doc * n_items + item) * span + (band - lo)
-    twice, pos = np.concatenate([base, base - 1]), np.tile(index.pos[post], 2)
-    keys, n = np.unique(twice, return_counts=True)
+    # a hit counts in its own band and in the one before, which overlaps it by half
+    own, n = np.unique(base, return_counts=True)
+    keys = np.sort(np.concatenate([own, own - 1]), kind="stable")
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    at_own, at_next = np.searchsorted(own, keys), np.searchsorted(own, keys + 1)
+    padded, counts = np.append(own, -1), np.append(n, 0)
+    n = np.where(padded[at_own] == keys, counts[at_own], 0) + np.where(padded[at_next] == keys + 1, counts[at_next], 0)
     likely = keys[n >= index.least[keys // span % n_items]]
     if not len(likely):
         return
-    mine = np.isin(twice, likely)
-    order = np.lexsort((pos[mine], twice[mine]))
-    twice, pos = twice[mine][order], pos[mine][order]
-    edges = np.append(np.searchsorted(twice, likely), len(twice))
-    good = []
-    for key, lo_, hi_ in zip(likely, edges[:-1], edges[1:], strict=True):
-        p = np.unique(pos[lo_:hi_])
-        inside = lambda width: np.searchsorted(p, p + width) - np.arange(len(p))
-        if any(len(p) >= t and (inside(width) >= t).any() for width, t in index.bounds[int(key // span % n_items)]):
-            good.append(key)
+    among = lambda x: likely[np.minimum(np.searchsorted(likely, x), len(likely) - 1)] == x
+    first, before = among(base), among(base - 1)
+    twice, pos = np.concatenate([base[first], base[before] - 1]), np.concatenate([index.pos[post[first]], index.pos[post[before]]])
+    order = np.lexsort((pos, twice))
+    twice, pos = twice[order], pos[order]
+    once = np.append(True, (twice[1:] != twice[:-1]) | (pos[1:] != pos[:-1]))  # a q-gram counts once a band
+    twice, pos = twice[once], pos[once].astype("i8")
+    ends = np.searchsorted(twice, twice, side="right")
+    owner = twice // span % n_items
+    dense = np.zeros(len(twice), bool)
+    for wide, need in zip(index.wide, index.need, strict=True):
+        last = np.arange(len(twice)) + need[owner] - 1
+        inside = last < ends
+        dense[inside] |= pos[last[inside]] - pos[inside] < wide[owner[inside]]
+    good = twice[dense]
+    good = good[np.append(True, good[1:] != good[:-1])] if len(good) else good
     open_ = None
     for key in good:
         owner, b = int(key // span), int(key % span) + lo
@@ -299,16 +314,34 @@ def align(a: list[str], a_at: np.ndarray, b: list[str], b_at: np.ndarray, lo: in
     return False
 
 
-#: Letters of a word that may have lost its blanks; such words are cut at the item's words.
-LONG_WORD = 32
+#: A word that has lost its blanks holds at least two words of the item, which are this share of its letters or
+#: as many as this; single letters prove nothing.
+GLUED_SHARE = 2 / 3
+GLUED_WORDS = 6
+
+
+@functools.lru_cache(maxsize=256)
+def _splitter(item: tuple[str, ...]) -> tuple[frozenset, re.Pattern]:
+    known = frozenset(item)
+    return known, re.compile("(" + "|".join(sorted((re.escape(w) for w in known if len(w) > 1), key=lambda w: (-len(w), w))) + ")")
 
 
 def _parted(words: list[str], item: list[str]) -> list[str]:
-    """``words`` with the long ones cut into words of the item and what lies between them."""
-    if max(map(len, words)) < LONG_WORD:
-        return words
-    known = re.compile("(" + "|".join(sorted(map(re.escape, set(item)), key=len, reverse=True)) + ")")
-    return [x for w in words for x in (known.split(w) if len(w) >= LONG_WORD else (w,)) if x]
+    """``words`` with those that have lost their blanks cut into words of the item and what lies between them.
+
+    Words that are the item's own stay.  Of a glued word the leftmost longest words of the item are taken.
+    """
+    known, split = _splitter(tuple(item))
+    out = []
+    for w in words:
+        if w not in known and len(w) > 3:
+            parts = split.split(w)
+            found = parts[1::2]
+            if len(found) > 1 and (len(found) >= GLUED_WORDS or sum(map(len, found)) >= GLUED_SHARE * len(w)):
+                out += filter(None, parts)
+                continue
+        out.append(w)
+    return out
 
 
 #: Letters of the documents that are searched in one pass.
@@ -371,7 +404,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     schema = T.StructType([T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
     arrow = to_arrow_schema(schema)
     spark = documents.sparkSession
-    docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(doc_id, text)
+    docs = spread(documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(doc_id, text))
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,10 +416,16 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
 
         return run
 
-    parts = []
+    # one block stays a plain map; of several each is searched and written before the next is sent out
+    parts, last = [], None
     for block in item_blocks(items, item_id, text):
-        if (index := build_index(block)) is not None:
-            parts.append(docs.mapInArrow(search(spark.sparkContext.broadcast(index)), schema))
-    if not parts:
+        if (index := build_index(block)) is None:
+            continue
+        if last is not None:
+            parts.append(cut_lineage(docs.mapInArrow(search(last), schema)))
+            last.destroy()
+        last = spark.sparkContext.broadcast(index)
+    if last is None:
         return spark.createDataFrame([], schema)
+    parts.append(docs.mapInArrow(search(last), schema))
     return functools.reduce(DataFrame.unionByName, parts).distinct()

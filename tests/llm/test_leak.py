@@ -120,3 +120,28 @@ def test_align_against_the_definition():
         seen[want] += 1
         assert K.align(item, at(item), words, at(words), -10_000, 10_000) is want, words
     assert min(seen.values()) > 60
+
+
+SENTENCE = "every nightly report lists which cached shards were rebuilt after the operator changed their replica count and why that took longer than planned".split()
+
+
+def hits(text):
+    return list(K.leaks_in(K.build_index([(1, " ".join(SENTENCE))]), [text]))
+
+
+def test_long_tags_are_markup():
+    link = '<a href="https://example.org/' + "p/" * 130 + '" title="x > y">'
+    w = SENTENCE[:18]
+    assert hits(" ".join(w[:7]) + f" {link}{w[7]}</a> " + " ".join(w[8:]))
+    assert hits("if a <b " + " ".join(SENTENCE) + "\nand c> d")
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 18])
+def test_glued_words_of_any_length(size):
+    w = SENTENCE[:18]
+    w[5] = "zzzz"
+    assert hits(" ".join("".join(w[i : i + size]) for i in range(0, 18, size)))
+
+
+def test_words_that_hold_item_words_stay_whole():
+    assert K._parted(["another", "shardlist"], ["other", "shard", "list"]) == ["another", "shard", "list"]
