@@ -274,6 +274,12 @@ def _keep(cells: dict[int, list[tuple]], at: int, path: tuple[int, int, int, int
     cells[at].append(path)
 
 
+def _stands_whole(a: list[str], b: list[str]) -> bool:
+    """Whether ``MIN_WORDS`` words of ``a`` stand in ``b`` without any error, which needs no alignment."""
+    text = f" {' '.join(b)} "
+    return any(f" {' '.join(a[i : i + MIN_WORDS])} " in text for i in range(len(a) - MIN_WORDS + 1))
+
+
 def align(a: list[str], a_at: np.ndarray, b: list[str], b_at: np.ndarray, lo: int, hi: int) -> bool:
     """Whether some alignment of item words ``a`` and document words ``b`` in the band is a case.
 
@@ -289,6 +295,8 @@ def align(a: list[str], a_at: np.ndarray, b: list[str], b_at: np.ndarray, lo: in
     first = np.searchsorted(b_at, a_at[:-1] + lo - slack)
     last = np.searchsorted(b_at, a_at[:-1] + hi + slack, side="right")
     n, m = len(a), len(b)
+    if _stands_whole(a, b[int(first[0]) : int(last[-1])]):
+        return True
     rows: list[dict[int, list[tuple[int, int, int, int]]]] = [{} for _ in range(n + 1)]
     for i in range(n):
         row, below, x = rows[i], rows[i + 1], a[i]
