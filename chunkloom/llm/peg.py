@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -21,6 +22,9 @@ class Node(NamedTuple):
     children: list
 
 
+#: Calls that one character of a text can add to the stack at most.
+CALLS = 64
+
 Matcher = Callable[[str, int, dict], "tuple[int, list] | None"]
 
 _LEX = re.compile(r"""\s+|(?P<name>[A-Za-z_]\w*)|(?P<regex>~(?:'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"))|(?P<lit>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<op>[()/*+?&!])""", re.S)
@@ -48,11 +52,21 @@ class Grammar:
             self.rules[name] = self._rule(name, expr)
 
     def parse(self, text: str, start: str | None = None) -> Node | None:
-        """The tree of the prefix that the start rule matches, or None; also None if nested too deeply for the stack."""
+        """The tree of the prefix that the start rule matches, or None.
+
+        A rule is entered at most once more per character of nesting, through a few calls each; where the
+        interpreter's limit is below that, it is raised for this text.
+        """
+        rule = self.rules[start or self.start]
         try:
-            got = self.rules[start or self.start](text, 0, {})
+            got = rule(text, 0, {})
         except RecursionError:
-            return None
+            limit = sys.getrecursionlimit()
+            sys.setrecursionlimit(max(limit, CALLS * len(text)))
+            try:
+                got = rule(text, 0, {})
+            finally:
+                sys.setrecursionlimit(limit)
         return got[1][0] if got else None
 
     def _rule(self, name: str, expr: Matcher) -> Matcher:
@@ -162,7 +176,11 @@ class Grammar:
 
 def find(node: Node, name: str) -> list[Node]:
     """Nodes of that rule below ``node`` in source order, not looking inside found ones."""
-    out = []
-    for c in node.children:
-        out += [c] if c.name == name else find(c, name)
+    out, todo = [], node.children[::-1]
+    while todo:
+        c = todo.pop()
+        if c.name == name:
+            out.append(c)
+        else:
+            todo.extend(reversed(c.children))
     return out

@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import io
 import re
+import sys
 import tokenize as pytokens
 import warnings
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions.columns import extension
 from chunkloom.llm import grammars
 from chunkloom.llm.lltable import Table
+from chunkloom.session import spread
 
 LANGUAGES = {".py": "python", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".h": "cpp", ".hpp": "cpp", ".proto": "proto"}
 
@@ -76,7 +78,7 @@ def python_labels(source: str) -> tuple[list[str], list[int]]:
         if t.type == pytokens.NAME:
             labels.append(s if s in PY_KEYWORDS else "NAME")
         elif t.type == pytokens.OP:
-            labels.append("AUG" if s in _PY_AUG else "OP" if s in _PY_OP and s != "@" else "SIGN" if s in "+-" else "!=" if s == "<>" else s)
+            labels.append("AUG" if s in _PY_AUG else "OP" if s in _PY_OP and s != "@" else "SIGN" if s in "+-" else s)
         elif t.type == pytokens.ERRORTOKEN:
             raise LexError(t.start[0], f"invalid token {s!r}")
         elif t.type == pytokens.ENDMARKER:
@@ -338,7 +340,7 @@ class _PythonRules:
                 if pair and self._find(a, b, ":=") >= 0:
                     self.bad.append(a)
                 kinds.add(pair or labels[a] == "**")
-            if labels[at] == "{" and len(kinds) > 1:
+            if labels[at] == "{" and each < 0 and len(kinds) > 1:
                 self.bad.append(at)
 
     def _type_parameters(self, end: int) -> bool:
@@ -496,20 +498,136 @@ def _directive(text: str, line: int, groups: list, macros: dict) -> None:
         return
 
 
+_COND_LEX = re.compile(r"\s+|(?P<num>(?:0[xX][\da-fA-F']+|0[bB][01']+|\d[\d']*)[uUlLzZ]*(?![\w.]))|(?P<chr>'(?:[^'\\]|\\.)+')|(?P<id>[^\W\d]\w*)|(?P<op>\|\||&&|<<|>>|[=!<>]=|[-+*/%&|^!~<>?:(),])")
+#: Operators of conditions by how tightly they bind.
+_COND_LEVELS = {op: n for n, ops in enumerate(("||", "&&", "|", "^", "&", "== !=", "< > <= >=", "<< >>", "+ -", "* / %")) for op in ops.split()}
+_WORD_MASK = (1 << 64) - 1
+
+
+class _Unreadable(Exception):
+    pass
+
+
+class _Condition:
+    """Value of an ``#if`` condition: 64-bit integers, unknown names are 0, macros are values of their own.
+
+    A macro's value is worked out once; a name within its own value is 0.
+    """
+
+    def __init__(self, macros: dict):
+        self.macros = macros
+        self.values: dict[str, int | None] = {}
+
+    def value(self, text: str) -> int:
+        toks = []
+        at = 0
+        while at < len(text):
+            m = _COND_LEX.match(text, at)
+            if not m:
+                raise _Unreadable
+            if m.lastgroup:
+                toks.append((m.lastgroup, m[0]))
+            at = m.end()
+        self.toks, self.at, saved = toks, 0, (getattr(self, "toks", []), getattr(self, "at", 0))
+        try:
+            got = self._choice()
+            if self.at != len(toks):
+                raise _Unreadable
+        finally:
+            self.toks, self.at = saved
+        return got
+
+    def _next(self) -> str:
+        return self.toks[self.at][1] if self.at < len(self.toks) and self.toks[self.at][0] == "op" else ""
+
+    def _choice(self) -> int:
+        test = self._binary(0)
+        if self._next() != "?":
+            return test
+        self.at += 1
+        one = self._choice()
+        if self._next() != ":":
+            raise _Unreadable
+        self.at += 1
+        two = self._choice()
+        return one if test else two
+
+    def _binary(self, level: int) -> int:
+        left = self._unary()
+        while _COND_LEVELS.get(op := self._next(), -1) >= level:
+            self.at += 1
+            left = self._apply(op, left, self._binary(_COND_LEVELS[op] + 1))
+        return left
+
+    def _unary(self) -> int:
+        if self.at >= len(self.toks):
+            raise _Unreadable
+        kind, text = self.toks[self.at]
+        self.at += 1
+        if kind == "num":
+            digits = text.rstrip("uUlLzZ").replace("'", "") if not text.lower().startswith("0x") else re.sub(r"[uUlLzZ]+$", "", text).replace("'", "")
+            octal = len(digits) > 1 and digits[0] == "0" and digits.isdigit()
+            try:
+                return int(digits, 8 if octal else 0) & _WORD_MASK
+            except ValueError as e:
+                raise _Unreadable from e
+        if kind == "chr":
+            return ord(text[-2])
+        if kind == "id":
+            return self._name(text)
+        if text == "(":
+            got = self._choice()
+            if self._next() != ")":
+                raise _Unreadable
+            self.at += 1
+            return got
+        if text in ("!", "-", "+", "~"):
+            x = self._unary()
+            return {"!": int(not x), "-": -x, "+": x, "~": ~x}[text]
+        raise _Unreadable
+
+    def _name(self, name: str) -> int:
+        if name in ("true", "false"):
+            return int(name == "true")
+        if self._next() == "(":  # a macro with arguments
+            raise _Unreadable
+        if name not in self.values:
+            self.values[name] = 0
+            if self.macros.get(name):
+                self.values[name] = self.value(self.macros[name])
+        return self.values[name]
+
+    @staticmethod
+    def _apply(op: str, a: int, b: int) -> int:
+        if op in ("/", "%"):
+            if not b:
+                return 0
+            q = abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+            return q if op == "/" else a - b * q
+        if op in ("<<", ">>"):
+            b = min(max(b, 0), 64)
+        got = {"||": lambda: bool(a or b), "&&": lambda: bool(a and b), "|": lambda: a | b, "^": lambda: a ^ b, "&": lambda: a & b, "==": lambda: a == b, "!=": lambda: a != b, "<": lambda: a < b, ">": lambda: a > b, "<=": lambda: a <= b, ">=": lambda: a >= b, "<<": lambda: a << b, ">>": lambda: a >> b, "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b}[op]()
+        return (int(got) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def _condition(text: str, macros: dict) -> bool:
-    """Value of an ``#if`` condition; unknown names are 0, a condition that cannot be read is true."""
-    text = re.sub(r"defined\s*(?:\(\s*(\w+)\s*\)|(\w+))", lambda m: str(int((m[1] or m[2]) in macros)), text)
+    """Whether an ``#if`` condition holds; unknown names are 0, a condition that cannot be read is true."""
+    text = re.sub(r"\bdefined\s*(?:\(\s*(\w+)\s*\)|(\w+))", lambda m: str(int((m[1] or m[2]) in macros)), text)
     text = re.sub(r"__has_\w+\s*\([^()]*\)", "0", text)
-    for _ in range(8):
-        text = re.sub(r"[A-Za-z_]\w*", lambda m: f"({macros[m[0]]})" if macros.get(m[0]) else m[0], text)
-    text = re.sub(r"\b(0[xX][\da-fA-F]+|\d+)[uUlL]+\b", r"\1", re.sub(r"\b[A-Za-z_]\w*\b", "0", text))
-    text = text.replace("&&", " and ").replace("||", " or ").replace("!=", "\1").replace("!", " not ").replace("\1", "!=")
-    if not re.fullmatch(r"[\s\d()<>=!+\-*/%&|^~xXa-fA-Fnotrd]*", text):
+    text = re.sub(r"\b(?:and|or|not)\b", lambda m: {"and": "&&", "or": "||", "not": "!"}[m[0]], text)
+    limit = sys.getrecursionlimit()
+    try:
+        return bool(_Condition(macros).value(text))
+    except _Unreadable:
         return True
+    except RecursionError:
+        sys.setrecursionlimit(max(limit, 16 * (len(text) + sum(len(x or "") for x in macros.values()))))
     try:
-        return bool(eval(text, {"__builtins__": {}}))  # digits, operators and and/or/not only
-    except Exception:
+        return bool(_Condition(macros).value(text))
+    except _Unreadable:
         return True
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 _SIGNS = frozenset("+ -".split())
@@ -816,13 +934,12 @@ def _sources(files: DataFrame) -> DataFrame:
     ext = extension(F.col("path"))
     language = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))[ext]
     directory = F.col("directory") if "directory" in files.columns else F.lit(None).cast("string")
-    return files.where(F.col("path").isNotNull() & ext.isin(*LANGUAGES)).select("path", "content", directory.alias("directory"), language.alias("language"))
+    return spread(files.where(F.col("path").isNotNull() & ext.isin(*LANGUAGES)).select("path", "content", directory.alias("directory"), language.alias("language")))
 
 
 def parse_rates(files: DataFrame) -> DataFrame:
-    """Per directory and language: ``n_files, n_failed, rate``; repeated scans of a path count once."""
-    total = _sources(files).groupBy("directory", "language").agg(F.countDistinct("path").alias("n_files"))
-    failed = unparsable_files(files).groupBy("directory", "language").agg(F.countDistinct("file_path").alias("n_failed"))
-    same = (total["directory"].eqNullSafe(failed["directory"])) & (total["language"] == failed["language"])
-    n = F.coalesce(failed["n_failed"], F.lit(0))
-    return total.join(failed, same, "left").select(total["directory"], total["language"], "n_files", n.alias("n_failed"), F.round(n / F.col("n_files"), 6).alias("rate"))
+    """Per directory and language: ``n_files, n_failed, rate``; a path counts once, in the first of its directories."""
+    paths = _sources(files).groupBy("path", "language").agg(F.min("directory").alias("directory"))
+    failed = unparsable_files(files).select(F.col("file_path").alias("path")).distinct().withColumn("failed", F.lit(1))
+    counts = paths.join(failed, "path", "left").groupBy("directory", "language").agg(F.count(F.lit(1)).alias("n_files"), F.count("failed").alias("n_failed"))
+    return counts.select("directory", "language", "n_files", "n_failed", F.round(F.col("n_failed") / F.col("n_files"), 6).alias("rate"))
