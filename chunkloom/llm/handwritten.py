@@ -6,7 +6,8 @@
   that have it, files vote for them with their lines' weights, and for the few that win a quarter of a file's
   weight the exact weighted containment is computed: copies of a group meet at its first members without
   pairs within the group.  Files that this does not settle go the exact way: a source that holds
-  ``CONTAINED`` of a file's weight holds one of any lines that weigh more than the rest, so all owners of the
+  ``CONTAINED`` of a file's weight (``CONTAINED_MARKED`` if its head names another party) holds one of any
+  lines that weigh more than the rest, so all owners of the
   file's rarest lines of that weight are compared.  Two owners of a class stand for all of it.
 * Generated, minified and data files: rules on banners in the head comment and on token composition.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import Window as W
 
 from chunkloom.functions.columns import extension
 from chunkloom.operators.orphans import salted_join
-from chunkloom.session import cut_lineage
+from chunkloom.session import cut_lineage, spread
 
 EXTENSIONS = (".py", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".hxx", ".proto")
 #: Characters of a line that is worth indexing, after white space is folded.
@@ -34,6 +35,8 @@ LEAST_LINE = 12
 #: Share of a file's weight that its vote for another file needs, and that must then stand in that file.
 VOTE_SHARE = 0.25
 CONTAINED = 0.6
+#: The same for a file whose head names another party's licence or library, which alone proves nothing.
+CONTAINED_MARKED = 0.3
 #: Distinct lines a file needs for a verdict on copying.
 LEAST_LINES = 6
 #: A line in more than one file of so many is joined by broadcast: there are at most this number times the
@@ -42,7 +45,7 @@ HOT_SHARE = 256
 
 # Banners of tools, and phrases that turn a banner they govern into talk about tools.
 BANNER = re.compile(
-    r"@generated\b|auto-?\s?generated|code generated|machine[- ]generated|automatically generated|generated (?:automatically|by|from|with|file|code)|this file (?:is|was) generated|do not (?:edit|modify)|"
+    r"@generated\b|auto-?\s?generated|code generated|machine[- ]generated|automatically generated|generated (?:automatically|by|from|with|file|code)|this file (?:is|was) generated|do not (?:edit|modify)(?=\W*$|\s*[^\w\s\"'`]|\s+(?:this|these|it|by|manually|directly|below|above|or|if|when|the (?:file|contents?|generated|output))\b)|"
     r"auto(?:matically)? created from|output of [\w.-]+(?:compiler|generator|gen|tool)\b|produced by .* from |(?:manual )?changes? (?:is|are|will be) (?:overwritten|lost)|nicht von hand|"
     r"produit automatiquement|généré automatiquement|ne pas (?:éditer|modifier)|automatisch (?:erzeugt|generiert)|nicht (?:bearbeiten|ändern)|generado (?:automáticamente|por)|no (?:editar|modificar)|自动生成|自動生成|сгенерирован",
     re.I,
@@ -58,7 +61,7 @@ NOT_BANNER = re.compile(
     rf"\b(?:carry|carries|writes?|looks? for|detects?|skips?|checks? (?:for|that|whether)|hand-?written|rewritten)\b(?:[^.;]|\.\w)*?{_BANNER_NOUN}(?:[^.;]|\.\w)*|{_BANNER_NOUN}[\"'`]* (?:banners?|markers?|notices?)\b",
     re.I,
 )
-THIRD_PARTY = re.compile(r"\bpart of the [\w.+-]+ library\b|\bredistribution in source\b|copyright (?:\(c\)|©) [\d, -]+ the [\w.+-]+ (?:authors|contributors|project)", re.I)
+THIRD_PARTY = re.compile(r"^(?:this (?:file|code|module|source|header) is )?part of the [\w.+-]+ library\b|\bredistribution in source\b|copyright (?:\(c\)|©) [\d, -]+ the [\w.+-]+ (?:authors|contributors|project)", re.I)
 _COMMENT_LINE = re.compile(r"^\s*(?:#(?!\s*(?:include|pragma|define|if|ifdef|ifndef|endif|else|elif|undef|error|line)\b)|//|/\*|\*)")
 _DOCSTRING = re.compile(r"\s*[rRuU]?(\"\"\"|''')")
 _MARKS = " \t#/*!"
@@ -123,14 +126,12 @@ def is_foreign(text: str) -> bool:
 
 
 def composition(text: str) -> str | None:
-    """``generated``, ``vendored``, ``minified`` or ``data`` by the rules, or None."""
+    """``generated``, ``minified`` or ``data`` by the rules, or None."""
     if is_foreign(text):
         return None
     head = head_comment(text)
     if is_banner(head):
         return "generated"
-    if any(THIRD_PARTY.search(x) for x in head):
-        return "vendored"
     lines = [x for x in text.split("\n") if x.strip() and not _COMMENT_LINE.match(x)]
     code = _PLUMBING.sub("", _BLOCK_COMMENT.sub(" ", "\n".join(lines)))
     literals = words = names = short = literal_chars = 0
@@ -156,6 +157,11 @@ def composition(text: str) -> str | None:
     return None
 
 
+def names_another_party(text: str) -> bool:
+    """Whether the head comment names a licence, library or authors as copied files do, and a project's own may."""
+    return not is_foreign(text) and any(THIRD_PARTY.search(x) for x in head_comment(text))
+
+
 def line_hashes(text: str) -> list[int]:
     """Sorted distinct hashes of the lines worth indexing; none for foreign documents."""
     if is_foreign(text):
@@ -165,7 +171,7 @@ def line_hashes(text: str) -> list[int]:
 
 
 def inspected(files: DataFrame) -> DataFrame:
-    """``path, directory, reason, lines`` of each source file, one row per path."""
+    """``path, directory, reason, marked, lines`` of each source file, one row per path."""
     directory = F.coalesce(F.col("directory"), F.lit("")) if "directory" in files.columns else F.lit("")
     src = files.where(F.col("path").isNotNull() & extension(F.col("path")).isin(*EXTENSIONS)).select("path", directory.alias("directory"), "content")
 
@@ -173,11 +179,11 @@ def inspected(files: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [decode(c) for c in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([composition(t) for t in texts], pa.string()), pa.array([line_hashes(t) for t in texts], pa.list_(pa.int64()))],
-                names=["path", "directory", "reason", "lines"],
+                [batch.column(0), batch.column(1), pa.array([composition(t) for t in texts], pa.string()), pa.array([names_another_party(t) for t in texts], pa.bool_()), pa.array([line_hashes(t) for t in texts], pa.list_(pa.int64()))],
+                names=["path", "directory", "reason", "marked", "lines"],
             )
 
-    out = src.mapInArrow(run, "path string, directory string, reason string, lines array<bigint>")
+    out = spread(src).mapInArrow(run, "path string, directory string, reason string, marked boolean, lines array<bigint>")
     w = W.partitionBy("path").orderBy(F.col("reason").asc_nulls_last(), F.size("lines").desc(), "directory")
     return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
@@ -188,7 +194,7 @@ def vendored(inspected_files: DataFrame) -> DataFrame:
     n_files = files.count()
     if not n_files:
         return files.select("path", F.col("path").alias("source"), F.lit(0.0).alias("contained"))
-    rows = files.select("path", "directory", F.explode("lines").alias("line"))
+    rows = files.select("path", "directory", "marked", F.explode("lines").alias("line"))
     per_dir = rows.groupBy("line", "directory").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
     two = (
         per_dir.withColumn("k", F.row_number().over(W.partitionBy("line").orderBy("first")))
@@ -207,22 +213,23 @@ def vendored(inspected_files: DataFrame) -> DataFrame:
     )
     own = F.col("directory")
     vote = F.array(F.when((F.col("a.directory") != own) & (F.col("df") > 1), F.col("a.first")), F.when(F.col("b.directory") != own, F.col("b.first")))
-    totals = weighed.groupBy("path").agg(F.sum("w").alias("total"), F.collect_list(F.struct("line", "w")).alias("mine"))
+    totals = weighed.groupBy("path").agg(F.max("marked").alias("marked"), F.sum("w").alias("total"), F.collect_list(F.struct("line", "w")).alias("mine"))
     votes = weighed.select("path", "w", F.explode(vote).alias("source")).where("source is not null").groupBy("path", "source").agg(F.sum("w").alias("got"))
-    likely = votes.join(totals, "path").where(F.col("got") >= VOTE_SHARE * F.col("total"))
+    likely = cut_lineage(votes.join(totals, "path").where(F.col("got") >= VOTE_SHARE * F.col("total")).drop("got"))
     theirs = files.select(F.col("path").alias("source"), F.col("lines").alias("theirs"))
 
     def contained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shares = []
-            for mine, total, lines in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            shares, enough = [], []
+            for mine, total, lines, marked in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 hit = np.isin(np.array([x["line"] for x in mine], "i8"), np.array(lines, "i8"))
                 shares.append(float(np.array([x["w"] for x in mine])[hit].sum() / total))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["path", "source", "contained"])
+                enough.append(shares[-1] >= (CONTAINED_MARKED if marked else CONTAINED))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["path", "source", "contained"]).filter(pa.array(enough, pa.bool_()))
 
-    pairs = salted_join(likely, theirs, "source", "path").select("path", "source", "mine", "total", "theirs")
+    pairs = salted_join(likely, theirs, "source", "path").select("path", "source", "mine", "total", "theirs", "marked")
     result = "path string, source string, contained double"
-    voted = cut_lineage(pairs.where(F.size("mine") >= LEAST_LINES).mapInArrow(contained, result).where(F.col("contained") >= CONTAINED))
+    voted = cut_lineage(pairs.where(F.size("mine") >= LEAST_LINES).mapInArrow(contained, result))
 
     member = F.struct("directory", "path")
     kind = [F.xxhash64("lines").alias("kind"), F.xxhash64(F.lit(1), "lines").alias("kind2")]
@@ -234,14 +241,14 @@ def vendored(inspected_files: DataFrame) -> DataFrame:
 
     single = kinds.where((F.col("one.directory") == F.col("two.directory")) & (F.col("n") >= LEAST_LINES))
     open_ = single.select(F.col("one.path").alias("path"), F.col("one.directory").alias("directory")).join(voted.select("path").distinct(), "path", "left_anti")
-    lines_of = weighed.groupBy("path").agg(F.sum("w").alias("total"), F.collect_list(F.struct("line", "w", F.col("b").isNotNull().alias("shared"))).alias("mine"))
+    lines_of = weighed.groupBy("path").agg(F.max("marked").alias("marked"), F.sum("w").alias("total"), F.collect_list(F.struct("line", "w", F.col("b").isNotNull().alias("shared"))).alias("mine"))
     unsettled = cut_lineage(open_.join(lines_of, "path"))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, homes, out = [], [], []
-            for path, home, total, mine in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                rest = (1 - CONTAINED) * total * (1 + 1e-9)
+            for path, home, total, mine, marked in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                rest = (1 - (CONTAINED_MARKED if marked else CONTAINED)) * total * (1 + 1e-9)
                 for x in sorted(mine, key=lambda x: (-x["w"], x["line"])):
                     if rest < 0:
                         break
@@ -252,12 +259,13 @@ def vendored(inspected_files: DataFrame) -> DataFrame:
                         out.append(x["line"])
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(homes, pa.string()), pa.array(out, pa.int64())], names=["path", "directory", "line"])
 
-    wanted = unsettled.select("path", "directory", "total", "mine").mapInArrow(rarest, "path string, directory string, line bigint")
+    wanted = unsettled.select("path", "directory", "total", "mine", "marked").mapInArrow(rarest, "path string, directory string, line bigint")
     reps = kinds.select(F.explode(F.array_distinct(F.array("one.path", "two.path"))).alias("path"))
     owners = files.join(reps, "path", "left_semi").select(F.col("path").alias("source"), F.col("directory").alias("home"), F.explode("lines").alias("line"))
     candidates = wanted.join(owners, "line").where(F.col("directory") != F.col("home")).select("path", "source").distinct()
-    slow = salted_join(candidates.join(unsettled.drop("directory"), "path"), theirs, "source", "path").select("path", "source", "mine", "total", "theirs")
-    exact = slow.mapInArrow(contained, result).where(F.col("contained") >= CONTAINED)
+    open_pairs = cut_lineage(candidates.join(unsettled.drop("directory"), "path"))
+    slow = salted_join(open_pairs, theirs, "source", "path").select("path", "source", "mine", "total", "theirs", "marked")
+    exact = slow.mapInArrow(contained, result)
     members_of = members.join(single.select("kind", "kind2", F.col("one.path").alias("rep")), ["kind", "kind2"])
     exact = exact.withColumnRenamed("path", "rep").join(members_of, "rep").select("path", "source", "contained")
     return voted.unionByName(equal).unionByName(exact).groupBy("path").agg(F.max_by("source", "contained").alias("source"), F.max("contained").alias("contained"))

@@ -15,7 +15,8 @@ def test_rules():
         assert composition(banner + "\n" + own) == "generated"
     for talk in ("# Not generated: edit freely.", "# Scaffold was generated once, since then maintained by hand.", "# Writes the files that carry the DO NOT EDIT banner.", "BANNER = '# Code generated by tool. DO NOT EDIT.'"):
         assert composition(talk + "\n" + own) is None
-    assert composition("# Part of the foo library, release 1.2.3\n" + own) == "vendored"
+    for head in ("# Part of the foo library, release 1.2.3", "# Copyright (c) 2024 The Acme Authors", "# This check is part of the Foo library", "# Please do not modify the order of the imports below."):
+        assert composition(head + "\n" + own) is None, head
     assert composition("x=" + ";".join(f"a{i}=lambda b,c:b*{i}+c if b>{i} else c-{i}" for i in range(20))) == "minified"
     assert composition("T = [\n" + "\n".join("    " + ", ".join(str(random.Random(i * 9 + j).randint(0, 99999)) for j in range(12)) + "," for i in range(30)) + "\n]\n") == "data"
     assert composition("T = {'a': 1, 'b': 2}\n" + own) is None
@@ -52,3 +53,14 @@ def test_banners_in_blocks_and_with_harmless_words():
         assert composition(banner + "\n" + own) == "generated", banner
     for talk in ("# Looks for files that are marked @generated.", "# This file is not generated by protoc.", "# No longer generated from a.idl, maintained by hand.", "/*\n Checks whether a file is auto-generated.\n*/", '"""Writes files that carry the DO NOT EDIT banner."""', "# Do not edit this table unless you know the format.", "# Generated by x.py in 2019, since then maintained by hand.", "/* Own work. */ int x; /*\n Generated by X.\n*/", "def f():\n    'Generated by X. DO NOT EDIT.'"):
         assert composition(talk + "\n" + own) is None, talk
+
+
+def test_another_partys_name_needs_a_copy(spark):
+    """Half-changed copies count if their head names another party; a project's own header alone does not."""
+    lib, head = functions(700, 10, "lib"), "# Copyright (c) 2024 The Acme Authors\n"
+    half = lib[: len(lib) // 2] + functions(701, 5, "new")
+    rows = [("/a/lib.py", lib, "a"), ("/b/marked.py", head + half, "b"), ("/c/plain.py", half.replace("_new", "_own") + functions(702, 2, "more"), "c")]
+    rows += [(f"/d/own{j}.py", head + functions(800 + j), "d") for j in range(8)]
+    df = spark.createDataFrame([(p, bytearray(t.encode()), d) for p, t, d in rows], "path string, content binary, directory string")
+    got = {r.file_path for r in not_handwritten(df).collect()}
+    assert "/b/marked.py" in got and not any(p.startswith("/d/") for p in got)
