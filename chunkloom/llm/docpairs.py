@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from chunkloom.llm.peg import Grammar, Node, find
+from chunkloom.session import spread
 
 FUNCTION_TYPES = ("function", "method", "free_function")
 
@@ -261,4 +262,4 @@ def documented_functions(chunks: DataFrame, with_text: bool = True) -> DataFrame
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return src.select("chunk_id", "symbol_name", "language", "content").mapInArrow(run, PAIRS).distinct()
+    return spread(src.select("chunk_id", "symbol_name", "language", "content")).mapInArrow(run, PAIRS).distinct()

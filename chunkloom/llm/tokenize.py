@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from chunkloom.session import spread
+
 #: Characters of a leaf; longer spans are halved.
-LEAF_CHARS = 4096
+LEAF_CHARS = 1024
 #: First size of a seam window in characters on either side; it doubles until the sides agree.
 WINDOW_CHARS = 64
 #: Pieces at the end of a scan that later text may change: a contraction is split into two at most.
@@ -94,7 +96,7 @@ class Tokenizer:
         for m in self.pieces.finditer(window):
             if m.end() > end:
                 break
-            ids += self.encoding._encode_single_piece(m[0].encode())
+            ids += self.encoding.encode_ordinary(m[0])  # a piece alone is one piece
         return np.asarray(ids, dtype="i4")
 
     def _start(self, left: str, size: int) -> int | None:
@@ -168,8 +170,8 @@ def encode_corpus(documents: DataFrame, text: str = "text", ids: str = "ids", vo
     """``documents`` with the column ``ids`` of token ids in place of ``text``.
 
     Null and empty texts give an empty list.  No special tokens are added, and their strings in a text are
-    ordinary text.  All other columns stay; a column named like ``ids`` is replaced.  The map keeps the
-    input's partitioning and shuffles nothing.  ``vocabulary`` must be readable on every executor.
+    ordinary text.  All other columns stay; a column named like ``ids`` is replaced.  The map shuffles
+    nothing where the input has as many partitions as there are cores.  ``vocabulary`` must be readable on every executor.
     """
     path = vocabulary or default_vocabulary()
     keep = [f for f in documents.schema.fields if f.name not in (text, ids)]
@@ -186,7 +188,7 @@ def encode_corpus(documents: DataFrame, text: str = "text", ids: str = "ids", vo
             cols = [batch.column(batch.schema.get_field_index(f.name)).cast(arrow.field(f.name).type) for f in keep]
             yield pa.RecordBatch.from_arrays([*cols, lists], schema=arrow)
 
-    return documents.select(*(f.name for f in keep), text).mapInArrow(run, schema)
+    return spread(documents.select(*(f.name for f in keep), text)).mapInArrow(run, schema)
 
 
 def decode_corpus(encoded: DataFrame, ids: str = "ids", text: str = "text", vocabulary: str | None = None) -> DataFrame:

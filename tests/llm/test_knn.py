@@ -100,3 +100,51 @@ def test_near_copies_rank_by_their_own_numbers(spark):
     ids = [f"m{(17 * k) % 41:02d}" for k in range(41)]
     got = [r.neighbour for r in knn.neighbours(knn.build_graph(frame(spark, ids, x), "id", "v", 96, 5), 5).where(f"id = '{ids[0]}'").orderBy("rank").collect()]
     assert got == ids[1:6]
+
+
+def test_search_recall_on_the_embeddings(spark):
+    """Every vector whose id is divisible by 100 against brute force."""
+    from chunkloom.llm import queries
+
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").where("embedding is not null").collect()
+    ids = np.array([r.vec_id for r in rows])
+    x = np.array([r.embedding for r in rows], "f8")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got: dict = {}
+    for r in queries.p1_search(spark, d).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    at = {i: n for n, i in enumerate(ids)}
+    hits = [len(got[q] & set(ids[np.argsort(-(x @ x[at[q]]))[:10]])) / 10 for q in got]
+    assert len(got) == sum(ids % 100 == 0) and np.mean(hits) >= 0.95
+
+
+def test_a_query_in_an_empty_block_starts_in_its_leaf(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 8)
+    monkeypatch.setattr(knn, "SAMPLE", 16)
+    monkeypatch.setattr(knn, "LEAST_RECALL", 0.5)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 4)).astype("f4")
+    ids = [f"c{i:03d}" for i in range(200)]
+    g = knn.build_graph(frame(spark, ids, x), "id", "v", 4, 5)
+    far = rng.standard_normal((40, 4))
+    found = knn.greedy_search(g, frame(spark, [f"q{i}" for i in range(40)], far), "id", "v", 4, 5).select("query_id").distinct().count()
+    assert found == 40
+
+
+def test_a_vector_that_a_third_of_the_rows_carry(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 8)).astype("f4")
+    x[::3] = x[0]
+    ids = [f"c{i:04d}" for i in range(900)]
+    near: dict = {}
+    for r in knn.neighbours(knn.build_graph(frame(spark, ids, x).repartition(6), "id", "v", 8, 5), 5).collect():
+        near.setdefault(r.id, []).append(r.neighbour)
+    assert len(near) == 900 and set(near["c0006"]) == {"c0000", "c0003", "c0009", "c0012", "c0015"}
+
+
+def test_a_poor_graph_raises(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 8)
+    monkeypatch.setattr(knn, "LEAST_RECALL", 1.01)
+    with pytest.raises(RuntimeError, match="recall"):
+        knn.build_graph(frame(spark, [f"c{i}" for i in range(60)], np.random.default_rng(1).standard_normal((60, 4))), "id", "v", 4, 3)
