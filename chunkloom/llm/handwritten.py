@@ -188,87 +188,122 @@ def inspected(files: DataFrame) -> DataFrame:
     return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+_PAIR = "fid bigint, source bigint, marked boolean, total double, lines array<bigint>, weights array<double>"
+
+
+def _least(marked: bool) -> float:
+    return CONTAINED_MARKED if marked else CONTAINED
+
+
+def _line_stats(rows: DataFrame, n_files: int) -> DataFrame:
+    """``line, df, w, one, one_did, two, two_did``: files that have a line, its weight, its first owners in two repositories."""
+    per_dir = rows.groupBy("line", "did").agg(F.count(F.lit(1)).alias("n"), F.min("fid").alias("first"))
+    ranked = per_dir.withColumn("k", F.row_number().over(W.partitionBy("line").orderBy("first"))).where("k <= 2")
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    two = ranked.groupBy("line").agg(pick(1, "first").alias("one"), pick(1, "did").alias("one_did"), pick(2, "first").alias("two"), pick(2, "did").alias("two_did"))
+    spread_ = per_dir.groupBy("line").agg(F.sum("n").alias("df"))
+    return cut_lineage(spread_.join(two, "line").withColumn("w", F.log2(F.lit(float(n_files)) / F.col("df") + 1)))
+
+
+def _owned(files: DataFrame, rows: DataFrame, n_files: int) -> DataFrame:
+    """Each file with its lines, their weights and the other repositories' first owners of each (null if none)."""
+    stats = _line_stats(rows, n_files)
+    hot_from = max(1000, n_files // HOT_SHARE)
+    hot = stats.where(F.col("df") > hot_from)
+    marked = rows.join(F.broadcast(hot.select("line", F.lit(True).alias("hot"))), "line", "left")
+    cold = marked.where("hot is null").drop("hot").join(stats.where(F.col("df") <= hot_from), "line")
+    weighed = cold.unionByName(marked.where("hot").drop("hot").join(F.broadcast(hot), "line"))
+    one = F.when((F.col("one_did") != F.col("did")) & (F.col("df") > 1), F.col("one"))
+    entry = F.struct("line", "w", one.alias("one"), F.when(F.col("two_did") != F.col("did"), F.col("two")).alias("two"))
+    lists = weighed.groupBy("fid").agg(F.sum("w").alias("total"), F.sort_array(F.collect_list(entry)).alias("x"))
+    parts = [F.col(f"x.{c}").alias(name) for c, name in (("line", "lines"), ("w", "weights"), ("one", "one"), ("two", "two"))]
+    return cut_lineage(files.select("fid", "did", "marked").join(lists, "fid").select("fid", "did", "marked", "total", *parts))
+
+
+def _lists(batch: pa.RecordBatch, *columns: str) -> Iterator[list[np.ndarray]]:
+    """Rows of list columns as arrays; a null entry is -1."""
+    flat = [(np.asarray(c.offsets), np.asarray(c.flatten().fill_null(-1))) for c in (batch.column(batch.schema.get_field_index(name)) for name in columns)]
+    start = [o[0] for o, _ in flat]
+    for k in range(len(batch)):
+        yield [x[o[k] - s : o[k + 1] - s] for (o, x), s in zip(flat, start, strict=True)]
+
+
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with the sources that win ``VOTE_SHARE`` of their weight."""
+    for batch in batches:
+        take, sources = [], []
+        for k, ((weights, one, two), total) in enumerate(zip(_lists(batch, "weights", "one", "two"), batch.column("total").to_pylist(), strict=True)):
+            voted = np.concatenate([one, two])
+            names, at = np.unique(voted, return_inverse=True)
+            got = np.bincount(at, np.concatenate([weights, weights]), len(names))
+            for source in names[(got >= VOTE_SHARE * total) & (names >= 0)]:
+                take.append(k)
+                sources.append(source)
+        rows = batch.take(pa.array(take, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column("fid"), pa.array(sources, pa.int64()), *(rows.column(c) for c in ("marked", "total", "lines", "weights"))], names=["fid", "source", "marked", "total", "lines", "weights"])
+
+
+def _contained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of which the source holds enough of the file's weight."""
+    for batch in batches:
+        share = [float(w[np.isin(mine, theirs, assume_unique=True)].sum()) for mine, w, theirs in _lists(batch, "lines", "weights", "theirs")]
+        share = np.array(share) / np.asarray(batch.column("total")) if share else np.zeros(0)
+        enough = share >= np.array([_least(m) for m in batch.column("marked").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column("fid"), batch.column("source"), pa.array(share, pa.float64())], names=["fid", "source", "contained"]).filter(pa.array(enough, pa.bool_()))
+
+
+def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rarest lines of each file, of which any sufficient source holds one; those that others have too."""
+    for batch in batches:
+        take, out = [], []
+        for k, ((lines, weights, two), total, marked) in enumerate(zip(_lists(batch, "lines", "weights", "two"), batch.column("total").to_pylist(), batch.column("marked").to_pylist(), strict=True)):
+            order = np.lexsort((lines, -weights))
+            rest = (1 - _least(marked)) * total * (1 + 1e-9)
+            n = int(np.searchsorted(np.cumsum(weights[order]), rest, side="right")) + 1
+            shared = [i for i in order[:n] if two[i] >= 0]
+            take += [k] * len(shared)
+            out += [lines[i] for i in shared]
+        rows = batch.take(pa.array(take, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column("fid"), rows.column("did"), pa.array(out, pa.int64())], names=["fid", "did", "line"])
+
+
 def vendored(inspected_files: DataFrame) -> DataFrame:
     """``path, source, contained``: files whose weighted lines stand in a file of another repository."""
-    files = inspected_files.where(F.size("lines") > 0)
+    numbered = inspected_files.where(F.size("lines") > 0).select(F.monotonically_increasing_id().alias("fid"), F.xxhash64("directory").alias("did"), "path", "marked", "lines")
+    files = cut_lineage(numbered)
     n_files = files.count()
     if not n_files:
         return files.select("path", F.col("path").alias("source"), F.lit(0.0).alias("contained"))
-    rows = files.select("path", "directory", "marked", F.explode("lines").alias("line"))
-    per_dir = rows.groupBy("line", "directory").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
-    two = (
-        per_dir.withColumn("k", F.row_number().over(W.partitionBy("line").orderBy("first")))
-        .where("k <= 2")
-        .groupBy("line")
-        .agg(F.max(F.when(F.col("k") == 1, F.struct("first", "directory"))).alias("a"), F.max(F.when(F.col("k") == 2, F.struct("first", "directory"))).alias("b"))
-    )
-    spread = per_dir.groupBy("line").agg(F.sum("n").alias("df"))
-    stats = cut_lineage(spread.join(two, "line").withColumn("w", F.log2(F.lit(float(n_files)) / F.col("df") + 1)))
-    hot_from = max(1000, n_files // HOT_SHARE)
-    hot = stats.where(F.col("df") > hot_from)
-    marks = hot.select("line", F.lit(True).alias("hot"))
-    marked = rows.join(F.broadcast(marks), "line", "left")
-    weighed = (
-        marked.where("hot is null").drop("hot").join(stats.where(F.col("df") <= hot_from), "line").unionByName(marked.where("hot").drop("hot").join(F.broadcast(hot), "line"))
-    )
-    own = F.col("directory")
-    vote = F.array(F.when((F.col("a.directory") != own) & (F.col("df") > 1), F.col("a.first")), F.when(F.col("b.directory") != own, F.col("b.first")))
-    totals = weighed.groupBy("path").agg(F.max("marked").alias("marked"), F.sum("w").alias("total"), F.collect_list(F.struct("line", "w")).alias("mine"))
-    votes = weighed.select("path", "w", F.explode(vote).alias("source")).where("source is not null").groupBy("path", "source").agg(F.sum("w").alias("got"))
-    likely = cut_lineage(votes.join(totals, "path").where(F.col("got") >= VOTE_SHARE * F.col("total")).drop("got"))
-    theirs = files.select(F.col("path").alias("source"), F.col("lines").alias("theirs"))
-
-    def contained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shares, enough = [], []
-            for mine, total, lines, marked in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                hit = np.isin(np.array([x["line"] for x in mine], "i8"), np.array(lines, "i8"))
-                shares.append(float(np.array([x["w"] for x in mine])[hit].sum() / total))
-                enough.append(shares[-1] >= (CONTAINED_MARKED if marked else CONTAINED))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["path", "source", "contained"]).filter(pa.array(enough, pa.bool_()))
-
-    pairs = salted_join(likely, theirs, "source", "path").select("path", "source", "mine", "total", "theirs", "marked")
-    result = "path string, source string, contained double"
-    voted = cut_lineage(pairs.where(F.size("mine") >= LEAST_LINES).mapInArrow(contained, result))
-
-    member = F.struct("directory", "path")
-    kind = [F.xxhash64("lines").alias("kind"), F.xxhash64(F.lit(1), "lines").alias("kind2")]
-    members = files.select("path", "directory", F.size("lines").alias("n"), *kind)
-    kinds = cut_lineage(members.groupBy("kind", "kind2").agg(F.min("n").alias("n"), F.min(member).alias("one"), F.max(member).alias("two")))
-    spread_out = kinds.where((F.col("one.directory") != F.col("two.directory")) & (F.col("n") >= LEAST_LINES))
-    other = F.when(F.col("directory") == F.col("one.directory"), F.col("two.path")).otherwise(F.col("one.path"))
-    equal = members.drop("n").join(spread_out, ["kind", "kind2"]).select("path", other.alias("source"), F.lit(1.0).alias("contained"))
+    own = _owned(files, files.select("fid", "did", F.explode("lines").alias("line")), n_files)
+    theirs = files.select(F.col("fid").alias("source"), F.col("lines").alias("theirs"))
+    result = "fid bigint, source bigint, contained double"
+    long_enough = F.size("lines") >= LEAST_LINES
 
-    single = kinds.where((F.col("one.directory") == F.col("two.directory")) & (F.col("n") >= LEAST_LINES))
-    open_ = single.select(F.col("one.path").alias("path"), F.col("one.directory").alias("directory")).join(voted.select("path").distinct(), "path", "left_anti")
-    lines_of = weighed.groupBy("path").agg(F.max("marked").alias("marked"), F.sum("w").alias("total"), F.collect_list(F.struct("line", "w", F.col("b").isNotNull().alias("shared"))).alias("mine"))
-    unsettled = cut_lineage(open_.join(lines_of, "path"))
+    likely = cut_lineage(own.where(long_enough).mapInArrow(_voted, _PAIR))
+    voted = cut_lineage(salted_join(likely, theirs, "source", "fid").mapInArrow(_contained, result))
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, homes, out = [], [], []
-            for path, home, total, mine, marked in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                rest = (1 - (CONTAINED_MARKED if marked else CONTAINED)) * total * (1 + 1e-9)
-                for x in sorted(mine, key=lambda x: (-x["w"], x["line"])):
-                    if rest < 0:
-                        break
-                    rest -= x["w"]
-                    if x["shared"]:
-                        paths.append(path)
-                        homes.append(home)
-                        out.append(x["line"])
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(homes, pa.string()), pa.array(out, pa.int64())], names=["path", "directory", "line"])
-
-    wanted = unsettled.select("path", "directory", "total", "mine", "marked").mapInArrow(rarest, "path string, directory string, line bigint")
-    reps = kinds.select(F.explode(F.array_distinct(F.array("one.path", "two.path"))).alias("path"))
-    owners = files.join(reps, "path", "left_semi").select(F.col("path").alias("source"), F.col("directory").alias("home"), F.explode("lines").alias("line"))
-    candidates = wanted.join(owners, "line").where(F.col("directory") != F.col("home")).select("path", "source").distinct()
-    open_pairs = cut_lineage(candidates.join(unsettled.drop("directory"), "path"))
-    slow = salted_join(open_pairs, theirs, "source", "path").select("path", "source", "mine", "total", "theirs", "marked")
-    exact = slow.mapInArrow(contained, result)
-    members_of = members.join(single.select("kind", "kind2", F.col("one.path").alias("rep")), ["kind", "kind2"])
-    exact = exact.withColumnRenamed("path", "rep").join(members_of, "rep").select("path", "source", "contained")
-    return voted.unionByName(equal).unionByName(exact).groupBy("path").agg(F.max_by("source", "contained").alias("source"), F.max("contained").alias("contained"))
+    member = F.struct("did", "fid")
+    kind = [F.xxhash64("lines").alias("kind"), F.xxhash64(F.lit(1), "lines").alias("kind2")]
+    members = files.select("fid", "did", F.size("lines").alias("n"), *kind)
+    kinds = cut_lineage(members.groupBy("kind", "kind2").agg(F.min("n").alias("n"), F.min(member).alias("one"), F.max(member).alias("two")))
+    apart = (F.col("one.did") != F.col("two.did")) & (F.col("n") >= LEAST_LINES)
+    other = F.when(F.col("did") == F.col("one.did"), F.col("two.fid")).otherwise(F.col("one.fid"))
+    equal = members.drop("n").join(kinds.where(apart), ["kind", "kind2"]).select("fid", other.alias("source"), F.lit(1.0).alias("contained"))
+
+    single = kinds.where((F.col("one.did") == F.col("two.did")) & (F.col("n") >= LEAST_LINES))
+    open_ = single.select(F.col("one.fid").alias("fid")).join(voted.select("fid").distinct(), "fid", "left_anti")
+    unsettled = cut_lineage(own.join(open_, "fid", "left_semi"))
+    wanted = unsettled.mapInArrow(_rarest, "fid bigint, did bigint, line bigint")
+    reps = kinds.select(F.explode(F.array_distinct(F.array("one.fid", "two.fid"))).alias("fid"))
+    owners = files.join(reps, "fid", "left_semi").select(F.col("fid").alias("source"), F.col("did").alias("home"), F.explode("lines").alias("line"))
+    candidates = wanted.join(owners, "line").where(F.col("did") != F.col("home")).select("fid", "source").distinct()
+    open_pairs = cut_lineage(candidates.join(unsettled.drop("did", "one", "two"), "fid"))
+    exact = salted_join(open_pairs, theirs, "source", "fid").mapInArrow(_contained, result).withColumnRenamed("fid", "rep")
+    members_of = members.join(single.select("kind", "kind2", F.col("one.fid").alias("rep")), ["kind", "kind2"]).select("fid", "rep")
+    all_ = voted.unionByName(equal).unionByName(exact.join(members_of, "rep").select("fid", "source", "contained"))
+    best = all_.groupBy("fid").agg(F.max_by("source", "contained").alias("source"), F.max("contained").alias("contained"))
+    names = files.select("fid", "path")
+    return best.join(names, "fid").join(names.select(F.col("fid").alias("source"), F.col("path").alias("of")), "source").select("path", F.col("of").alias("source"), "contained")
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
