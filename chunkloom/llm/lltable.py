@@ -67,6 +67,36 @@ class Table:
                         table[label] = (None, to)
                 out.append((table, final))
             self.rules[rule] = out
+        #: All states of all rules in one row, and per state the way of each label met so far (see :meth:`_way`).
+        base, self._states = {}, []
+        for rule, states in self.rules.items():
+            base[rule] = len(self._states)
+            self._states += [(rule, table, final) for table, final in states]
+        self._base = base
+        self._final = [final for _, _, final in self._states]
+        self._ways: list[dict[str, tuple[tuple[int, ...], int] | bool]] = [{} for _ in self._states]
+
+    def _way(self, at: int, label: str) -> tuple[tuple[int, ...], int] | bool:
+        """States to come back to and the state behind a token at ``at``, or False; worked out once for each.
+
+        A rule is entered only for a label that it can begin with, so the way in ends with the token.
+        """
+        back: list[int] = []
+        start, known = at, self._ways[at]
+        while True:
+            rule, table, _ = self._states[at]
+            step = table.get(label)
+            if step is None:
+                way: tuple[tuple[int, ...], int] | bool = False
+                break
+            inner, to = step
+            if inner is None:
+                way = (tuple(back), self._base[rule] + to)
+                break
+            back.append(self._base[rule] + to)
+            at = self._base[inner]
+        known[label] = way
+        return way
 
     def _state(self) -> int:
         self._nfa.append([])
@@ -166,26 +196,23 @@ class Table:
         ``labels`` are token labels; the last one is the end mark.  A label that no state knows at a place
         is an error there: the table has no recovery, so the first error is unrecoverable.
         """
-        rules = self.rules
-        stack: list[tuple[list, int]] = []
-        states, at = rules[self.start], 0
+        ways, final = self._ways, self._final
+        stack: list[int] = []
+        at = self._base[self.start]
         for n, label in enumerate(labels):
             while True:
-                arcs, final = states[at]
-                step = arcs.get(label)
-                if step is not None:
-                    rule, to = step
-                    if rule is None:
-                        at = to
-                        break
-                    stack.append((states, to))
-                    states, at = rules[rule], 0
-                elif final and stack:
-                    states, at = stack.pop()
-                else:
+                way = ways[at].get(label)
+                if way is None:
+                    way = self._way(at, label)
+                if way:
+                    back, at = way
+                    stack += back
+                    break
+                if not (final[at] and stack):
                     return n
-        while states[at][1]:
+                at = stack.pop()
+        while final[at]:
             if not stack:
                 return None
-            states, at = stack.pop()
+            at = stack.pop()
         return len(labels) - 1
