@@ -143,7 +143,7 @@ soup_list: soup_item (',' soup_item)*
 soup_item: soup [ASSIGN init] | braced
 soup: soup_first soup_rest*
 soup_first: (SIGN | '!' | '~')* soup_word
-soup_rest: (OP | '?' | ':') soup_first | soup_first
+soup_rest: (OP | '?') soup_first | ':' (soup_first | braced) | soup_first
 soup_word: 'class' | 'struct' | 'union' | 'enum' | 'template' [TLT [soup_list] TGT] | SPEC | PTR | qid | NUM | STR | CHR | '(' [soup_list] ')' | function_type | LAMBDA lambda | '[' [expr (',' expr)*] ']' | '.' member | '->' member
     | '++' | '--' | 'new' | 'delete' | 'throw' | 'sizeof' | 'this' | 'co_await' | braced_post | '...'
 expr: expr2 [ASSIGN init]
@@ -166,8 +166,9 @@ condition: XP args ')' | '(' cond ')'
 cond: soup [ASSIGN init] [';' [soup [ASSIGN init]]]
 for_head: [for_part (',' for_part)*] [';' [expr] ';' [expr (',' expr)*]]
 for_part: soup [ASSIGN init]
-simple: qid (words [NUM | STR+ | CHR | 'this'] rest_stmt | rest_expr) | (SPEC | PTR) [words] [NUM | STR+ | CHR | 'this'] rest_stmt | other_expr rest_expr
+simple: qid (words [NUM | STR+ | CHR | 'this'] rest_stmt | rest_expr) | (SPEC | PTR) [words] [NUM | STR+ | CHR | 'this'] rest_stmt | other_expr rest_other
 rest_expr: call* [core_end] (';' | body) | ':' stmt
+rest_other: call* [core_end] ';'
 other_expr: (SIGN | '!' | '~' | '++' | '--' | 'co_await' | 'sizeof') unary | NUM | STR+ | CHR | 'this' | LAMBDA lambda | '(' args ')' [literal | ('!' | '~') unary] | 'throw' [expr] | 'new' ['(' args ')'] words | 'delete' ['[' ']'] unary
-rest_stmt: core (';' | body) | ':' stmt
+rest_stmt: core ';' | ':' stmt
 """

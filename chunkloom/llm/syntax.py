@@ -641,11 +641,20 @@ _HEAD_ENDS = frozenset("; { } ( ) ASSIGN return BRACED".split())
 
 
 def cpp_labels(source: str) -> tuple[list[str], list[int]]:
+    labels, lines, _ = cpp_stream(source)
+    return labels, lines
+
+
+def cpp_stream(source: str) -> tuple[list[str], list[int], list[str]]:
+    """Token labels, their lines and texts; raises :class:`LexError`."""
     toks = cpp_tokens(source)
     labels: list[str] = []
     lines: list[int] = []
     texts: list[str] = []
-    i, n, templates = 0, len(toks), 0
+    i, n, brackets = 0, len(toks), 0
+    templates: list[int] = []  # brackets open around each template argument list
+    squares: list[str] = []  # labels of the open square brackets
+    lambda_end = -1
 
     def skip_group(k: int) -> int:
         """Index behind the bracket group that opens at ``k``."""
@@ -692,6 +701,9 @@ def cpp_labels(source: str) -> tuple[list[str], list[int]]:
                 if text == "decltype":
                     add("SPEC", text, line)
                 continue
+            if text == "requires" and labels and labels[-1] == "TGT" and (end := _constraint(toks, i + 1, groups, ends)):
+                i = end
+                continue
             if text == "inline" and i + 1 < n and toks[i + 1][1] == "namespace":
                 i += 1
                 continue
@@ -722,19 +734,25 @@ def cpp_labels(source: str) -> tuple[list[str], list[int]]:
                 i = end  # an attribute
                 continue
             add("LAMBDA", text, line)
-        elif text == "<" and _opens_template(toks, i, groups, ends):
+        elif text == "<" and (lambda_end == i - 1 or _opens_template(toks, i, groups, ends)):
             add("TLT", text, line)
-            templates += 1
-        elif text in (">", ">>") and templates:
+            templates.append(brackets)
+        elif text in (">", ">>") and templates and templates[-1] >= brackets:
             for _ in text:
                 add("TGT" if templates else "OP", ">", line)
-                templates = max(0, templates - 1)
+                if templates:
+                    templates.pop()
+        elif text in ("&", "&&") and labels and labels[-1] in (")", "SPEC") and i + 1 < n and (toks[i + 1][1] == "{" and (labels[-1] == ")" or texts[-1] in ("const", "volatile")) or toks[i + 1][1] in ("noexcept", "override", "final")):
+            i += 1  # says which objects a member function is for
+            continue
         elif text == "[":
             prev = labels[-1] if labels else ""
-            add("[" if prev in ("ID", ")", "]", "TGT", "NUM", "STR", "SPEC", "delete", "this", "}", "PTR") and not (prev == "SPEC" and texts[-1] in ("return",)) else "LAMBDA", text, line)
+            squares.append("[" if prev in ("ID", ")", "]", "TGT", "NUM", "STR", "SPEC", "delete", "this", "}", "PTR") and not (prev == "SPEC" and texts[-1] in ("return",)) else "LAMBDA")
+            add(squares[-1], text, line)
         elif text == "{":
-            add("BRACED" if labels and labels[-1] in ("ID", "TGT") and not head else "{", text, line)
-        elif text == "->" and labels and labels[-1] in (")", "SPEC") and (end := _trailing_type(toks, i + 1)):
+            value = labels and (labels[-1] in ("ID", "TGT") or labels[-1] == "SPEC" and texts[-1] in _CPP_TYPES)
+            add("BRACED" if value and not head else "{", text, line)
+        elif text == "->" and labels and labels[-1] in (")", "SPEC") and (end := _trailing_type(toks, i + 1, groups)):
             i = end
             continue
         elif text in _KEEP:
@@ -747,10 +765,15 @@ def cpp_labels(source: str) -> tuple[list[str], list[int]]:
             add("PTR", text, line)
         else:
             add("OP", text, line)
+        brackets += (text in ("(", "[", "{")) - (text in (")", "]", "}"))
+        if text == "]" and squares and squares.pop() == "LAMBDA":
+            lambda_end = i
+        if text in ("{", "}", ";"):
+            templates.clear()
         i += 1
     add("END", "", toks[-1][2] if toks else 1)
     _conditions(labels)
-    return labels, lines
+    return labels, lines, texts
 
 
 def _conditions(labels: list[str]) -> None:
@@ -780,6 +803,125 @@ def _conditions(labels: list[str]) -> None:
         labels[at] = "XP"
 
 
+#: Words that are a type by themselves.
+_CPP_TYPES = frozenset("int char bool float double void long short signed unsigned auto wchar_t char8_t char16_t char32_t".split())
+_CPP_BEFORE_DOT = frozenset("ID ) ] TGT } STR NUM CHR this ++ -- { , BRACED".split())
+_CPP_OPERAND_ENDS = frozenset("NUM CHR ]".split())
+
+
+class _CppRules:
+    """What the grammar leaves open because it cannot tell types from values: operands without an operator between
+    them, operators without one behind them, declarations without a name, parameters that are no declarations."""
+
+    def __init__(self, labels: list[str], texts: list[str]):
+        self.labels, self.texts = labels, texts
+        self.bad: list[int] = []
+        self.close: dict[int, int] = {}
+        open_: list[int] = []
+        depth: list[int] = []  # brackets and template arguments around each token in its braces, for heads left out
+        inner = [0]
+        for i, label in enumerate(labels):
+            depth.append(inner[-1])
+            if label in ("(", "[", "{", "BRACED", "LAMBDA", "XP", "FPTR", "TLT"):
+                open_.append(i)
+                if label in ("{", "BRACED"):
+                    inner.append(0)
+                else:
+                    inner[-1] += label != "(" or not i or labels[i - 1] != "for"
+            elif label in (")", "]", "}", "TGT") and open_:
+                at = open_.pop()
+                self.close[at] = i
+                if labels[at] in ("{", "BRACED"):
+                    inner.pop()
+                else:
+                    inner[-1] -= labels[at] != "(" or not at or labels[at - 1] != "for"
+        for i in range(1, len(labels)):
+            self._pair(i, depth[i])
+        self._declarations()
+
+    def _type(self, i: int) -> bool:
+        return self.labels[i] == "SPEC" and self.texts[i] in _CPP_TYPES
+
+    def _pair(self, i: int, depth: int) -> None:
+        """Two tokens that cannot stand side by side."""
+        labels = self.labels
+        before, label = labels[i - 1], labels[i]
+        wrong = False
+        if label in ("NUM", "CHR"):
+            wrong = before in ("ID", "TGT", "STR") or before in _CPP_OPERAND_ENDS or self._type(i - 1)
+        elif label == "SPEC":
+            if self._type(i):
+                wrong = before in _CPP_OPERAND_ENDS or before == "ID" and i > 1 and (labels[i - 2] in ("return", "PTR", "TGT") or self._type(i - 2)) and self.texts[i - 1] != "operator"
+            else:
+                wrong = before in ("NUM", "CHR") and self.texts[i] in ("const", "static", "inline", "volatile")
+        elif label in ("SIGN", "OP", "?"):
+            wrong = self._type(i - 1) and not (label == "OP" and self.texts[i] in (">", ">>", "<"))
+        elif label == ".":
+            wrong = before not in _CPP_BEFORE_DOT
+        elif label == "->":
+            wrong = self._type(i - 1) or before in ("SIGN", "OP", "PTR", "ASSIGN", "(", ",", ";", "{", "}")
+        elif label == "ASSIGN" and self.texts[i] == "=" and not depth:
+            wrong = self._type(i - 1) or before == "PTR"
+        elif label in (";", ")", ",", "]"):
+            wrong = before in ("SIGN", "OP", "?") or before == "PTR" and i > 1 and labels[i - 2] in ("NUM", "CHR")
+        if wrong:
+            self.bad.append(i)
+
+    def _declarations(self) -> None:
+        """Function definitions outside of functions, and statements that end in an open operator."""
+        labels = self.labels
+        outside = [True]  # whether each open brace holds declarations
+        start, i = 0, 0
+        while i < len(labels):
+            label = labels[i]
+            if label == ";" and labels[i - 1] == "PTR" and labels[start] not in ("using", "typedef", "template", "extern", "friend") and "new" not in labels[start:i]:
+                self.bad.append(i)
+            if label in ("{", "BRACED"):
+                head = labels[start:i]
+                outside.append(outside[-1] and "(" not in head and "ASSIGN" not in head and any(x in ("namespace", "class", "struct", "union", "extern") for x in head))
+                if outside[-2] and "(" in head and not outside[-1]:
+                    self._function(start, i)
+                start = i + 1
+            elif label == "}" and len(outside) > 1:
+                outside.pop()
+                start = i + 1
+            elif label == ";" or label == ":" and labels[i - 1] in ("public", "private", "protected"):
+                start = i + 1
+            i += 1
+
+    def _function(self, lo: int, hi: int) -> None:
+        """The head of a function definition between ``lo`` and its body at ``hi``."""
+        labels = self.labels
+        k = lo
+        while k < hi and labels[k] not in ("(", "FPTR", "XP"):
+            if labels[k] in ("ASSIGN", "requires", "enum"):
+                return
+            k = self.close.get(k, k) + 1 if labels[k] in ("TLT", "[", "LAMBDA") else k + 1
+        if k >= hi or labels[k] != "(" or k not in self.close:
+            return
+        named = labels[k - 1] in ("ID", "TGT") or any(self.texts[n] == "operator" for n in range(lo, k))
+        if not named and k > lo and self._type(k - 1) and self.close[k] == hi - 1:
+            self.bad.append(k)
+        if not named or labels[k - 1] != "ID":
+            return
+        at, default = k + 1, False
+        while at < self.close[k]:
+            label = labels[at]
+            if label == ",":
+                default = False
+            elif label == "ASSIGN":
+                default = True
+            elif not default and (label in ("OP", "SIGN", "?", ".", "->", "++", "--", "!", "NUM", "STR", "CHR", "this", "new") and self.texts[at] not in ("and",)):
+                self.bad.append(at)
+                return
+            at = self.close.get(at, at) + 1 if label in ("(", "[", "{", "BRACED", "LAMBDA", "FPTR", "TLT") else at + 1
+
+
+def cpp_flaw(labels: list[str], texts: list[str]) -> int | None:
+    """The first token of an accepted stream at which the language has an error all the same, or None."""
+    return min(_CppRules(labels, texts).bad, default=None)
+
+
 def _groups(toks: list) -> dict[int, int]:
     """Opening round or square bracket -> the one that closes it."""
     out: dict[int, int] = {}
@@ -839,11 +981,41 @@ def _scan_arguments(toks: list, i: int, groups: dict[int, int], ends: dict[int,
     ends.update(dict.fromkeys(open_, -1))
 
 
-def _trailing_type(toks: list, k: int) -> int:
+def _constraint(toks: list, k: int, groups: dict[int, int], ends: dict[int, int]) -> int:
+    """Index behind the constraint of a template that begins at ``k``, or 0 if it is none."""
+    while k < len(toks):
+        if toks[k][1] == "!":
+            k += 1
+            continue
+        if toks[k][1] == "(":
+            k = groups.get(k, len(toks)) + 1
+        elif toks[k][0] == "id":
+            while k + 2 < len(toks) and toks[k + 1][1] == "::":
+                k += 2
+            k += 1
+            if k < len(toks) and toks[k][1] == "<":
+                if k not in ends:
+                    _scan_arguments(toks, k, groups, ends)
+                k = ends[k] + 1
+                if not k:
+                    return 0
+        else:
+            return 0
+        if k < len(toks) and toks[k][1] in ("&&", "||"):
+            k += 1
+            continue
+        return k
+    return 0
+
+
+def _trailing_type(toks: list, k: int, groups: dict[int, int]) -> int:
     """Index of the ``{`` that ends a trailing return type beginning at ``k``, or 0."""
     depth = 0
     while k < len(toks):
         kind, text, _ = toks[k]
+        if text == "decltype" and k + 1 < len(toks) and toks[k + 1][1] == "(":
+            k = groups.get(k + 1, k + 1) + 1
+            continue
         if text == "<":
             depth += 1
         elif text in (">", ">>"):
@@ -887,7 +1059,7 @@ def proto_labels(source: str) -> tuple[list[str], list[int]]:
     return labels, lines
 
 
-_LEXERS = {"python": python_labels, "cpp": cpp_labels, "proto": proto_labels}
+_LEXERS = {"python": python_labels, "proto": proto_labels}
 
 
 def first_error(content: bytes | None, language: str) -> Error | None:
@@ -895,8 +1067,12 @@ def first_error(content: bytes | None, language: str) -> Error | None:
     text = bytes(content or b"").decode("utf-8", errors="replace").removeprefix("﻿")
     if language == "python":
         text = text.replace("\r\n", "\n").replace("\r", "\n")
+    texts: list[str] = []
     try:
-        labels, lines = _LEXERS[language](text)
+        if language == "cpp":
+            labels, lines, texts = cpp_stream(text)
+        else:
+            labels, lines = _LEXERS[language](text)
     except LexError as e:
         return e.error
     except RecursionError:
@@ -904,6 +1080,8 @@ def first_error(content: bytes | None, language: str) -> Error | None:
     n = table(language).parse(labels)
     if n is None and language == "python":
         n = python_flaw(labels)
+    elif n is None and language == "cpp":
+        n = cpp_flaw(labels, texts)
     return None if n is None else Error(lines[n], f"unexpected {labels[n]}")
 
 

@@ -67,3 +67,30 @@ def test_long_heads_and_template_arguments():
     assert not bad(f"std::variant<{types}> v{{1}}; void f() {{ g<{types}>(v); std::map<K, std::tuple<{types}>> m; }}", "cpp")
     assert not bad("template <class T> Box<T> box{1, 2};", "cpp")
     assert not bad("void f() { " + "x = a < b, " * 30_000 + "c; }", "cpp")
+
+
+VALID_CPP = """template <typename T = int, class U = void*> struct A { T x{}; };
+using P = int*; using Q = Foo&&; typedef int* R;
+void f(int = 5, const Foo& = {}, char* s = nullptr);
+template <class T> auto m(T&& t) noexcept -> decltype(t.x()) { return t.x(); }
+struct B { operator bool() const { return true; } operator int*() { return p; } bool operator<(const B& o) const { return v < o.v; } int v = -1; int* p = nullptr; };
+template <int N = (3 > 2), typename... Ts> struct C : public Base<N, Ts...>, private Other { C() : Base<N, Ts...>{}, a(1), b{2} {} };
+template <Addable T> requires std::integral<T> && (sizeof(T) > 2) T sum(T a, T b) { return a + b; }
+void nested() { while (int c = get()) { } for (auto& [k, v] : m) { } for (const auto x : {1, 2}) {} }
+unsigned f2(unsigned a) { return unsigned(a) + int{3} + double(); }
+auto gen = [] { return 1; }; auto g2 = []<typename T>(T x) { return x; };
+int Foo::bar(int x) const & { return x; } Foo::Foo(int x) : x_(x), y_{} {} Foo::~Foo() {}
+int a = b * 5, *c = &a, d(3), e{4}; void q() { x = y & 5; (void)x; *p++ = *q--; x = a < b && c > d; }
+void lam() { auto l = [&, x = 1](auto a, int b = 2) mutable noexcept -> int { return a + b; }; }"""
+BROKEN_CPP = """int total 11;|char c 'x';|void f() { 15: return; }|void f() { (limit) { } }|int f(std::vector<int& rows, int limit) { }|int f(std::vectorint>& rows, int b) { }|int f(int . limit) { }|int f(int -> limit) { }|int f(Foo& rows int limit) { }
+int f(int a, + limit) { }|int + f(int a) { }|void f() { return total int; }|auto = g();|void f() { for (int = 0; i < 3; ++i) ; }|static int (int a, int b) { }|void f() { int total = 52 & ; }|void f() { switch (x) { case int 20: return; } }|void f() { total * = 5; }|void f() { & (g(1)) { } }|int x = a + ;|int y = (a -);|void f() { g(5 x); }""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("text", VALID_CPP.split("\n"))
+def test_valid_cpp(text):
+    assert first_error(text.encode(), "cpp") is None
+
+
+@pytest.mark.parametrize("text", BROKEN_CPP)
+def test_broken_cpp(text):
+    assert first_error(text.encode(), "cpp") is not None
