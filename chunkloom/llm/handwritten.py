@@ -41,7 +41,7 @@ CONTAINED_MARKED = 0.3
 LEAST_LINES = 6
 #: A line in more than one file of so many is joined by broadcast: there are at most this number times the
 #: mean number of lines of a file of them, whatever the size of the corpus.
-HOT_SHARE = 256
+HOT_SHARE = 1024
 
 # Banners of tools, and phrases that turn a banner they govern into talk about tools.
 BANNER = re.compile(

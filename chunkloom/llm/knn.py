@@ -53,7 +53,7 @@ CHANGED = 0.01
 LEAST_RECALL = 0.9
 PROBES = 256
 #: A class with more than one of so many members is joined by broadcast: there are at most so many of them.
-HOT_SHARE = 256
+HOT_SHARE = 4096
 #: Rows and columns of one slice of a block's comparisons.
 SLICE = 2048
 #: Low bits of a class number, its place in its block; and bits of a block number below that of its leaf.
