@@ -106,6 +106,8 @@ def release(*tables: DataFrame) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, where it has fewer partitions than there are; a large table stays as it is read."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
