@@ -21,6 +21,7 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -194,25 +195,43 @@ class Counts(NamedTuple):
 COLUMNS = ("stop", "free", "first", "inner", "after")
 
 
-def count_words(block: Block, stop: dict, free: dict, first: dict, inner: dict, after: dict) -> None:
+_keys: dict[str, tuple[int, int]] = {}
+
+
+def _word_keys(word: str) -> tuple[int, int]:
+    """Keys of a word without case and as it stands, remembered while they fit."""
+    got = _keys.get(word)
+    if got is None:
+        if len(_keys) >= 1 << 16:
+            _keys.clear()
+        _keys[word] = got = (word_key(word.casefold()), word_key(word))
+    return got
+
+
+def count_words(block: Block, stop: list, free: list, first: list, inner: list, after: list) -> None:
+    """Adds the keys of a block's words to the lists of the places where they stand."""
     s = block.text
     last = len(s.rstrip())
-    for n, m in enumerate(_WORD.finditer(s, block.lead)):
-        b = word_key(m[0].casefold())
-        end = m.end()
-        if end < last and s[end] == "." and end + 1 < last and s[end + 1].isspace():
-            stop[b] = stop.get(b, 0) + 1
-        elif end < last and s[end] not in STOPS:
-            free[b] = free.get(b, 0) + 1
-        b = word_key(m[0])
-        if not n:
-            first[b] = first.get(b, 0) + 1
-        elif m.start() > 1 and s[m.start() - 1] == " ":
-            before = s[m.start() - 2]
-            if before.isalnum() or before in ",;'":
-                inner[b] = inner.get(b, 0) + 1
-            elif before == ".":
-                after[b] = after.get(b, 0) + 1
+    begun = False
+    for m in _WORD.finditer(s, block.lead):
+        folded, key = _word_keys(m[0])
+        begin, end = m.span()
+        if end < last:
+            c = s[end]
+            if c == ".":
+                if end + 1 < last and s[end + 1].isspace():
+                    stop.append(folded)
+            elif c not in STOPS:
+                free.append(folded)
+        if not begun:
+            first.append(key)
+            begun = True
+        elif begin > 1 and s[begin - 1] == " ":
+            before = s[begin - 2]
+            if before == ".":
+                after.append(key)
+            elif before.isalnum() or before in ",;'":
+                inner.append(key)
 
 
 class Candidate(NamedTuple):
@@ -453,20 +472,23 @@ def _texts(documents: DataFrame) -> DataFrame:
 def word_counts(documents: DataFrame) -> Counts:
     """Word counts over all documents; the driver gets at most ``NAMED`` words and ``BUCKETS`` sums."""
 
-    def sent(sums: list[dict[int, int]]) -> pa.RecordBatch:
+    def sent(sums: list[Counter]) -> pa.RecordBatch:
         keys = sorted(set().union(*sums))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([d.get(k, 0) for k in keys], pa.int64()) for d in sums)], names=_COUNT_SCHEMA.fieldNames())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([d[k] for k in keys], pa.int64()) for d in sums)], names=_COUNT_SCHEMA.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[dict[int, int]] = [{} for _ in COLUMNS]
+        sums: list[Counter] = [Counter() for _ in COLUMNS]
         for batch in batches:
             for text, kind in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                places: list[list[int]] = [[] for _ in COLUMNS]
                 for b in blocks(text, kind):
                     if not b.code:
-                        count_words(b, *sums)
+                        count_words(b, *places)
+                for total, keys in zip(sums, places, strict=True):
+                    total.update(keys)
                 if max(map(len, sums)) > HELD_WORDS:
                     yield sent(sums)
-                    sums = [{} for _ in COLUMNS]
+                    sums = [Counter() for _ in COLUMNS]
         yield sent(sums)
 
     total = sum((F.col(c) for c in COLUMNS), F.lit(0))
